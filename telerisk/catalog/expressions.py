@@ -85,7 +85,6 @@ def step_query(name, *columns, doubles=()):
 step_query("p6_implied_speed", "distance_cm", "run_time_s", "implied_speed", doubles=["implied_speed"])
 step_query("p7_increment_validity", "gap_s", "valid_zero", "valid_increment", "valid_fallback")
 step_query("p8_distance_choice", "distance_km", "drive_hours", doubles=["distance_km", "drive_hours"])
-query("p9_trip_start", "speed", "gap_s", "CAST(trip_start AS BIGINT) AS trip_start", doubles=["speed"]) if False else None
 query("p9_trip_start", Q.shape("SELECT gpsno, ts, gap_s, trip_start FROM steps", b=["trip_start"],
                                ctes=f"{Q.TRAJECTORY}, {Q.STEPS}", t=["ts"]))(
     lambda spark, sf: steps(spark, sf).select("gpsno", "ts", "gap_s", "trip_start"))
@@ -226,8 +225,9 @@ def p26(spark, sf):
 @query("p27_nested_feature_sets")
 def p27(spark, sf):
     df, sets = K.causal_landmarks(V.daily(spark, sf), V.ANCHORS)
-    row = df.agg(*[X.sum_of([F.count(c) for c in cs]).cast("long").alias(k) for k, cs in sets.items()])
-    items = [F.struct(F.lit(k).alias("feature_set"), F.lit(len(cs)).alias("columns"), F.col(k).alias("observed_cells")) for k, cs in sets.items()]
+    row = df.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for cs in sets.values() for c in cs)])
+    add = lambda cs: F.aggregate(F.array(*cs), F.lit(0).cast("long"), lambda a, b: a + b)
+    items = [F.struct(F.lit(k).alias("feature_set"), F.lit(len(cs)).alias("columns"), add(cs).alias("observed_cells")) for k, cs in sets.items()]
     return row.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
 
 
@@ -262,11 +262,11 @@ def p30(spark, sf):
 
 @query("p31_segment_hazards", Q.shape("""
     SELECT l_orderkey, segment, LEAST(GREATEST(1 - EXP(SUM(LN(1 - hazard)) OVER (PARTITION BY l_orderkey ORDER BY segment)), 0.000001), 0.999999) AS probability
-    FROM (SELECT l_orderkey, l_linenumber AS segment, AVG(l_tax) / 2 + 0.01 AS hazard FROM lineitem GROUP BY l_orderkey, l_linenumber) h""",
+    FROM (SELECT l_orderkey, l_linenumber AS segment, SQRT(AVG(l_tax) + 0.0003) / 10 AS hazard FROM lineitem GROUP BY l_orderkey, l_linenumber) h""",
     ["probability"], ["segment"]))
 def p31(spark, sf):
     h = (V.table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("segment"))
-         .agg((F.avg("l_tax") / 2 + 0.01).alias("hazard")))
+         .agg((F.sqrt(F.avg("l_tax") + 0.0003) / 10).alias("hazard")))
     return model.cumulative_segments(h, ["l_orderkey"]).drop("hazard")
 
 

@@ -45,11 +45,22 @@ def ratio(numerator: Column | str, denominator: Column | str, scale: float = 1.0
 
 
 def zero(c: Column | str) -> Column:
-    """NULL and NaN count as 0.0."""
-    c = _c(c).cast("double")
+    """NULL and non-finite values count as 0.0."""
+    if isinstance(c, str):
+        return F.expr(f"if(abs(cast({c} as double)) < double('Infinity'), cast({c} as double), 0D)")
+    c = c.cast("double")
     return F.when(is_finite(c), c).otherwise(F.lit(0.0))
 
 
+def counted_sql(name: str) -> str:
+    """SQL text of an integer count as a double, NULL as 0 (text keeps wide plans cheap to build)."""
+    return f"coalesce(cast({name} as double), 0D)"
+
+
+def counted(name: str) -> Column:
+    return F.expr(counted_sql(name))
+
+
 def signed_log(c: Column | str) -> Column:
     c = _c(c).cast("double")
     return F.when(is_finite(c), F.signum(c) * F.log1p(F.abs(c)))

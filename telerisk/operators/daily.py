@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telerisk import codes
-from telerisk.functions.columns import is_finite, zero
+from telerisk.functions.columns import counted_sql, is_finite
 
 TRAJECTORY_FIELDS = (
     "trajectory_rows", "moving_rows", "distance_valid_rows", "distance_invalid_rows",
@@ -78,8 +78,8 @@ def assemble(cover: DataFrame, events: DataFrame, trajectory: DataFrame, imu: Da
             .join(trajectory.withColumn("_t", F.lit(True)), ["gpsno", "day"], "left")
             .join(imu.withColumn("_i", F.lit(True)), ["gpsno", "day"], "left"))
     feed = F.col("has_event_feed")
-    counted = ["event_total_count", "event_total_episodes", "event_other_count"]
-    counted += [f"event_{c}_{kind}" for c in wanted for kind in ("count", "episodes")]
+    counts = ["event_total_count", "event_total_episodes", "event_other_count"]
+    counts += [f"event_{c}_{kind}" for c in wanted for kind in ("count", "episodes")]
     total = F.coalesce("event_total_count", F.lit(0))
     p90 = ["event_speed_p90"] if "event_speed_p90" in events.columns else []
     return wide.select(
@@ -88,7 +88,7 @@ def assemble(cover: DataFrame, events: DataFrame, trajectory: DataFrame, imu: Da
         F.col("_t").isNotNull().alias("trajectory_recorded_today"),
         F.col("_i").isNotNull().alias("imu_recorded_today"),
         (F.col("_t").isNotNull() & (F.coalesce("moving_rows", F.lit(-1)) == 0)).alias("observed_stationary_day"),
-        *[F.when(feed, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counted], *p90,
+        *[F.expr(f"if(has_event_feed, coalesce({c}, 0), null) AS {c}") for c in counts], *p90,
         *[c for c in TRAJECTORY_FIELDS if c in trajectory.columns],
         *[c for c in IMU_FIELDS if c in imu.columns],
         F.when((F.col("distance_km") > 0) & feed, 100.0 * total / F.col("distance_km")).alias("events_per_100km"),
@@ -101,24 +101,22 @@ def with_day_index(daily: DataFrame, first_day: str) -> DataFrame:
 
 def day_table(daily: DataFrame, first_day: str, wanted: Sequence[int] = codes.EVENT_CODES) -> DataFrame:
     """Day index, zero-filled counts and the smoothed exposure rate 100*count/(km+100) per code."""
-    km = F.col("distance_km")
-    ok = is_finite(km) & (km >= 0)
+    km_ok = "abs(distance_km) < double('Infinity') AND distance_km >= 0"
     events = []
     for c in wanted:
-        n = zero(f"event_{c}_count")
-        events += [n.alias(f"event_{c}_count"), zero(f"event_{c}_episodes").alias(f"event_{c}_episodes"),
-                   F.when(ok, 100 * n / (km + 100)).otherwise(0.0).alias(f"event_{c}_rate100_smooth")]
+        n = counted_sql(f"event_{c}_count")
+        events += [f"{n} AS event_{c}_count", f"{counted_sql(f'event_{c}_episodes')} AS event_{c}_episodes",
+                   f"if({km_ok}, 100 * {n} / (distance_km + 100), 0D) AS event_{c}_rate100_smooth"]
     numeric = [c for c in codes.DAY_NUMERIC if c in daily.columns]
-    return with_day_index(daily, first_day).select("gpsno", "day", "day_index", *events, *numeric, *codes.DAY_QUALITY)
+    return with_day_index(daily, first_day).selectExpr("gpsno", "day", "day_index", *events, *numeric, *codes.DAY_QUALITY)
 
 
 def unpivot_codes(daily: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, keep: Sequence[str] = (),
                   only_active: bool = False) -> DataFrame:
     """Long (gpsno, day_index, event_code, n, episodes): one scan, no shuffle."""
-    item = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("event_code"), zero(f"event_{c}_count").alias("n"),
-                 zero(f"event_{c}_episodes").alias("episodes")) for c in wanted]))
-    long = daily.select("gpsno", "day_index", *keep, item.alias("_x")).select("gpsno", "day_index", *keep, "_x.*")
+    items = ", ".join(f"named_struct('event_code', {c}, 'n', {counted_sql(f'event_{c}_count')}, "
+                      f"'episodes', {counted_sql(f'event_{c}_episodes')})" for c in wanted)
+    long = daily.selectExpr("gpsno", "day_index", *keep, f"inline(array({items}))")
     return long.where((F.col("n") > 0) | (F.col("episodes") > 0)) if only_active else long
 
 
@@ -126,10 +124,9 @@ def event_node_features(table: DataFrame, wanted: Sequence[int] = codes.EVENT_CO
     """Eight features of every (entity, day, code): logs of counts and rates, occurrence, exposure."""
     km, hours, night = F.col("distance_km"), F.col("drive_hours"), F.col("night_distance_km")
     km_ok, hour_ok = is_finite(km) & (km >= 0), is_finite(hours) & (hours >= 0)
-    item = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("event_code"), F.col(f"event_{c}_count").alias("n"),
-                 F.col(f"event_{c}_episodes").alias("episodes"), F.col(f"event_{c}_rate100_smooth").alias("rate"))
-        for c in wanted]))
+    items = ", ".join(f"named_struct('event_code', {c}, 'n', event_{c}_count, 'episodes', event_{c}_episodes, "
+                      f"'rate', event_{c}_rate100_smooth)" for c in wanted)
+    item = F.expr(f"explode(array({items}))")
     share = F.when(km_ok & (km > 0), F.greatest(F.least(F.greatest(night, F.lit(0.0)) / km, F.lit(1.0)), F.lit(0.0)))
     return (table.select("gpsno", "day_index",
                          F.coalesce(km_ok, F.lit(False)).cast("int").alias("km_observed"),

@@ -54,13 +54,10 @@ def mark_episodes(events: DataFrame, keys: Sequence[str] = ("gpsno", "event_type
             .drop("_second", "_slice", "_before"))
 
 
-def code_counts(code: Column, flag: Column, wanted: Sequence[int]) -> list[Column]:
+def code_counts(code: str, flag: str, wanted: Sequence[int]) -> list[Column]:
     """Count and episode-count aggregates for every code, in one pass."""
-    out = []
-    for c in wanted:
-        out += [F.count_if(code == c).alias(f"event_{c}_count"),
-                F.count_if((code == c) & flag).alias(f"event_{c}_episodes")]
-    return out
+    return [F.expr(text) for c in wanted for text in (
+        f"count_if({code} = {c}) AS event_{c}_count", f"count_if({code} = {c} AND {flag}) AS event_{c}_episodes")]
 
 
 def event_daily(marked: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, speed_p90: bool = True) -> DataFrame:
@@ -71,7 +68,7 @@ def event_daily(marked: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, sp
         F.count(F.lit(1)).alias("event_total_count"),
         F.count_if(flag).alias("event_total_episodes"),
         F.count_if(~code.isin(*wanted)).alias("event_other_count"),
-        *code_counts(code, flag, wanted))
+        *code_counts("event_type", "episode_start", wanted))
     if not speed_p90:
         return totals
     p90 = grouped_quantiles(keyed.select("gpsno", "day", "speed"), ["gpsno", "day"],

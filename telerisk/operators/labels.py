@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telerisk.functions.columns import zero
+from telerisk.functions.columns import counted, counted_sql, zero
 
 
 def day_array(days: Sequence[str]) -> Column:
@@ -52,8 +52,13 @@ def label_index(cover: DataFrame, targets: DataFrame, anchors: Sequence[str], fi
                     "has_event_feed", "has_trajectory", "has_imu"))
 
 
+def group_active(members: Sequence[int], kind: str = "episodes") -> Column:
+    """Does any code of the group occur on the day?"""
+    return F.expr(" + ".join(counted_sql(f"event_{c}_{kind}") for c in members) + " > 0")
+
+
 def target_day(target_codes: Sequence[int]) -> Column:
-    return sum((zero(f"event_{c}_count") for c in target_codes), F.lit(0.0)) > 0
+    return group_active(target_codes, "count")
 
 
 def make_outcomes(daily: DataFrame, anchors: Sequence[int], last_day: int, target_codes: Sequence[int],
@@ -104,8 +109,7 @@ def horizon_labels(daily: DataFrame, anchors: Sequence[int], horizons: Sequence[
 def future_group_occurrence(daily: DataFrame, groups: Mapping[str, Sequence[int]], horizon: int = 7) -> DataFrame:
     """For each day and group: does any code of the group have an episode in the next days?"""
     w = Window.partitionBy("gpsno").orderBy("day_index").rowsBetween(1, horizon)
-    flags = [F.coalesce(F.max((sum((zero(f"event_{c}_episodes") for c in members), F.lit(0.0)) > 0).cast("int")).over(w),
-                        F.lit(0)).alias(f"future_{g}") for g, members in groups.items()]
+    flags = [F.coalesce(F.max(group_active(members).cast("int")).over(w), F.lit(0)).alias(f"future_{g}") for g, members in groups.items()]
     return daily.select("gpsno", "day_index", *flags)
 
 
@@ -114,7 +118,7 @@ def future_state_maxima(daily: DataFrame, states: Mapping[str, Sequence[int]], h
     w = Window.partitionBy("gpsno").orderBy("day_index").rowsBetween(1, horizon)
     columns = []
     for name, members in states.items():
-        top = F.greatest(*[zero(f"event_{c}_count") for c in members]) if len(members) > 1 else zero(f"event_{members[0]}_count")
+        top = F.greatest(*[counted(f"event_{c}_count") for c in members]) if len(members) > 1 else counted(f"event_{members[0]}_count")
         columns += [F.max((top > 0).cast("int")).over(w).alias(f"{name}_occurs"),
                     F.max(F.log1p(top)).over(w).alias(f"{name}_magnitude")]
     return daily.select("gpsno", "day_index", *columns).where(F.col("day_index") + horizon <= last_day)

@@ -10,22 +10,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from telerisk import codes
-from telerisk.functions.columns import is_finite, ratio, sum_of, zero
+from telerisk.functions.columns import counted_sql, is_finite, ratio, sum_of, zero
 from telerisk.operators.daily import unpivot_codes
+from telerisk.operators.labels import group_active
 
-BY_DAY = Window.partitionBy("gpsno").orderBy("day_index")
-HISTORY = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+def by_day() -> WindowSpec:
+    return Window.partitionBy("gpsno").orderBy("day_index")
 
 
-def last_days(n: int, skip: int = 0) -> Window:
-    return BY_DAY.rowsBetween(-(n + skip - 1), -skip)
+def history() -> WindowSpec:
+    return by_day().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def total(c: Column | str, frame=HISTORY) -> Column:
-    return F.sum(zero(c)).over(frame)
+def last_days(n: int, skip: int = 0) -> WindowSpec:
+    return by_day().rowsBetween(-(n + skip - 1), -skip)
+
+
+# the same frames as SQL text, for the wide per-code features
+_BY_DAY = "OVER (PARTITION BY gpsno ORDER BY day_index ROWS BETWEEN {} PRECEDING AND {})"
+HISTORY = _BY_DAY.format("UNBOUNDED", "CURRENT ROW")
+RECENT = _BY_DAY.format(6, "CURRENT ROW")
+PREVIOUS = _BY_DAY.format(13, "7 PRECEDING")
+KM = "if(abs(distance_km) < double('Infinity'), cast(distance_km as double), 0D)"
+HOURS = "if(abs(drive_hours) < double('Infinity'), cast(drive_hours as double), 0D)"
+
+
+def total(c: Column | str, frame: WindowSpec | None = None) -> Column:
+    return F.sum(zero(c)).over(frame or history())
 
 
 def landmark_summary(daily: DataFrame, anchors: Sequence[int],
@@ -34,7 +48,7 @@ def landmark_summary(daily: DataFrame, anchors: Sequence[int],
     """Exposure, quality, motion and event features of each (entity, anchor day)."""
     t = F.col("day_index")
     recent, previous = last_days(7), last_days(7, skip=7)
-    share = lambda c: F.avg(F.coalesce(F.col(c).cast("int"), F.lit(0))).over(HISTORY)
+    share = lambda c: F.avg(F.coalesce(F.col(c).cast("int"), F.lit(0))).over(history())
     mean = lambda c, frame: F.avg(F.when(is_finite(F.col(c).cast("double")), F.col(c))).over(frame)
     step = lambda c: (total(c, recent) - F.coalesce(total(c, previous), F.lit(0.0))) / 7
     km = total("distance_km")
@@ -42,7 +56,7 @@ def landmark_summary(daily: DataFrame, anchors: Sequence[int],
     features = {
         "exposure_km_per_day": km / t,
         "exposure_hours_per_day": total("drive_hours") / t,
-        "exposure_driving_fraction": F.avg((zero("distance_km") > 0).cast("int")).over(HISTORY),
+        "exposure_driving_fraction": F.avg((zero("distance_km") > 0).cast("int")).over(history()),
         "exposure_trajectory_fraction": share("trajectory_recorded_today"),
         "exposure_imu_fraction": share("imu_recorded_today"),
         "exposure_night_share": ratio(total("night_distance_km"), km),
@@ -52,20 +66,21 @@ def landmark_summary(daily: DataFrame, anchors: Sequence[int],
         "exposure_hours_delta7": step("drive_hours"),
         "quality_invalid_distance_share": ratio(bad, bad + good),
         "quality_long_gap_per_day": total("long_gap_rows") / t,
-        "imu_accel_peak_mean": mean("imu_accel_peak_p99", HISTORY),
-        "imu_gyro_peak_mean": mean("imu_gyro_peak", HISTORY),
+        "imu_accel_peak_mean": mean("imu_accel_peak_p99", history()),
+        "imu_gyro_peak_mean": mean("imu_gyro_peak", history()),
         "imu_accel_recent7": mean("imu_accel_peak_p99", recent),
         "imu_accel_delta7": mean("imu_accel_peak_p99", recent) - mean("imu_accel_peak_p99", previous),
         "imu_valid_windows_per_day": total("imu_valid_windows") / t,
     }
     for f in event_fields:
-        features[f"{f}_per_day"] = total(f) / t
-        features[f"{f}_per_100km"] = ratio(total(f), km, 100.0)
-        features[f"{f}_recent7_per_day"] = total(f, recent) / 7
-        features[f"{f}_delta7_per_day"] = step(f)
+        n = counted_sql(f)
+        features[f"{f}_per_day"] = F.expr(f"sum({n}) {HISTORY} / day_index")
+        features[f"{f}_per_100km"] = F.expr(f"if(sum({KM}) {HISTORY} > 0, 100 * sum({n}) {HISTORY} / sum({KM}) {HISTORY}, null)")
+        features[f"{f}_recent7_per_day"] = F.expr(f"sum({n}) {RECENT} / 7")
+        features[f"{f}_delta7_per_day"] = F.expr(f"(sum({n}) {RECENT} - coalesce(sum({n}) {PREVIOUS}, 0D)) / 7")
     for c in recency_codes:
-        last = F.max(F.when(zero(f"event_{c}_count") > 0, t)).over(HISTORY)
-        features[f"event_{c}_recency_days"] = (t - last).cast("double")
+        features[f"event_{c}_recency_days"] = F.expr(
+            f"cast(day_index - max(if(event_{c}_count > 0, day_index, null)) {HISTORY} as double)")
     return (daily.select("gpsno", t.alias("anchor_day"), *[e.alias(n) for n, e in features.items()])
             .where(F.col("anchor_day").isin(*anchors)))
 
@@ -122,16 +137,16 @@ def landmark_grid(entities: DataFrame, anchors: Sequence[int]) -> DataFrame:
 
 def exposure_totals(daily: DataFrame, anchors: Sequence[int]) -> DataFrame:
     """Non-negative distance/time sums and coverage shares of each (entity, anchor)."""
-    share = lambda c: F.avg(F.coalesce(F.col(c).cast("int"), F.lit(0))).over(HISTORY)
+    share = lambda c: F.avg(F.coalesce(F.col(c).cast("int"), F.lit(0))).over(history())
     signals = [F.col(c).cast("double") for c in codes.IMU_SIGNALS]
     logs = sum_of([F.when(is_finite(s), F.log1p(F.abs(s))).otherwise(0.0) for s in signals])
     cells = sum_of([F.when(is_finite(s), 1.0).otherwise(0.0) for s in signals])
-    clipped = lambda c: F.sum(F.greatest(zero(c), F.lit(0.0))).over(HISTORY)
+    clipped = lambda c: F.sum(F.greatest(zero(c), F.lit(0.0))).over(history())
     return (daily.select("gpsno", F.col("day_index").alias("anchor_day"),
                          clipped("distance_km").alias("km"), clipped("drive_hours").alias("hours"),
                          share("trajectory_recorded_today").alias("trajectory_coverage"),
                          share("imu_recorded_today").alias("imu_coverage"),
-                         (F.sum(logs).over(HISTORY) / F.greatest(F.sum(cells).over(HISTORY), F.lit(1.0))).alias("control_imu"))
+                         (F.sum(logs).over(history()) / F.greatest(F.sum(cells).over(history()), F.lit(1.0))).alias("control_imu"))
             .where(F.col("anchor_day").isin(*anchors)))
 
 
@@ -176,38 +191,31 @@ def code_landmarks(daily: DataFrame, anchors: Sequence[int], wanted: Sequence[in
 
 def code_landmarks_wide(long: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES) -> DataFrame:
     """One row per (entity, anchor) with ``event_{code}_{metric}`` columns."""
-    picks = [F.max(F.when(F.col("event_code") == c, F.col(m))).alias(f"event_{c}_{m}")
-             for c in wanted for m in codes.CODE_METRICS]
+    picks = [F.expr(f"max(if(event_code = {c}, {m}, null)) AS event_{c}_{m}") for c in wanted for m in codes.CODE_METRICS]
     return long.groupBy("gpsno", "anchor_day").agg(*picks)
 
 
 def role_landmarks(daily: DataFrame, anchors: Sequence[int],
                    roles: Mapping[str, Sequence[int]] = codes.ROLES) -> DataFrame:
     """Ten measures per role; a code-level prefix tells which types were ever active."""
-    t = F.col("day_index")
-    km, hours = total("distance_km"), total("drive_hours")
-    recent, previous = last_days(7), last_days(7, skip=7)
+    km, hours = f"sum({KM}) {HISTORY}", f"sum({HOURS}) {HISTORY}"
+    rate = lambda top, bottom: f"if({bottom} > 0, 100 * {top} / {bottom}, null)"
     out = []
     for role, members in roles.items():
-        n = sum_of([zero(f"event_{c}_count") for c in members])
-        e = sum_of([zero(f"event_{c}_episodes") for c in members])
-        all_n, all_e = F.sum(n).over(HISTORY), F.sum(e).over(HISTORY)
-        near, old = F.sum(n).over(recent), F.coalesce(F.sum(n).over(previous), F.lit(0.0))
-        types = sum_of([(F.max(zero(f"event_{c}_count")).over(HISTORY) > 0).cast("double") for c in members])
-        last = F.max(F.when(e > 0, t)).over(HISTORY)
-        p = f"role_{role}"
-        out += [(all_n / t).alias(f"{p}_count_per_day"), ratio(all_n, km, 100.0).alias(f"{p}_count_per_100km"),
-                ratio(all_n, hours, 100.0).alias(f"{p}_count_per_100hours"),
-                (all_e / t).alias(f"{p}_episodes_per_day"), ratio(all_e, km, 100.0).alias(f"{p}_episodes_per_100km"),
-                (near / 7).alias(f"{p}_recent7_per_day"), (old / 7).alias(f"{p}_previous7_per_day"),
-                ((near - old) / 7).alias(f"{p}_delta7_per_day"),
-                (types / len(members)).alias(f"{p}_active_type_fraction"),
-                F.coalesce(F.lit(1.0) / (1 + t - last), F.lit(0.0)).alias(f"{p}_recency_proximity")]
-    return daily.select("gpsno", t.alias("anchor_day"), *out).where(F.col("anchor_day").isin(*anchors))
-
-
-def group_active(members: Sequence[int], kind: str = "episodes") -> Column:
-    return sum_of([zero(f"event_{c}_{kind}") for c in members]) > 0
+        add = lambda kind: "(" + " + ".join(counted_sql(f"event_{c}_{kind}") for c in members) + ")"
+        n, e = add("count"), add("episodes")
+        all_n, all_e = f"sum({n}) {HISTORY}", f"sum({e}) {HISTORY}"
+        near, old = f"sum({n}) {RECENT}", f"coalesce(sum({n}) {PREVIOUS}, 0D)"
+        types = " + ".join(f"if(max(event_{c}_count) {HISTORY} > 0, 1D, 0D)" for c in members)
+        last = f"max(if({e} > 0, day_index, null)) {HISTORY}"
+        measures = {"count_per_day": f"{all_n} / day_index", "count_per_100km": rate(all_n, km),
+                    "count_per_100hours": rate(all_n, hours), "episodes_per_day": f"{all_e} / day_index",
+                    "episodes_per_100km": rate(all_e, km), "recent7_per_day": f"{near} / 7",
+                    "previous7_per_day": f"{old} / 7", "delta7_per_day": f"({near} - {old}) / 7",
+                    "active_type_fraction": f"({types}) / {len(members)}",
+                    "recency_proximity": f"coalesce(1D / (1 + day_index - {last}), 0D)"}
+        out += [f"{text} AS role_{role}_{name}" for name, text in measures.items()]
+    return daily.selectExpr("gpsno", "day_index AS anchor_day", *out).where(F.col("anchor_day").isin(*anchors))
 
 
 def chain_landmarks(daily: DataFrame, anchors: Sequence[int], chains: Mapping[str, tuple] = codes.CHAINS,
@@ -217,7 +225,7 @@ def chain_landmarks(daily: DataFrame, anchors: Sequence[int], chains: Mapping[st
     The next target day after each source day is found once; an anchor accepts it only if it
     lies inside both the lag and the history.
     """
-    ahead = BY_DAY.rowsBetween(1, Window.unboundedFollowing)
+    ahead = by_day().rowsBetween(1, Window.unboundedFollowing)
     d = F.col("day_index")
     items = [F.struct(F.lit(name).alias("chain"), group_active(src).alias("src"), group_active(dst).alias("dst"),
                       F.min(F.when(group_active(dst), d)).over(ahead).alias("next"))
@@ -273,6 +281,6 @@ def longest_streak(daily: DataFrame, active: Column) -> DataFrame:
     """Longest run of consecutive active days up to each day."""
     d = F.col("day_index")
     flagged = daily.select("gpsno", "day_index", active.cast("int").alias("active"))
-    quiet = F.coalesce(F.max(F.when(F.col("active") == 0, d)).over(HISTORY), F.lit(0))
+    quiet = F.coalesce(F.max(F.when(F.col("active") == 0, d)).over(history()), F.lit(0))
     run = flagged.withColumn("run", F.when(F.col("active") == 1, d - quiet).otherwise(0))
-    return run.select("gpsno", "day_index", "active", F.max("run").over(HISTORY).alias("streak"))
+    return run.select("gpsno", "day_index", "active", F.max("run").over(history()).alias("streak"))

@@ -66,7 +66,8 @@ def fit_iqr_scaler(train: DataFrame, features: Sequence[str], booleans: Sequence
 
 def apply_iqr_scaler(long: DataFrame, params: DataFrame, limit: float | None = None) -> DataFrame:
     """Scaled values and the observed mask; missing cells are 0.  ``params`` has one row per feature."""
-    v = F.when(F.col("log1p"), F.log1p(F.greatest(F.col("value"), F.lit(0.0)))).otherwise(F.col("value"))
+    positive = F.when(F.col("value") > 0, F.col("value")).when(F.col("value").isNotNull(), 0.0)
+    v = F.when(F.col("log1p"), F.log1p(positive)).otherwise(F.col("value"))
     scaled = F.coalesce((clip(v, F.col("low"), F.col("high")) - F.col("median")) / F.col("scale"), F.lit(0.0))
     if limit is not None:
         scaled = clip(scaled, -limit, limit)

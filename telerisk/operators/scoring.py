@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telerisk import codes
-from telerisk.functions.columns import clip, sum_of, zero
-from telerisk.operators.landmarks import (BY_DAY, active_code_days, code_totals, exposure_totals, longest_streak)
+from telerisk.functions.columns import clip, sum_of
+from telerisk.operators.labels import group_active
+from telerisk.operators.landmarks import (by_day, active_code_days, code_totals, exposure_totals, longest_streak)
 from telerisk.operators.ordered import metric_quantiles, percentile_against, rank_by_value
 
 KEYS = ["gpsno", "anchor_day"]
@@ -227,11 +228,11 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
 
 def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], wanted: Sequence[int]) -> DataFrame:
     """.50 recent share + .30 increase + .20 longest streak, each as a mid-rank percentile."""
-    active = sum_of([zero(f"event_{c}_count") for c in wanted]) > 0
+    active = group_active(wanted, "count")
     days = longest_streak(daily, active)
     spans = sorted({min(14, max(7, a // 3)) for a in anchors})
-    recents = {s: F.sum("active").over(BY_DAY.rowsBetween(-(s - 1), 0)) for s in spans}
-    everything = F.sum("active").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0))
+    recents = {s: F.sum("active").over(by_day().rowsBetween(-(s - 1), 0)) for s in spans}
+    everything = F.sum("active").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     t = F.col("day_index")
     length = F.least(F.lit(14), F.greatest(F.lit(7), F.floor(t / 3))).cast("int")
     recent_sum = F.coalesce(*[F.when(length == s, c) for s, c in recents.items()])
