@@ -23,7 +23,7 @@ ANCHORS = (14, 20, 24)
 SCORE_ANCHORS = (14, 20, 24, 30)
 GAP_S = 86400
 UNLISTED = 99999
-DEVELOPMENT_MOD = 5
+DEVELOPMENT_MOD = 13
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -185,7 +185,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities with their event feed; development = four of five entities with a feed."""
+    """Entities with their event feed; development = twelve of thirteen entities with a feed."""
     key = F.col("gpsno").cast("long")
     return coverage(spark, sf).select("gpsno", "has_event_feed",
                                       (F.col("has_event_feed") & (key % DEVELOPMENT_MOD != 0)).alias("is_development"))
