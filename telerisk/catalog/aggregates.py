@@ -19,7 +19,7 @@ from telerisk.operators import labels as L
 from telerisk.operators import landmarks as K
 from telerisk.operators import metrics as M
 from telerisk.operators import model, quality, scaling, scoring
-from telerisk.operators import trajectory as T
+from telerisk.session import materialise
 from telerisk.sources import canon
 
 CODE_COLUMNS = [f"event_{c}_{k}" for c in codes.EVENT_CODES for k in ("count", "episodes")]
@@ -57,7 +57,7 @@ def a4(spark, sf):
 @query("a5_motion_day", Q.shape("SELECT * FROM imu_daily", [f for f in FULL_SENSOR if f not in (
     "imu_valid_windows", "imu_valid_samples", "imu_ems_missing_samples", "imu_gps_missing_samples")], ctes=Q.IMU_CTES, t=["day"]))
 def a5(spark, sf):
-    return I.imu_daily(full_imu_windows(spark, sf))
+    return I.imu_daily(materialise(full_imu_windows(spark, sf), "windows"), materialise)
 
 
 @query("a6_distinct_events", Q.shape("SELECT * FROM clean", ["lat", "lng", "speed"], ["event_type"], Q.CLEAN, ["event_ts"]))
@@ -344,9 +344,12 @@ fitted AS (SELECT feature, log1p, boolean, low, high, median, CASE WHEN iqr < 0.
 PARAM_DOUBLES = ["low", "high", "median", "scale"]
 
 
+def training(daily):
+    return daily.where((F.col("day_index") <= TRAIN_DAYS) & (F.col("gpsno").cast("long") % 5 != 0))
+
+
 def train_days(spark, sf):
-    key = F.col("gpsno").cast("long")
-    return V.daily(spark, sf).where((F.col("day_index") <= TRAIN_DAYS) & (key % 5 != 0))
+    return training(V.daily(spark, sf))
 
 
 BOOLEANS = ("has_event_feed",)
@@ -396,8 +399,9 @@ def a24(spark, sf):
     FROM ({_long_sql(SCALED, 'day_index > 20', 'gpsno, day_index, ')}) x JOIN fitted USING (feature)""", ["scaled"], ["day_index", "observed"],
     f"{Q.DAILY_CTES}, {FIT}"))
 def a25(spark, sf):
-    params = scaling.fit_iqr_scaler(train_days(spark, sf), SCALED, BOOLEANS)
-    long = scaling.long_features(V.daily(spark, sf).where("day_index > 20"), ["gpsno", "day_index"], SCALED)
+    daily = V.daily_table(spark, sf)
+    params = scaling.fit_iqr_scaler(training(daily), SCALED, BOOLEANS)
+    long = scaling.long_features(daily.where("day_index > 20"), ["gpsno", "day_index"], SCALED)
     return scaling.apply_iqr_scaler(long, params, limit=10.0)
 
 
@@ -407,8 +411,9 @@ def a25(spark, sf):
     FROM ({_long_sql(STD_FEATURES, 'day_index > 20', 'gpsno, day_index, ')}) x JOIN std_fitted USING (feature)""", ["scaled"], ["day_index", "missing"],
     f"{Q.DAILY_CTES}, {FIT_STD}"))
 def a25_std(spark, sf):
-    scaler = scaling.RobustScaler.fit(train_days(spark, sf), STD_FEATURES)
-    return scaler.transform(scaling.long_features(V.daily(spark, sf).where("day_index > 20"), ["gpsno", "day_index"], STD_FEATURES))
+    daily = V.daily_table(spark, sf)
+    scaler = scaling.RobustScaler.fit(training(daily), STD_FEATURES)
+    return scaler.transform(scaling.long_features(daily.where("day_index > 20"), ["gpsno", "day_index"], STD_FEATURES))
 
 
 @query("a26_base_hazard", Q.shape("""SELECT anchor_day, COUNT(first_event_day) AS events, SUM(COALESCE(first_event_day, horizon_days)) AS person_days,
@@ -463,7 +468,7 @@ SCORE_CTES = f"{Q.DAILY_CTES}, {history_sql(V.SCORE_ANCHORS)}, {Q.LONG_CODES}, {
 
 @query("a29_event_burden", Q.shape("SELECT gpsno, anchor_day, event_code, burden FROM burden", ["burden"], ["anchor_day", "event_code"], SCORE_CTES))
 def a29(spark, sf):
-    daily = V.daily(spark, sf)
+    daily = V.daily_table(spark, sf)
     exposure = K.exposure_totals(daily, V.SCORE_ANCHORS)
     return scoring.event_burden(K.code_totals(K.active_code_days(daily), V.SCORE_ANCHORS), exposure)
 
@@ -497,7 +502,7 @@ SIGNAL_DOUBLES = [f"{s}_event" for s in A_STATES] + ["control_imu", "trajectory_
 
 @query("a31_state_signals", Q.shape("SELECT * FROM signals", SIGNAL_DOUBLES, ["anchor_day"], f"{SCORE_CTES}, {SIGNALS}"))
 def a31(spark, sf):
-    daily = V.daily(spark, sf)
+    daily = V.daily_table(spark, sf)
     exposure = K.exposure_totals(daily, V.SCORE_ANCHORS)
     burden = scoring.event_burden(K.code_totals(K.active_code_days(daily), V.SCORE_ANCHORS), exposure)
     return scoring.state_signals(burden, scoring.shrink_weights(V.importance(spark, sf), codes.STATES), exposure)

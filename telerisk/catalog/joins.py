@@ -16,6 +16,7 @@ from telerisk.operators import landmarks as K
 from telerisk.operators import metrics as M
 from telerisk.operators import model, quality, scoring, tensors
 from telerisk.operators import trajectory as T
+from telerisk.session import materialise
 
 P = V.PERIOD
 COVER_DATES = [f"{s}_{e}_day" for s in ("event", "trajectory", "imu") for e in ("first", "last")]
@@ -44,12 +45,13 @@ FULL_DOUBLES = ["event_speed_p90", "distance_km", "drive_hours", "gps_distance_c
 
 def full_trajectory_daily(spark, sf):
     from telerisk.operators.episodes import in_rule_window
-    return T.trajectory_daily(T.with_steps(T.best_fix(in_rule_window(V.trajectory(spark, sf), "ts", P.first_day, P.last_day))))
+    return T.trajectory_daily(T.with_steps(T.best_fix(in_rule_window(V.trajectory(spark, sf), "ts", P.first_day, P.last_day))),
+                              stage=materialise)
 
 
 def full_imu_windows(spark, sf):
     from telerisk.operators.episodes import in_rule_window
-    return I.imu_windows(I.motion_samples(in_rule_window(V.imu(spark, sf), "ts", P.first_day, P.last_day)))
+    return I.imu_windows(I.motion_samples(in_rule_window(V.imu(spark, sf), "ts", P.first_day, P.last_day)), stage=materialise)
 
 
 @query("j3_dense_entity_days", Q.shape("SELECT * EXCLUDE (day_index) FROM full_daily", FULL_DOUBLES, ctes=FULL_CTES, t=["day"]))
@@ -238,6 +240,7 @@ OCCLUSION_CTES = f"{Q.DAILY_CTES}, {Q.LONG_CODES}, {TERMS}, {OCCLUDED}"
 def occluded(spark, sf):
     active = K.active_code_days(V.daily(spark, sf)).where("n > 0")
     terms = active.groupBy("gpsno", "event_code").agg((F.sum("n") * (1 + F.col("event_code") % 7) / 64.0).alias("term"))
+    terms = materialise(terms, "terms")
     logits = (V.profile(spark, sf).select("gpsno").join(terms, "gpsno", "left").groupBy("gpsno")
               .agg((F.lit(-4.0) + F.coalesce(F.sum("term"), F.lit(0.0))).alias("logit")))
     return model.occlusion(logits, terms, 40, codes.EVENT_CODES)

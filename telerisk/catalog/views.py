@@ -14,6 +14,7 @@ from telerisk import codes
 from telerisk.operators import daily as D
 from telerisk.operators import episodes as E
 from telerisk.plans.preprocess import Period
+from telerisk.session import materialise
 
 PERIOD = Period("2024-01-01", "2024-01-30", ("2024-01-10", "2024-01-14", "2024-01-20", "2024-01-30"), "2024-01-30",
                 horizon=10, lookback=20)
@@ -120,6 +121,15 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return D.with_day_index(out, PERIOD.first_day)
 
 
+def daily_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity-day table written once, for queries that read it in several branches."""
+    return materialise(daily(spark, sf), "daily")
+
+
+def split_table(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(split_entities(spark, sf), "entities")
+
+
 def day_table(spark: SparkSession, sf: str) -> DataFrame:
     return D.day_table(daily(spark, sf), PERIOD.first_day)
 
@@ -195,7 +205,7 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
     """A per-code importance derived from the log."""
     clean = clean_events(spark, sf).where(F.col("event_type") != UNLISTED)
     return (clean.groupBy(F.col("event_type").alias("event_code"))
-            .agg((F.count(F.lit(1)) / 1024.0).alias("mean_abs_probability_delta")))
+            .agg(F.log1p(F.count(F.lit(1))).alias("mean_abs_probability_delta")))
 
 
 def card_probability(spark: SparkSession, sf: str, anchors=SCORE_ANCHORS) -> DataFrame:

@@ -16,6 +16,7 @@ from telerisk.operators import labels as L
 from telerisk.operators import landmarks as K
 from telerisk.operators import ordered, scoring, splits
 from telerisk.operators import trajectory as T
+from telerisk.session import materialise
 
 P = V.PERIOD
 
@@ -273,9 +274,9 @@ A_RISKS = [f"risk_{n}" for n in codes.SCORE_A_POINTS]
 
 
 def cards_a(spark, sf, anchors=V.SCORE_ANCHORS):
-    daily = V.daily(spark, sf)
-    weights = scoring.shrink_weights(V.importance(spark, sf), codes.STATES)
-    return scoring.scorecard_a(daily, V.split_entities(spark, sf), V.card_probability(spark, sf, anchors), weights, anchors, 30, 0.3125, P.first_day)
+    weights = materialise(scoring.shrink_weights(V.importance(spark, sf), codes.STATES), "weights")
+    return scoring.scorecard_a(V.daily_table(spark, sf), V.split_table(spark, sf), V.card_probability(spark, sf, anchors), weights, anchors, 30,
+                               0.3125, P.first_day, stage=materialise)
 
 
 @query("p23_neutral_risks", Q.shape(f"SELECT gpsno, anchor_day, route, {', '.join(A_RISKS)} FROM risks", A_RISKS, ["anchor_day"], A_CTES))
@@ -366,7 +367,7 @@ trend AS (SELECT gpsno, anchor_day, 0.50::DOUBLE * MAX(CASE WHEN metric = 'recen
 @query("w10_trend_risk", Q.shape("SELECT gpsno, anchor_day, trend FROM trend", ["trend"], ["anchor_day"],
                                  f"{Q.DAILY_CTES}, {Q.ENTITIES}, {STREAKS}, {TREND}"))
 def w10(spark, sf):
-    return scoring.trend_risk(V.daily(spark, sf), V.split_entities(spark, sf), V.SCORE_ANCHORS, DIMENSION_CODES)
+    return scoring.trend_risk(V.daily_table(spark, sf), V.split_table(spark, sf), V.SCORE_ANCHORS, DIMENSION_CODES, materialise)
 
 
 B_DIMS = list(codes.DIMENSIONS)
@@ -391,7 +392,7 @@ B_CUTS = [f"deduction_{d}" for d in codes.SCORE_B_POINTS]
 
 
 def cards_b(spark, sf):
-    return scoring.scorecard_b(V.daily(spark, sf), V.split_entities(spark, sf), V.importance(spark, sf), V.SCORE_ANCHORS)
+    return scoring.scorecard_b(V.daily_table(spark, sf), V.split_table(spark, sf), V.importance(spark, sf), V.SCORE_ANCHORS, stage=materialise)
 
 
 @query("p25_low_evidence_fallback", Q.shape(f"SELECT gpsno, anchor_day, confidence_level, {', '.join(B_RISKS)} FROM cards_b", B_RISKS, ["anchor_day"], B_CTES))
@@ -417,9 +418,9 @@ TOP_B = f"""contrib AS (SELECT gpsno, anchor_day, event_code, CASE dimension {'
     ["value"], ["anchor_day", "event_code", "position"], f"{B_CTES}, {TOP_B}"))
 def m8_contributions(spark, sf):
     """Top contributions of scorecard B per (entity, anchor), as numbers."""
-    entities, anchors = V.split_entities(spark, sf), V.SCORE_ANCHORS
-    daily = V.daily(spark, sf)
-    values = scoring.event_values(K.code_totals(K.active_code_days(daily, DIMENSION_CODES), anchors), K.exposure_totals(daily, anchors), entities)
+    entities, anchors, daily = V.split_table(spark, sf), V.SCORE_ANCHORS, V.daily_table(spark, sf)
+    values = scoring.event_values(K.code_totals(K.active_code_days(daily, DIMENSION_CODES), anchors), K.exposure_totals(daily, anchors), entities,
+                                  stage=materialise)
     weights = scoring.shrink_weights(V.importance(spark, sf), codes.DIMENSIONS, "dimension")
     worth = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(p)) for d, p in codes.SCORE_B_POINTS.items()])
     factor = F.when(F.col("dimension") == "control", 0.75).otherwise(1.0)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from telerisk import codes
 from telerisk.functions.columns import epoch_second
-from telerisk.operators.ordered import grouped_quantiles
+from telerisk.operators.ordered import Stage, summarise
 
 CLEAN_COLUMNS = ("gpsno", "event_ts", "event_type", "event_name", "lat", "lng", "speed")
 
@@ -60,17 +60,21 @@ def code_counts(code: str, flag: str, wanted: Sequence[int]) -> list[Column]:
         f"count_if({code} = {c}) AS event_{c}_count", f"count_if({code} = {c} AND {flag}) AS event_{c}_episodes")]
 
 
-def event_daily(marked: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, speed_p90: bool = True) -> DataFrame:
+def event_daily(marked: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, speed_p90: bool = True,
+                stage: Stage | None = None) -> DataFrame:
     """Entity-day event table: totals, episodes, unlisted codes, speed p90, per-code columns."""
     keyed = marked.withColumn("day", F.to_date("event_ts"))
-    code, flag = F.col("event_type"), F.col("episode_start")
-    totals = keyed.groupBy("gpsno", "day").agg(
-        F.count(F.lit(1)).alias("event_total_count"),
-        F.count_if(flag).alias("event_total_episodes"),
-        F.count_if(~code.isin(*wanted)).alias("event_other_count"),
-        *code_counts("event_type", "episode_start", wanted))
+    flag = F.col("episode_start")
+    listed = ", ".join(map(str, wanted))
+    totals = {"event_total_episodes": F.count_if(flag),
+              "event_other_count": F.expr(f"count_if(event_type NOT IN ({listed}))")}
+    order = ["gpsno", "day", "event_total_count", *totals]
     if not speed_p90:
-        return totals
-    p90 = grouped_quantiles(keyed.select("gpsno", "day", "speed"), ["gpsno", "day"],
-                            {"event_speed_p90": ("speed", 0.9)})
-    return totals.join(p90, ["gpsno", "day"], "left")
+        return keyed.groupBy("gpsno", "day").agg(
+            F.count(F.lit(1)).alias("event_total_count"), *[a.alias(n) for n, a in totals.items()],
+            *code_counts("event_type", "episode_start", wanted))
+    per_code = {f"event_{c}_{kind}": F.expr(text) for c in wanted for kind, text in (
+        ("count", f"count_if(event_type = {c})"), ("episodes", f"count_if(event_type = {c} AND episode_start)"))}
+    out = summarise(keyed, ["gpsno", "day"], ["event_type", "episode_start"], {**totals, **per_code},
+                    {"event_speed_p90": ("speed", 0.9)}, stage)
+    return out.withColumnRenamed("n", "event_total_count").select(*order, "event_speed_p90", *per_code)

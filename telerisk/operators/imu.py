@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telerisk.functions.columns import epoch_second, magnitude
-from telerisk.operators.ordered import grouped_quantiles, null_safe_join
+from telerisk.operators.ordered import Stage, summarise
 
 WINDOW_KEYS = ("gpsno", "imei", "day", "window_id")
 
@@ -20,35 +20,30 @@ def motion_samples(canonical: DataFrame, window_s: int = 10) -> DataFrame:
         magnitude("ax", "ay", "az").alias("accel_norm"), magnitude("gx", "gy", "gz").alias("gyro_norm"))
 
 
-def imu_windows(samples: DataFrame, minimum: int = 3) -> DataFrame:
-    """Window summary; windows with too few samples are dropped before the quantile step."""
-    sums = samples.groupBy(*WINDOW_KEYS).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.count("accel_norm").alias("valid_accel_samples"),
-        F.count("gyro_norm").alias("valid_gyro_samples"),
-        F.count_if(F.col("ems_speed").isNull()).alias("ems_missing_samples"),
-        F.count_if(F.col("gps_speed").isNull()).alias("gps_missing_samples"),
-        (F.max("ts") - F.min("ts")).alias("window_span"),
-        F.max("accel_norm").alias("accel_norm_max"),
-        F.stddev_samp("accel_norm").alias("accel_norm_std"),
-        F.max("gyro_norm").alias("gyro_norm_max"),
-    ).where((F.col("sample_count") >= minimum) & (F.col("valid_accel_samples") >= minimum)
-            & (F.col("valid_gyro_samples") >= minimum))
-    quantiles = grouped_quantiles(samples, list(WINDOW_KEYS), {
-        "accel_norm_p95": ("accel_norm", 0.95), "gyro_norm_p95": ("gyro_norm", 0.95), "speed_p50": ("speed", 0.5)})
-    return null_safe_join(sums, quantiles, list(WINDOW_KEYS), "left")
-
-
-def imu_daily(windows: DataFrame) -> DataFrame:
+def imu_windows(samples: DataFrame, minimum: int = 3, stage: Stage | None = None) -> DataFrame:
+    """Window summary in one pass over the samples; windows with too few samples are dropped."""
+    aggregates = {
+        "valid_accel_samples": F.count("accel_norm"), "valid_gyro_samples": F.count("gyro_norm"),
+        "ems_missing_samples": F.count_if(F.col("ts").isNotNull() & F.col("ems_speed").isNull()),
+        "gps_missing_samples": F.count_if(F.col("ts").isNotNull() & F.col("gps_speed").isNull()),
+        "window_span": F.max("ts") - F.min("ts"), "accel_norm_max": F.max("accel_norm"),
+        "accel_norm_std": F.stddev_samp("accel_norm"), "gyro_norm_max": F.max("gyro_norm")}
+    quantiles = {"accel_norm_p95": ("accel_norm", 0.95), "gyro_norm_p95": ("gyro_norm", 0.95), "speed_p50": ("speed", 0.5)}
+    out = summarise(samples, list(WINDOW_KEYS), ["ts", "accel_norm", "gyro_norm", "ems_speed", "gps_speed"],
+                    aggregates, quantiles, stage)
+    return out.withColumnRenamed("n", "sample_count").where(
+        (F.col("sample_count") >= minimum) & (F.col("valid_accel_samples") >= minimum) & (F.col("valid_gyro_samples") >= minimum))
+
+
+def imu_daily(windows: DataFrame, stage: Stage | None = None) -> DataFrame:
     """Quantiles of window quantiles per entity-day (exact, not mergeable)."""
-    sums = windows.groupBy("gpsno", "day").agg(
-        F.count(F.lit(1)).alias("imu_valid_windows"),
-        F.sum("sample_count").alias("imu_valid_samples"),
-        F.sum("ems_missing_samples").alias("imu_ems_missing_samples"),
-        F.sum("gps_missing_samples").alias("imu_gps_missing_samples"),
-        F.max("gyro_norm_max").alias("imu_gyro_peak"))
-    quantiles = grouped_quantiles(windows, ["gpsno", "day"], {
+    aggregates = {
+        "imu_valid_samples": F.sum("sample_count"), "imu_ems_missing_samples": F.sum("ems_missing_samples"),
+        "imu_gps_missing_samples": F.sum("gps_missing_samples"), "imu_gyro_peak": F.max("gyro_norm_max")}
+    quantiles = {
         "imu_accel_p95_median": ("accel_norm_p95", 0.5), "imu_accel_peak_p99": ("accel_norm_max", 0.99),
         "imu_accel_variability_p90": ("accel_norm_std", 0.9), "imu_gyro_p95_p90": ("gyro_norm_p95", 0.9),
-        "imu_speed_p50": ("speed_p50", 0.5)})
-    return sums.join(quantiles, ["gpsno", "day"], "left")
+        "imu_speed_p50": ("speed_p50", 0.5)}
+    out = summarise(windows, ["gpsno", "day"], ["sample_count", "ems_missing_samples", "gps_missing_samples", "gyro_norm_max"],
+                    aggregates, quantiles, stage)
+    return out.withColumnRenamed("n", "imu_valid_windows")

@@ -10,7 +10,7 @@ from those running totals and are exact.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -124,6 +124,40 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tu
     return quantile_of_cells(ranked, list(keys), "value", wanted)
 
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def staged(df: DataFrame, stage: Stage | None, purpose: str) -> DataFrame:
+    """Write-once hook: at scale, a table read by several branches is written and read back."""
+    return df if stage is None else stage(df, purpose)
+
+
+def summarise(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggregates: Mapping[str, Column],
+              specs: Mapping[str, tuple[str, float]], stage: Stage | None = None) -> DataFrame:
+    """Ordinary aggregates and exact quantiles of the same groups in one pass over the rows.
+
+    Every row contributes one entry with the aggregate ``inputs`` and one entry per quantile
+    column, grouped by (keys, metric, value) with map-side combine.  That cell table is far
+    smaller than the rows; with ``stage`` it is written once and both results come from it.
+    """
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    kinds = {i: df.schema[i].dataType for i in inputs}
+    whole = F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"),
+                     *[F.col(i).alias(f"in_{i}") for i in inputs])
+    parts = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"),
+                      *[F.lit(None).cast(k).alias(f"in_{i}") for i, k in kinds.items()]) for c in columns]
+    rows = (df.select(*keys, F.explode(F.array(whole, *parts)).alias("_e"))
+            .select(*keys, "_e.metric", "_e.value", *[F.col(f"_e.in_{i}").alias(i) for i in inputs])
+            .where(F.col("metric").isNull() | is_finite("value")))
+    cells = staged(rows.groupBy(*keys, "metric", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in aggregates.items()]), stage, "cells")
+    sums = cells.where(F.col("metric").isNull()).select(*keys, "n", *aggregates)
+    ranked = running_totals(cells.where(F.col("metric").isNotNull()).select(*keys, "metric", "value", "n"),
+                            [*keys, "metric"], "value", ["n"])
+    wanted = {name: (F.col("metric") == c, p) for name, (c, p) in specs.items()}
+    return null_safe_join(sums, quantile_of_cells(ranked, list(keys), "value", wanted), list(keys), "left")
+
+
 def metric_quantiles(long: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
     """Exact quantiles of a long (groups, value) table, one row per group, with the count ``n_values``."""
     cells = (long.where(is_finite(value)).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")))

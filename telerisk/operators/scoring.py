@@ -12,7 +12,7 @@ from telerisk import codes
 from telerisk.functions.columns import clip, sum_of
 from telerisk.operators.labels import group_active
 from telerisk.operators.landmarks import (by_day, active_code_days, code_totals, exposure_totals, longest_streak)
-from telerisk.operators.ordered import metric_quantiles, percentile_against, rank_by_value
+from telerisk.operators.ordered import Stage, metric_quantiles, percentile_against, rank_by_value, staged
 
 KEYS = ["gpsno", "anchor_day"]
 
@@ -152,14 +152,14 @@ def risk_percentiles(signals: DataFrame, reference_anchor: int) -> DataFrame:
 
 def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, weights: DataFrame,
                 anchors: Sequence[int], reference_anchor: int, fallback_probability: float | DataFrame, first_day: str,
-                points: Mapping[str, float] = codes.SCORE_A_POINTS) -> DataFrame:
-    """Cards of every (entity, anchor) in one job.
+                points: Mapping[str, float] = codes.SCORE_A_POINTS, stage: Stage | None = None) -> DataFrame:
+    """Cards of every (entity, anchor) in one job.  ``stage`` writes what several branches read.
 
     ``entities``: gpsno, has_event_feed, is_development.  ``probability``: gpsno, anchor_day,
     probability from any model.  A DataFrame fallback has one row with column ``prior``.
     """
-    exposure = exposure_totals(daily, anchors)
-    burden = event_burden(code_totals(active_code_days(daily), anchors), exposure)
+    exposure = staged(exposure_totals(daily, anchors), stage, "exposure")
+    burden = staged(event_burden(code_totals(active_code_days(daily), anchors), exposure), stage, "burden")
     signals = (state_signals(burden, weights, exposure).join(entities, "gpsno").join(probability, KEYS)
                .withColumn("route", route(F.col("has_event_feed"))))
     if isinstance(fallback_probability, DataFrame):
@@ -169,7 +169,7 @@ def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, w
         signals = signals.withColumn("_prior", F.lit(float(fallback_probability)))
     signals = signals.withColumn("probability", F.when(F.col("route") == codes.ROUTE_PRIOR, F.col("_prior"))
                                  .otherwise(F.col("probability"))).drop("_prior")
-    risks = risk_percentiles(signals, reference_anchor)
+    risks = risk_percentiles(staged(signals, stage, "signals"), reference_anchor)
     cut = deductions(list(points), points, 2, lambda n: F.col(f"risk_{n}"))
     total = sum_of(list(cut.values()))
     cards = (risks.select("*", *[c.alias(f"{n}_deduction") for n, c in cut.items()], total.alias("total_deduction"))
@@ -200,7 +200,7 @@ def with_ranks(cards: DataFrame, groups: Sequence[str] = ("anchor_day",), score:
 # --- scorecard B ----------------------------------------------------------------------
 
 def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
-                 mix: Mapping[str, float] = codes.SCORE_B_MIX) -> DataFrame:
+                 mix: Mapping[str, float] = codes.SCORE_B_MIX, stage: Stage | None = None) -> DataFrame:
     """Event risk of every active (entity, code, anchor): mid-rank percentiles plus recency.
 
     Zero is no risk, so inactive codes score 0 and stay out of the reference.
@@ -213,6 +213,7 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
                     F.log1p(100 * n / (F.col("hours") + 1)).alias("rate_hour"),
                     (F.col("active_days") / t).alias("active_share"),
                     F.exp(-(t - F.col("last_count_day")) / 14.0).alias("recency")))
+    rows = staged(rows, stage, "event-rows")
     ranked = ("rate_km", "rate_hour", "active_share")
     items = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ranked]
     keys = [*KEYS, "event_code"]
@@ -226,7 +227,8 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
             .select(*keys, (F.col("_ranked") + F.lit(float(mix["recency"])) * F.col("recency")).alias("event_value")))
 
 
-def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], wanted: Sequence[int]) -> DataFrame:
+def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], wanted: Sequence[int],
+               stage: Stage | None = None) -> DataFrame:
     """.50 recent share + .30 increase + .20 longest streak, each as a mid-rank percentile."""
     active = group_active(wanted, "count")
     days = longest_streak(daily, active)
@@ -245,7 +247,7 @@ def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], w
     items = [F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in parts.items()]
     long = (at.join(reference.select("gpsno", "is_development"), "gpsno")
             .select(*KEYS, "is_development", F.explode(F.array(*items)).alias("_x")).select(*KEYS, "is_development", "_x.*"))
-    scored = percentile_against(long, ["anchor_day", "metric"], "value", "is_development", mid_rank=True,
+    scored = percentile_against(staged(long, stage, "trend"), ["anchor_day", "metric"], "value", "is_development", mid_rank=True,
                                 where=F.col("value") > 0)
     share = {"recent": 0.50, "increase": 0.30, "streak": 0.20}
     return scored.groupBy(*KEYS).agg(F.sum(sum_of([
@@ -254,12 +256,13 @@ def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], w
 
 def scorecard_b(daily: DataFrame, entities: DataFrame, importance: DataFrame, anchors: Sequence[int],
                 points: Mapping[str, float] = codes.SCORE_B_POINTS, uniform_share: float = 0.5,
-                control_share: tuple[float, float] = (0.75, 0.25)) -> DataFrame:
+                control_share: tuple[float, float] = (0.75, 0.25), stage: Stage | None = None) -> DataFrame:
     """Hierarchical card: events -> dimensions -> score.  ``entities`` as in ``scorecard_a``."""
     wanted = [c for members in codes.DIMENSIONS.values() for c in members]
     weights = shrink_weights(importance, codes.DIMENSIONS, "dimension", uniform_share)
-    exposure = exposure_totals(daily, anchors)
-    values = event_values(code_totals(active_code_days(daily, wanted), anchors), exposure, entities)
+    exposure = staged(exposure_totals(daily, anchors), stage, "exposure")
+    totals = code_totals(active_code_days(daily, wanted), anchors)
+    values = staged(event_values(totals, exposure, entities, stage=stage), stage, "event-values")
     weighted = values.join(F.broadcast(weights), "event_code")  # one row per code
     sums = weighted.groupBy(*KEYS).agg(*[
         F.sum(F.when(F.col("dimension") == d, F.col("weight") * F.col("event_value")).otherwise(0.0)).alias(f"_{d}")
@@ -267,13 +270,14 @@ def scorecard_b(daily: DataFrame, entities: DataFrame, importance: DataFrame, an
     motion = percentile_against(exposure.select(*KEYS, "control_imu").join(entities.select("gpsno", "is_development"), "gpsno"),
                                 ["anchor_day"], "control_imu", "is_development", out="_imu", mid_rank=True)
     base = (exposure.join(entities, "gpsno").join(sums, KEYS, "left").join(motion.select(*KEYS, "_imu"), KEYS)
-            .join(trend_risk(daily, entities, anchors, wanted), KEYS))
+            .join(trend_risk(daily, entities, anchors, wanted, stage), KEYS))
     risk = {d: F.coalesce(F.col(f"_{d}"), F.lit(0.0)) for d in codes.DIMENSIONS}
     risk["control"] = F.lit(control_share[0]) * risk["control"] + F.lit(control_share[1]) * F.col("_imu")
     risk["trend"] = F.col("trend")
     level = evidence(F.col("has_event_feed"), codes.SCORE_B_EVIDENCE)
     raw = base.select(*KEYS, "has_event_feed", "is_development", level.alias("evidence_confidence"),
                       confidence_level(level).alias("confidence_level"), *[risk[d].alias(f"raw_{d}") for d in points])
+    raw = staged(raw, stage, "raw-risk")
     items = [F.struct(F.lit(d).alias("dimension"), F.col(f"raw_{d}").alias("value")) for d in points]
     reference = (raw.where("is_development").select("anchor_day", F.explode(F.array(*items)).alias("_x"))
                  .select("anchor_day", "_x.*"))

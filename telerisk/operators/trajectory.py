@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telerisk.functions.columns import circular_degrees, epoch_second, haversine_km
-from telerisk.operators.ordered import grouped_quantiles, lag_across_slices
+from telerisk.operators.ordered import Stage, lag_across_slices, summarise
 
 
 @dataclass(frozen=True)
@@ -75,23 +75,21 @@ def with_steps(fixes: DataFrame, rules: StepRules = StepRules()) -> DataFrame:
     )
 
 
-def trajectory_daily(steps: DataFrame, rules: StepRules = StepRules()) -> DataFrame:
-    """The fifteen entity-day trajectory measures."""
-    keyed = steps.withColumn("day", F.to_date("ts"))
-    km, hour = F.col("distance_km"), F.hour("ts")
-    sums = keyed.groupBy("gpsno", "day").agg(
-        F.count(F.lit(1)).alias("trajectory_rows"),
-        F.count_if(F.col("speed") > rules.moving_speed).alias("moving_rows"),
-        F.count_if(km.isNotNull()).alias("distance_valid_rows"),
-        F.count_if(km.isNull()).alias("distance_invalid_rows"),
-        F.count_if((F.col("distance_cm") > 0) & (F.col("run_time_s") == 0)).alias("distance_without_runtime_rows"),
-        F.sum(km).alias("distance_km"),
-        F.sum("drive_hours").alias("drive_hours"),
-        F.sum("gps_step_km").alias("gps_distance_check_km"),
-        F.sum("trip_start").alias("trip_starts"),
-        F.sum(F.when((hour < 6) | (hour >= 22), km).otherwise(0.0)).alias("night_distance_km"),
-        F.count_if(F.col("gap_s") > rules.long_gap).alias("long_gap_rows"))
-    quantiles = grouped_quantiles(keyed, ["gpsno", "day"], {
-        "speed_p50": ("speed", 0.5), "speed_p90": ("speed", 0.9),
-        "speed_change_p90": ("speed_change_per_s", 0.9), "turn_rate_p90": ("turn_deg_per_s", 0.9)})
-    return sums.join(quantiles, ["gpsno", "day"], "left")
+def trajectory_daily(steps: DataFrame, rules: StepRules = StepRules(), stage: Stage | None = None) -> DataFrame:
+    """The fifteen entity-day trajectory measures, in one pass over the steps."""
+    km, night = F.col("distance_km"), F.col("is_night")
+    hour = F.hour("ts")
+    keyed = steps.withColumn("day", F.to_date("ts")).withColumn("is_night", (hour < 6) | (hour >= 22))
+    inputs = ["speed", "distance_km", "drive_hours", "gps_step_km", "trip_start", "distance_cm", "run_time_s", "gap_s", "is_night"]
+    aggregates = {
+        "moving_rows": F.count_if(F.col("speed") > rules.moving_speed),
+        "distance_valid_rows": F.count("distance_km"),
+        "distance_without_runtime_rows": F.count_if((F.col("distance_cm") > 0) & (F.col("run_time_s") == 0)),
+        "distance_km": F.sum(km), "drive_hours": F.sum("drive_hours"), "gps_distance_check_km": F.sum("gps_step_km"),
+        "trip_starts": F.sum("trip_start"), "night_distance_km": F.sum(F.when(night, km).otherwise(0.0)),
+        "long_gap_rows": F.count_if(F.col("gap_s") > rules.long_gap)}
+    quantiles = {"speed_p50": ("speed", 0.5), "speed_p90": ("speed", 0.9),
+                 "speed_change_p90": ("speed_change_per_s", 0.9), "turn_rate_p90": ("turn_deg_per_s", 0.9)}
+    out = summarise(keyed, ["gpsno", "day"], inputs, aggregates, quantiles, stage)
+    return out.select("gpsno", "day", F.col("n").alias("trajectory_rows"), *aggregates,
+                      (F.col("n") - F.col("distance_valid_rows")).alias("distance_invalid_rows"), *quantiles)

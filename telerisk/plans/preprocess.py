@@ -1,4 +1,4 @@
-"""Raw files to entity-day tables as lazy DataFrames."""
+"""Canonical sources to entity-day tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from telerisk.operators import episodes as E
 from telerisk.operators import imu as I
 from telerisk.operators import labels as L
 from telerisk.operators import trajectory as T
+from telerisk.operators.ordered import Stage, staged
+from telerisk.session import materialise
 
 
 @dataclass(frozen=True)
@@ -46,19 +48,21 @@ class EntityDays:
 
 
 def build(profile: DataFrame, events: DataFrame, trajectory: DataFrame, imu: DataFrame, period: Period = PUBLISHED,
-          gap_s: int = 60, wanted: Sequence[int] = codes.EVENT_CODES) -> EntityDays:
+          gap_s: int = 60, wanted: Sequence[int] = codes.EVENT_CODES, stage: Stage | None = materialise) -> EntityDays:
     """All derived tables from the canonical sources.
 
-    On a cluster, write the canonical tables first (partitioned by day) and pass the written
-    copies, since each is read by more than one branch.
+    Each raw source is scanned once: tables that feed several branches (quantile cells, sensor
+    windows, entity-days) are written to the shared folder by ``stage``.  ``stage=None`` keeps
+    the plan lazy, for small inputs.
     """
     clean = E.clean_events(events, period.first_day, period.last_day)
-    by_event = E.event_daily(E.mark_episodes(clean, gap_s=gap_s), wanted)
+    by_event = staged(E.event_daily(E.mark_episodes(clean, gap_s=gap_s), wanted, stage=stage), stage, "event-daily")
     fixes = T.best_fix(E.in_rule_window(trajectory, "ts", period.first_day, period.last_day))
-    by_trajectory = T.trajectory_daily(T.with_steps(fixes))
+    by_trajectory = staged(T.trajectory_daily(T.with_steps(fixes), stage=stage), stage, "trajectory-daily")
     samples = I.motion_samples(E.in_rule_window(imu, "ts", period.first_day, period.last_day))
-    by_imu = I.imu_daily(I.imu_windows(samples))
-    cover = D.coverage(profile, clean, by_trajectory, by_imu)
+    windows = staged(I.imu_windows(samples, stage=stage), stage, "imu-windows")
+    by_imu = staged(I.imu_daily(windows, stage), stage, "imu-daily")
+    cover = staged(D.coverage(profile, clean, by_trajectory, by_imu), stage, "coverage")
     daily = D.assemble(cover, by_event, by_trajectory, by_imu, period.first_day, period.last_day, wanted)
     targets = E.target_events(clean)
     bags = L.label_index(cover, targets, period.anchors, period.final_anchor, period.first_day, period.horizon,
