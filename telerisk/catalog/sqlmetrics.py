@@ -19,7 +19,7 @@ def auc_sql(source: str, keys=(), score: str = "probability", label: str = "labe
       FROM (SELECT *, RANK() OVER ({part} ORDER BY {score})
                    + (COUNT(*) OVER (PARTITION BY {lead}{score}) - 1) / 2.0::DOUBLE AS mid FROM {source}) m {group}) a
     LEFT JOIN (
-      SELECT {lead}SUM(hits * CAST(tp AS DOUBLE) / (tp + fp)) / MAX(tp) AS pr_auc FROM (
+      SELECT {lead}CASE WHEN MAX(tp) > 0 THEN SUM(hits * CAST(tp AS DOUBLE) / (tp + fp)) / MAX(tp) END AS pr_auc FROM (
         SELECT {lead}{score}, hits, SUM(hits) OVER ({part} ORDER BY {score} DESC) AS tp,
                SUM(misses) OVER ({part} ORDER BY {score} DESC) AS fp
         FROM (SELECT {lead}{score}, SUM({label}) AS hits, SUM(1 - {label}) AS misses FROM {source} GROUP BY {lead}{score}) c) d
