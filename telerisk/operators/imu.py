@@ -12,9 +12,9 @@ WINDOW_KEYS = ("gpsno", "imei", "day", "window_id")
 
 
 def motion_samples(canonical: DataFrame, window_s: int = 10) -> DataFrame:
-    """Norms, preferred speed and the tumbling window of every sample."""
+    """Norms, preferred speed and the tumbling window of every sample (no device id is '')."""
     return canonical.select(
-        "gpsno", "imei", "ts", F.to_date("ts").alias("day"),
+        "gpsno", F.coalesce("imei", F.lit("")).alias("imei"), "ts", F.to_date("ts").alias("day"),
         F.floor(epoch_second("ts") / window_s).alias("window_id"),
         F.coalesce("ems_speed", "gps_speed").alias("speed"), "ems_speed", "gps_speed",
         magnitude("ax", "ay", "az").alias("accel_norm"), magnitude("gx", "gy", "gz").alias("gyro_norm"))

@@ -11,7 +11,6 @@ from those running totals and are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,22 +25,15 @@ _SHIFT = 1100 * BINS_PER_DOUBLING
 def value_bin(value: Column) -> Column:
     """Monotone bin of a double: 128 bins per doubling, mirrored below zero."""
     step = F.floor(F.log2(F.abs(value)) * BINS_PER_DOUBLING) + F.lit(_SHIFT)
-    return (F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0))).cast("long")
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join in which NULL keys match, keeping the left copy of the keys."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    # never NULL: a nullable bin would gain a filter on one join side and split the shared exchange
+    return F.coalesce(F.when(value > 0, step).when(value < 0, -step), F.lit(0)).cast("long")
 
 
 def running_totals(cells: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Per cell: total of each measure before it (``m_before``) and in its group (``m_total``).
 
-    ``cells`` holds one row per (groups, value).
+    ``cells`` holds one row per (groups, value); group keys must not be NULL.  Both branches
+    read the same cell exchange, and the join keeps the partitioning of the inner window.
     """
     binned = cells.withColumn("_bin", value_bin(F.col(value)))
     inside = (Window.partitionBy(*groups, "_bin").orderBy(value)
@@ -54,8 +46,7 @@ def running_totals(cells: DataFrame, groups: Sequence[str], value: str, measures
                     *[F.coalesce(F.sum(f"_b_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
                     *[F.sum(f"_b_{m}").over(whole).alias(f"{m}_total") for m in measures]))
     inner = binned.select("*", *[(F.sum(m).over(inside) - F.col(m)).alias(f"_i_{m}") for m in measures])
-    joined = null_safe_join(inner, bins, [*groups, "_bin"], "inner")
-    return joined.select(
+    return inner.join(bins, [*groups, "_bin"]).select(
         *cells.columns,
         *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],
@@ -139,6 +130,7 @@ def summarise(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggrega
     Every row contributes one entry with the aggregate ``inputs`` and one entry per quantile
     column, grouped by (keys, metric, value) with map-side combine.  That cell table is far
     smaller than the rows; with ``stage`` it is written once and both results come from it.
+    Keys must not be NULL.
     """
     columns = list(dict.fromkeys(c for c, _ in specs.values()))
     kinds = {i: df.schema[i].dataType for i in inputs}
@@ -155,7 +147,7 @@ def summarise(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggrega
     ranked = running_totals(cells.where(F.col("metric").isNotNull()).select(*keys, "metric", "value", "n"),
                             [*keys, "metric"], "value", ["n"])
     wanted = {name: (F.col("metric") == c, p) for name, (c, p) in specs.items()}
-    return null_safe_join(sums, quantile_of_cells(ranked, list(keys), "value", wanted), list(keys), "left")
+    return sums.join(quantile_of_cells(ranked, list(keys), "value", wanted), list(keys), "left")
 
 
 def metric_quantiles(long: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
@@ -204,13 +196,13 @@ def number_by_hash(df: DataFrame, groups: Sequence[str], hex_text: str, out: str
 
     The leading three hex digits split a group into 4,096 even bins; their counts carry over.
     """
-    binned = df.withColumn("_bin", F.substring(hex_text, 1, 3))
+    binned = df.withColumn("_bin", F.coalesce(F.substring(hex_text, 1, 3), F.lit("")))
     inside = Window.partitionBy(*groups, "_bin").orderBy(hex_text)
     earlier = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sizes = binned.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(*groups, "_bin", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     numbered = binned.withColumn("_inside", F.row_number().over(inside))
-    return (null_safe_join(numbered, offsets, [*groups, "_bin"], "inner")
+    return (numbered.join(offsets, [*groups, "_bin"])
             .withColumn(out, F.col("_inside") + F.col("_offset")).drop("_bin", "_inside", "_offset"))
 
 
@@ -238,10 +230,13 @@ def lag_across_slices(df: DataFrame, keys: Sequence[str], order: str, slice_of:
 
     Rows are windowed per (key, slice); the first row of a slice takes the last row of the
     nearest earlier slice from a table with one row per (key, slice).  ``order`` must be
-    unique per key and ``slice_of`` must not decrease along it.
+    unique per key, ``slice_of`` must not decrease along it, and none of them may be NULL.
     """
     payload = F.struct(order, *columns)
-    sliced = df.withColumn("_slice", slice_of)
+    # the same NOT NULL filters on both branches let them share one upstream exchange
+    for c in (*keys, order):
+        df = df.where(F.col(c).isNotNull())
+    sliced = df.withColumn("_slice", F.coalesce(slice_of, F.lit(0)))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     along = Window.partitionBy(*keys).orderBy("_slice")
     edges = (sliced.groupBy(*keys, "_slice").agg(F.max_by(payload, F.col(order)).alias("_last"))
