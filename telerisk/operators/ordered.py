@@ -103,16 +103,35 @@ def quantile_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
             .where(is_finite("value")).groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+HOT_CELLS = 100_000
+
+
+def quantiles_per_key(cells: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]],
+                      hot_cells: int = HOT_CELLS) -> DataFrame:
+    """Exact quantiles per key from pre-counted (keys, metric, value, n) cells.
+
+    Keys with at most ``hot_cells`` cells go through one hash aggregate whose buffers that
+    limit bounds.  Larger keys, of which there can be only cells/``hot_cells``, are ranked by
+    running totals, which never hold a key in one task.
+    """
+    hot = (cells.groupBy(*keys).agg(F.count_if(F.col("n") > 0).alias("_size"))
+           .where(F.col("_size") > hot_cells).select(*keys))
+    plain = [F.percentile(F.when(F.col("metric") == c, F.col("value")), p, F.col("n")).alias(name)
+             for name, (c, p) in specs.items()]
+    small = cells.join(hot, list(keys), "left_anti").groupBy(*keys).agg(*plain)
+    ranked = running_totals(cells.join(hot, list(keys), "left_semi"), [*keys, "metric"], "value", ["n"])
+    wanted = {name: (F.col("metric") == c, p) for name, (c, p) in specs.items()}
+    return small.unionByName(quantile_of_cells(ranked, list(keys), "value", wanted))
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]],
+                      hot_cells: int = HOT_CELLS) -> DataFrame:
     """Exact quantiles per key: ``specs`` maps output name to (column, probability).
 
-    Equivalent to ``groupBy(keys).agg(percentile(column, p))`` without holding the values of
-    a group in one buffer.  Keys with no finite value at all are absent.
+    Keys with no finite value at all are absent; keys must not be NULL.
     """
     columns = list(dict.fromkeys(c for c, _ in specs.values()))
-    ranked = running_totals(quantile_cells(df, keys, columns), [*keys, "metric"], "value", ["n"])
-    wanted = {name: (F.col("metric") == c, p) for name, (c, p) in specs.items()}
-    return quantile_of_cells(ranked, list(keys), "value", wanted)
+    return quantiles_per_key(quantile_cells(df, keys, columns), keys, specs, hot_cells)
 
 
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -144,10 +163,8 @@ def summarise(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], aggrega
     cells = staged(rows.groupBy(*keys, "metric", "value").agg(
         F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in aggregates.items()]), stage, "cells")
     sums = cells.where(F.col("metric").isNull()).select(*keys, "n", *aggregates)
-    ranked = running_totals(cells.where(F.col("metric").isNotNull()).select(*keys, "metric", "value", "n"),
-                            [*keys, "metric"], "value", ["n"])
-    wanted = {name: (F.col("metric") == c, p) for name, (c, p) in specs.items()}
-    return sums.join(quantile_of_cells(ranked, list(keys), "value", wanted), list(keys), "left")
+    found = cells.where(F.col("metric").isNotNull()).select(*keys, "metric", "value", "n")
+    return sums.join(quantiles_per_key(found, keys, specs), list(keys), "left")
 
 
 def metric_quantiles(long: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:

@@ -27,8 +27,11 @@ def finite(skewed):
     return out
 
 
-def test_quantiles_match_numpy(skewed):
-    got = {r["g"]: r for r in rows(ordered.grouped_quantiles(skewed, ["g"], {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("v", 0.01)}))}
+@pytest.mark.parametrize("hot_cells", [0, 100, 10 ** 9])  # all ranked, only the hot group ranked, none ranked
+def test_quantiles_match_numpy(skewed, hot_cells):
+    specs = {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("v", 0.01)}
+    got = {r["g"]: r for r in rows(ordered.grouped_quantiles(skewed, ["g"], specs, hot_cells))}
+    assert set(got) == set(finite(skewed))
     for g, values in finite(skewed).items():
         assert np.allclose([got[g][k] for k in "abc"], np.quantile(values, [0.5, 0.9, 0.01]), atol=1e-9)
 
