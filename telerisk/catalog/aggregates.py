@@ -82,20 +82,20 @@ def a8(spark, sf):
 
 
 @query("a8_trajectory_counters", f"""WITH {Q.TRAJECTORY} SELECT COUNT(*) AS raw_rows, COUNT(DISTINCT gpsno) AS raw_vehicles,
-    COUNT(*) FILTER (WHERE ts IS NULL OR gpsno = '') AS invalid_key_or_time_rows,
-    COUNT(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-26') AS after_rule_end_rows,
-    COUNT(*) FILTER (WHERE distance_cm > 0 AND run_time_s = 0) AS distance_without_runtime_rows,
-    COUNT(*) FILTER (WHERE speed IS NULL) AS invalid_speed_rows FROM trajectory""")
+    COUNT(CASE WHEN ts IS NULL OR gpsno = '' THEN 1 END) AS invalid_key_or_time_rows,
+    COUNT(CASE WHEN CAST(ts AS DATE) > DATE '2024-01-25' THEN 1 END) AS after_rule_end_rows,
+    COUNT(CASE WHEN distance_cm > 0 AND run_time_s = 0 THEN 1 END) AS distance_without_runtime_rows,
+    COUNT(CASE WHEN speed IS NULL THEN 1 END) AS invalid_speed_rows FROM trajectory""")
 def a8_trajectory(spark, sf):
     return quality.trajectory_counters(V.trajectory(spark, sf), "2024-01-25")
 
 
 @query("a8_motion_counters", f"""WITH {Q.IMU} SELECT COUNT(*) AS raw_rows, COUNT(DISTINCT gpsno) AS raw_vehicles,
-    COUNT(*) FILTER (WHERE ts IS NULL OR gpsno = '') AS invalid_key_or_time_rows,
-    COUNT(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-26') AS after_rule_end_rows,
-    COUNT(*) FILTER (WHERE ems_speed IS NULL) AS ems_speed_missing_rows, COUNT(*) FILTER (WHERE gps_speed IS NULL) AS gps_speed_missing_rows,
-    COUNT(*) FILTER (WHERE ax IS NULL OR ay IS NULL OR az IS NULL) AS accel_invalid_rows,
-    COUNT(*) FILTER (WHERE gx IS NULL OR gy IS NULL OR gz IS NULL) AS gyro_invalid_rows FROM imu""")
+    COUNT(CASE WHEN ts IS NULL OR gpsno = '' THEN 1 END) AS invalid_key_or_time_rows,
+    COUNT(CASE WHEN CAST(ts AS DATE) > DATE '2024-01-25' THEN 1 END) AS after_rule_end_rows,
+    COUNT(CASE WHEN ems_speed IS NULL THEN 1 END) AS ems_speed_missing_rows, COUNT(CASE WHEN gps_speed IS NULL THEN 1 END) AS gps_speed_missing_rows,
+    COUNT(CASE WHEN ax IS NULL OR ay IS NULL OR az IS NULL THEN 1 END) AS accel_invalid_rows,
+    COUNT(CASE WHEN gx IS NULL OR gy IS NULL OR gz IS NULL THEN 1 END) AS gyro_invalid_rows FROM imu""")
 def a8_motion(spark, sf):
     return quality.imu_counters(V.imu(spark, sf), "2024-01-25")
 

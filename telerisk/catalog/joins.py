@@ -35,7 +35,7 @@ def j2(spark, sf):
 
 FULL_MOTION = D.TRAJECTORY_FIELDS
 FULL_SENSOR = D.IMU_FIELDS
-FULL_COVER = Q.COVERAGE.replace("FROM motion", "FROM trajectory_daily").replace("FROM sensor", "FROM imu_daily")
+FULL_COVER = Q.coverage_body("trajectory_daily", "imu_daily")
 FULL_CTES = ", ".join((Q.PROFILE, Q.EVENT_CTES, Q.TRAJECTORY_CTES, Q.IMU_CTES, FULL_COVER,
                        f"full_daily AS ({Q.daily_body('trajectory_daily', 'imu_daily', FULL_MOTION, FULL_SENSOR, p90=True)})"))
 FULL_DOUBLES = ["event_speed_p90", "distance_km", "drive_hours", "gps_distance_check_km", "night_distance_km", "speed_p50", "speed_p90",
@@ -63,22 +63,20 @@ def j3(spark, sf):
 
 ANCHOR_DATES = "(VALUES " + ", ".join(f"(DATE '{a}')" for a in P.anchors) + ") AS a(anchor_date)"
 LABELS = f"""labels AS (
-  SELECT p.gpsno, a.anchor_date, COUNT(x.event_ts) AS accident_events, MIN(x.event_ts) AS first_accident_ts
-  FROM profile p CROSS JOIN {ANCHOR_DATES}
-  LEFT JOIN targets x ON x.gpsno = p.gpsno AND x.event_ts >= CAST(a.anchor_date + INTERVAL 1 DAY AS TIMESTAMP)
-        AND x.event_ts < CAST(a.anchor_date + INTERVAL {P.horizon + 1} DAY AS TIMESTAMP)
+  SELECT p.gpsno, a.anchor_date, COUNT(h.event_ts) AS accident_events, MIN(h.event_ts) AS first_accident_ts
+  FROM profile p JOIN {ANCHOR_DATES} ON TRUE
+  LEFT JOIN targets h ON h.gpsno = p.gpsno AND DATE_DIFF('day', a.anchor_date, CAST(h.event_ts AS DATE)) BETWEEN 1 AND {P.horizon}
   GROUP BY p.gpsno, a.anchor_date)"""
 FINAL = f"DATE '{P.final_anchor}'"
 BAGS = f"""bags AS (
-  SELECT l.gpsno, l.anchor_date, GREATEST({Q.FIRST}, CAST(l.anchor_date - INTERVAL {P.lookback - 1} DAY AS DATE)) AS input_start,
-         l.anchor_date AS input_end, CAST(l.anchor_date + INTERVAL {P.horizon} DAY AS DATE) AS future_end,
-         CASE WHEN l.anchor_date = {FINAL} OR NOT c.has_event_feed THEN NULL WHEN l.accident_events > 0 THEN 1 ELSE 0 END AS label,
-         CASE WHEN l.anchor_date = {FINAL} THEN 'target_unknown' WHEN NOT c.has_event_feed THEN 'unlabeled_no_event_feed'
-              WHEN l.accident_events > 0 THEN 'observed_positive' ELSE 'provisional_negative' END AS label_status,
-         CASE WHEN l.anchor_date = {FINAL} THEN NULL ELSE l.accident_events END AS accident_events,
-         CASE WHEN l.anchor_date = {FINAL} THEN NULL ELSE l.first_accident_ts END AS first_accident_ts,
-         c.has_event_feed, c.has_trajectory, c.has_imu
-  FROM labels l JOIN coverage c USING (gpsno))"""
+  SELECT gpsno, anchor_date, input_start, anchor_date AS input_end, anchor_date + {P.horizon} AS future_end,
+         CASE label_status WHEN 'observed_positive' THEN 1 WHEN 'provisional_negative' THEN 0 END AS label, label_status,
+         IF(label_status = 'target_unknown', NULL, accident_events) AS accident_events,
+         IF(label_status = 'target_unknown', NULL, first_accident_ts) AS first_accident_ts, has_event_feed, has_trajectory, has_imu
+  FROM (SELECT c.*, l.anchor_date, l.accident_events, l.first_accident_ts, GREATEST(l.anchor_date - {P.lookback - 1}, {Q.FIRST}) AS input_start,
+               IF(l.anchor_date = {FINAL}, 'target_unknown', IF(NOT c.has_event_feed, 'unlabeled_no_event_feed',
+                  IF(l.accident_events = 0, 'provisional_negative', 'observed_positive'))) AS label_status
+        FROM coverage c JOIN labels l ON l.gpsno = c.gpsno) s)"""
 LABEL_CTES = f"{Q.COVER_CTES}, {Q.TARGETS}, {LABELS}"
 BAG_CTES = f"{LABEL_CTES}, {BAGS}"
 BAG_DATES = ["anchor_date", "input_start", "input_end", "future_end", "first_accident_ts"]

@@ -117,10 +117,9 @@ def s8(spark, sf):
 
 
 EVENT_COUNTERS = """SELECT COUNT(*) AS raw_rows, COUNT(DISTINCT gpsno) AS raw_vehicles,
-    COUNT(*) FILTER (WHERE event_ts IS NULL OR event_type IS NULL OR gpsno = '') AS invalid_key_or_time_rows,
-    COUNT(*) FILTER (WHERE event_ts >= TIMESTAMP '2024-01-26') AS after_rule_end_rows,
-    COUNT(*) FILTER (WHERE bad_lat OR bad_lng) AS bad_coordinate_rows, COUNT(*) FILTER (WHERE bad_speed) AS bad_speed_rows
-    FROM canon"""
+    COUNT(CASE WHEN gpsno = '' OR event_ts IS NULL OR event_type IS NULL THEN 1 END) AS invalid_key_or_time_rows,
+    COUNT(CASE WHEN CAST(event_ts AS DATE) > DATE '2024-01-25' THEN 1 END) AS after_rule_end_rows,
+    COUNT(CASE WHEN bad_lat OR bad_lng THEN 1 END) AS bad_coordinate_rows, COUNT(CASE WHEN bad_speed THEN 1 END) AS bad_speed_rows FROM canon"""
 
 
 @query("s9_json_report", f"WITH {Q.RAW}, {Q.CANON} {EVENT_COUNTERS}")

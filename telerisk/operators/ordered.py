@@ -190,9 +190,12 @@ def percentile_against(long: DataFrame, groups: Sequence[str], value: str, is_re
     ranked = running_totals(cells, groups, "_key", ["n"])
     below, inclusive = F.col("n_before"), F.col("n_before") + F.col("n")
     share = (below + inclusive) / (2.0 * F.col("n_total")) if mid_rank else inclusive / F.col("n_total").cast("double")
-    scores = ranked.select(*groups, "_key", F.when(F.col("n_total") > 0, share).otherwise(0.0).alias(out))
-    return (marked.join(scores, [*groups, "_key"], "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(0.0))).drop("_key").select(*long.columns, out))
+    scores = ranked.select(*groups, "_key", F.lit(0).alias("_salt"),
+                           F.when(F.col("n_total") > 0, share).otherwise(0.0).alias(out))
+    # rows without a key match nothing; the salt keeps them from meeting in one partition
+    spread = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*long.columns), F.lit(256)).cast("int")).otherwise(F.lit(0))
+    return (marked.withColumn("_salt", spread).join(scores, [*groups, "_key", "_salt"], "left")
+            .select(*long.columns, F.coalesce(F.col(out), F.lit(0.0)).alias(out)))
 
 
 def rank_by_value(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
