@@ -9,19 +9,23 @@ from telerisk.functions.columns import seeded_hex
 from telerisk.operators.ordered import number_by_hash
 
 
-def label_fingerprint(reference: DataFrame) -> DataFrame:
-    """SHA-256 per id bucket of sorted ``id:label`` lines, then of the bucket digests.
+def bucketed_digest(df: DataFrame, key: Column, line: Column, name: str, count: str) -> DataFrame:
+    """SHA-256 of sorted lines per key bucket, then of the bucket digests, with the line count.
 
-    Buckets (first three hex digits of md5(id)) keep each sorted list small at any size.
+    4,096 buckets (leading hex digits of md5(key)) keep every sorted list small.
     """
-    line = F.concat_ws(":", F.col("gpsno"), F.col("label").cast("string"))
-    bucket = F.substring(F.md5("gpsno"), 1, 3)
-    digests = (reference.groupBy(bucket.alias("bucket"))
+    bucket = F.substring(F.md5(key), 1, 3)
+    digests = (df.groupBy(bucket.alias("bucket"))
                .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"),
                     F.count(F.lit(1)).alias("n")))
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))),
-                                                       lambda s: s["digest"]), "\n"), 256).alias("label_fingerprint"),
-                       F.sum("n").alias("entities"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: s["digest"])
+    return digests.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias(name), F.sum("n").alias(count))
+
+
+def label_fingerprint(reference: DataFrame) -> DataFrame:
+    """Digest of the ``id:label`` lines: any added, removed or relabelled entity changes it."""
+    line = F.concat_ws(":", F.col("gpsno"), F.col("label").cast("string"))
+    return bucketed_digest(reference, F.col("gpsno"), line, "label_fingerprint", "entities")
 
 
 def stratified_split(reference: DataFrame, seed: int = 2026, folds: int = 5, holdout: float = 0.2) -> DataFrame:
