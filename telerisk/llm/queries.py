@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telerisk.llm import ledger, simhash
+from telerisk.llm import ledger, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_simhash_groups")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_suffix_repeats")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf, "documents")).drop("spans")
