@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telerisk.llm import ledger, repeats, simhash
+from telerisk.llm import credentials, ledger, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_suffix_repeats")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeats(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op10_credential_links")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.scan(table(spark, sf, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
