@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, ledger, repeats, simhash
+from telerisk.llm import credentials, ledger, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_credential_links")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.scan(table(spark, sf, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@query("op3_toxic_spans")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted", "spans")
