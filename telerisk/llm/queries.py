@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, ledger, repeats, simhash, toxicity
+from telerisk.llm import credentials, ledger, mixing, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
+@query("op7_pfair_mix")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents").select("doc_id", "source"))
