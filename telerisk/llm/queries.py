@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, ledger, mixing, repeats, simhash, toxicity
+from telerisk.llm import credentials, ledger, mixing, repeats, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,15 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_pfair_mix")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source"))
+
+
+#: a public vocabulary; another place can be named by this variable
+VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+@query("op1_token_sections")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tokens.attribute(docs, VOCABULARY).select(
+        "row.doc_id", "n_tokens", F.explode_outer("sections").alias("s")).select(
+        "doc_id", F.col("n_tokens").alias("doc_tokens"), "s.section", "s.start", "s.end", F.col("s.tokens").alias("n_tokens"), F.col("s.crossing").alias("n_crossing"))
