@@ -20,7 +20,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = rows.groupBy("doc").count().where("count > 1").limit(1).count()
     if not shared:
-        return rows.select("doc", F.lit(0).alias("copy"), "text")
+        # always 0, yet not a literal: a constant would leave the join keys, and joins would deal the texts anew
+        return rows.select("doc", (F.col("doc") % 1).cast("int").alias("copy"), "text")
     return rows.distinct().select(
         "doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).cast("int").alias("copy"), "text")
 
