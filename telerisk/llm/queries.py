@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, ledger, mixing, repeats, simhash, tokens, toxicity
+from telerisk.llm import credentials, ledger, mixing, repeats, simhash, tokens, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.attribute(docs, VOCABULARY).select(
         "row.doc_id", "n_tokens", F.explode_outer("sections").alias("s")).select(
         "doc_id", F.col("n_tokens").alias("doc_tokens"), "s.section", "s.start", "s.end", F.col("s.tokens").alias("n_tokens"), F.col("s.crossing").alias("n_crossing"))
+
+
+@query("op5_wrapper_text")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf, "pages"))
