@@ -25,8 +25,6 @@ BINS = 1 << 22
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 3000, 16384
 STEP = 128
 ROUNDS = 25
-PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _AFFIXES = (("start", 4), ("start", 5), ("start", 6), ("end", 4))
 
 
@@ -49,15 +47,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """Start, end and row of each token, and its feature bins (tokens x features)."""
     starts, ends, rows = block.words()
     text = LOWER[block.data]
-    solid = np.flatnonzero(~PUNCTUATION[text])
-    if len(solid) and len(starts):
-        left = np.searchsorted(solid, starts)
-        right = np.searchsorted(solid, ends) - 1
-        bare = left <= right
-        a = np.where(bare, solid[np.minimum(left, len(solid) - 1)], starts)
-        b = np.where(bare, solid[np.maximum(right, 0)] + 1, ends)
-    else:
-        a, b = starts, ends
+    a, b = block.cores(starts, ends)
     sums = WORDS.sums(text)
     columns = [WORDS.spans(sums, a, b)]
     for k, (side, n) in enumerate(_AFFIXES):

@@ -18,6 +18,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: ASCII characters other than letters and digits
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +83,16 @@ class Block:
         ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
         return starts, ends, self.row_of(starts)
 
+    def cores(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the words without punctuation around them; words of nothing else stay as they are."""
+        solid = np.flatnonzero(~PUNCTUATION[self.data])
+        if not len(solid) or not len(starts):
+            return starts, ends
+        left, right = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+        bare = left <= right
+        return (np.where(bare, solid[np.minimum(left, len(solid) - 1)], starts),
+                np.where(bare, solid[np.maximum(right, 0)] + 1, ends))
+
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
 
