@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, decontaminate, ledger, mixing, repeats, simhash, tokens, toxicity, wrappers
+from telerisk.llm import credentials, decontaminate, ledger, licences, mixing, repeats, simhash, tokens, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_latent_leaks")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_licence_notices")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(table(spark, sf, "documents"))
