@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telerisk.llm.keys import keyed, public_id
+from telerisk.llm.keys import NULL_ID, keyed, public_id
 from telerisk.session import materialise
 
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,3 +131,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     return found.join(more, ["doc", "copy"], "left").select(
         public_id().alias("doc_id"), "copy", *[f"n_{k}" for k in BASE], F.sha2(ordered(F.col("base")), 256).alias("base_sha256"),
         ordered(every).alias("spans"), every.alias("parts"))
+
+
+#: kinds whose text is taken out; accounts and endpoints stay
+TAKEN = ("assign", "access", "hex", "opaque")
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with each run of secret spans in the text replaced by ``mark``; all rows and columns stay."""
+    shared = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+    # rows that share an id are told apart by a hash of id and text
+    key = F.xxhash64(id_col, text_col) if shared else F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    rows = docs.withColumn("_key", key)
+    taken = F.filter("parts", lambda p: p["kind"].isin([KINDS.index(k) for k in TAKEN]))
+    found = scan(rows.select("_key", F.col(text_col).alias("text")), "_key", "text").select(
+        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("_key"), taken.alias("_parts")).where(F.size("_parts") > 0)
+    found = found.dropDuplicates(["_key"]) if shared else found
+    text = F.col(f"`{text_col}`")
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        fresh = p["start"] >= s["at"]
+        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(fresh, F.concat(
+            s["out"], text.substr(s["at"] + 1, p["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"))
+
+    clean = F.aggregate("_parts", state, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    joined = rows.join(found, "_key", "left")
+    return joined.select(*[F.when(F.col("_parts").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -60,15 +60,16 @@ def block_fingerprints(block, shingle: int = 3, seed: int = 42) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp`` (signed 64-bit) of every row; texts without a word have fingerprint zero."""
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, with ``fp`` (signed 64-bit); texts without a word have zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [block_fingerprints(b, shingle, seed) for b in blocks(batch.column(1))]
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
 
 
 def distance(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -211,14 +212,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked like any other; repeated rows each get their row; a null doc_id takes part in links but is
     never a component_id unless the component has no other.  Only the named columns are read.
     """
-    known = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = materialise(fingerprints(slim, "text", shingle, seed).select("row.doc_id", "fp"), "fingerprints")
+    return known.join(grouped(known, bits), "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def grouped(known: DataFrame, bits: int) -> DataFrame:
+    """``fp``, ``root`` (names the component) and ``component_id`` of each fingerprint in ``known(doc_id, fp)``."""
     distinct = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "distinct")
     roots = components(links(distinct, bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "smallest", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    member = named.join(least, "root").select("fp", "component_id")
-    return known.join(member, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = 3) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all its columns: that of the smallest doc_id.
+
+    Of rows that share that id and fingerprint one stays.  Rows with a null id stay only where no other does.
+    """
+    shared = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+    known = materialise(fingerprints(docs, text_col, shingle, seed), "fingerprints")
+    at = known.select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "fp")
+    last = F.lit((1 << 63) - 1)  # null ids come last
+    first = at.select(F.coalesce("doc_id", last).alias("doc_id"), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    chosen = first.join(grouped(at, bits), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(
+        F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"))
+    kept = known.withColumn("_id", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), last)).withColumnRenamed("fp", "_fp").join(chosen, ["_id", "_fp"])
+    return (kept.dropDuplicates(["_id", "_fp"]) if shared else kept).select("row.*")
 
 
 def as_hex(fp: Column) -> Column:
