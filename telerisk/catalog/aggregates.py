@@ -163,6 +163,7 @@ def history_sql(anchors=V.ANCHORS) -> str:
 
 
 _FIELDS, _NAMES = _landmark_sql()
+LANDMARK_NUMBERS = _NAMES
 LANDMARK_CTES = f"{Q.DAILY_CTES}, {history_sql()}, landmarks AS (SELECT gpsno, anchor_day, {_FIELDS} FROM history GROUP BY gpsno, anchor_day)"
 
 
@@ -318,15 +319,14 @@ def a21(spark, sf):
 
 # --- scalers --------------------------------------------------------------------------
 
-SCALED = ("distance_km", "drive_hours", "speed_p90", "imu_accel_peak_p99", "moving_rows", "event_total_count", "event_30000_count",
-          "has_event_feed", "events_per_100km")
+SCALED = V.MODEL_FEATURES
 TRAIN_DAYS = 20
 TRAIN = f"day_index <= {TRAIN_DAYS} AND CAST(gpsno AS BIGINT) % 5 <> 0"
 
 
 def _long_sql(features, where, extra=""):
     return " UNION ALL ".join(f"SELECT {extra}'{f}' AS feature, {str(scaling.is_count_feature(f)).upper()} AS count_like, "
-                              f"{str(f.startswith('has_')).upper()} AS boolean, CAST({'CAST(' + f + ' AS INTEGER)' if f.startswith('has_') else f} AS DOUBLE) AS value "
+                              f"{str(f in V.FLAGS).upper()} AS boolean, CAST({'CAST(' + f + ' AS INTEGER)' if f in V.FLAGS else f} AS DOUBLE) AS value "
                               f"FROM daily WHERE {where}" for f in features)
 
 
@@ -352,7 +352,7 @@ def train_days(spark, sf):
     return training(V.daily(spark, sf))
 
 
-BOOLEANS = ("has_event_feed",)
+BOOLEANS = V.FLAGS
 
 
 @query("a22_iqr_scaler_fit", Q.shape("SELECT * FROM fitted", PARAM_DOUBLES, ctes=f"{Q.DAILY_CTES}, {FIT}"))
@@ -366,7 +366,7 @@ def a22_unit(spark, sf):
     return scaling.fit_iqr_scaler(train_days(spark, sf), SCALED, BOOLEANS, unit_floor=True)
 
 
-STD_FEATURES = ("distance_km", "drive_hours", "night_distance_km", "speed_p90", "turn_rate_p90", "imu_gyro_peak", "long_gap_rows")
+STD_FEATURES = V.NUMBERS
 _slog = "SIGN(value) * LN(1 + ABS(value))"
 FIT_STD = f"""std_train AS (SELECT feature, {_slog} AS v FROM ({_long_sql(STD_FEATURES, TRAIN)}) x),
 std_bounds AS (SELECT feature, QUANTILE_CONT(v, 0.01) AS low, QUANTILE_CONT(v, 0.99) AS high FROM std_train GROUP BY feature),
@@ -393,27 +393,37 @@ def a24(spark, sf):
     return scaling.fit_code_scale(nodes, F.col("occurred") == 1, NODE_METRICS, logged=False)
 
 
-@query("a25_scaler_apply", Q.shape(f"""
+def wide_sql(long: str, features, mark: str) -> str:
+    """One row per entity-day: a column for each feature, and the marks of all features as one text."""
+    return (f"SELECT gpsno, day_index, {', '.join(f"MAX(CASE WHEN feature = '{f}' THEN scaled END) AS {f}" for f in features)}, "
+            f"STRING_AGG(CAST({mark} AS VARCHAR), '' ORDER BY feature) AS {mark} FROM ({long}) l GROUP BY gpsno, day_index")
+
+
+def wide(long, features, mark: str):
+    marks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature", F.col(mark).cast("string").alias("m")))), lambda x: x["m"]), "")
+    return long.groupBy("gpsno", "day_index").agg(*[F.max(F.when(F.col("feature") == f, F.col("scaled"))).alias(f) for f in features], marks.alias(mark))
+
+
+@query("a25_scaler_apply", Q.shape(wide_sql(f"""
     SELECT gpsno, day_index, feature, COALESCE(LEAST(GREATEST((LEAST(GREATEST(CASE WHEN log1p THEN LN(1 + GREATEST(value, 0)) ELSE value END, low), high) - median) / scale, -10), 10)
              * CASE WHEN value IS NULL THEN NULL ELSE 1 END, 0.0) AS scaled, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS observed
-    FROM ({_long_sql(SCALED, 'day_index > 20', 'gpsno, day_index, ')}) x JOIN fitted USING (feature)""", ["scaled"], ["day_index", "observed"],
+    FROM ({_long_sql(SCALED, 'TRUE', 'gpsno, day_index, ')}) x JOIN fitted USING (feature)""", SCALED, "observed"), SCALED, ["day_index"],
     f"{Q.DAILY_CTES}, {FIT}"))
 def a25(spark, sf):
     daily = V.daily_table(spark, sf)
     params = scaling.fit_iqr_scaler(training(daily), SCALED, BOOLEANS)
-    long = scaling.long_features(daily.where("day_index > 20"), ["gpsno", "day_index"], SCALED)
-    return scaling.apply_iqr_scaler(long, params, limit=10.0)
+    return wide(scaling.apply_iqr_scaler(scaling.long_features(daily, ["gpsno", "day_index"], SCALED), params, limit=10.0), SCALED, "observed")
 
 
-@query("a25_std_scaler_apply", Q.shape(f"""
+@query("a25_std_scaler_apply", Q.shape(wide_sql(f"""
     SELECT gpsno, day_index, feature, CASE WHEN value IS NULL THEN 0.0 ELSE (LEAST(GREATEST({_slog}, low), high) - median) / scale END AS scaled,
            CASE WHEN value IS NULL THEN 1 ELSE 0 END AS missing
-    FROM ({_long_sql(STD_FEATURES, 'day_index > 20', 'gpsno, day_index, ')}) x JOIN std_fitted USING (feature)""", ["scaled"], ["day_index", "missing"],
+    FROM ({_long_sql(STD_FEATURES, 'TRUE', 'gpsno, day_index, ')}) x JOIN std_fitted USING (feature)""", STD_FEATURES, "missing"), STD_FEATURES, ["day_index"],
     f"{Q.DAILY_CTES}, {FIT_STD}"))
 def a25_std(spark, sf):
     daily = V.daily_table(spark, sf)
     scaler = scaling.RobustScaler.fit(training(daily), STD_FEATURES)
-    return scaler.transform(scaling.long_features(daily.where("day_index > 20"), ["gpsno", "day_index"], STD_FEATURES))
+    return wide(scaler.transform(scaling.long_features(daily, ["gpsno", "day_index"], STD_FEATURES)), STD_FEATURES, "missing")
 
 
 @query("a26_base_hazard", Q.shape("""SELECT anchor_day, COUNT(first_event_day) AS events, SUM(COALESCE(first_event_day, horizon_days)) AS person_days,
@@ -442,9 +452,9 @@ def a27(spark, sf):
 
 
 @query("a28_code_support", Q.shape("""SELECT event_code, COUNT(DISTINCT gpsno) AS support, 1 + 20.0::DOUBLE / (1 + COUNT(DISTINCT gpsno)) AS rarity
-    FROM long_codes WHERE n > 0 AND day_index <= 24 GROUP BY event_code""", ["rarity"], ["event_code"], f"{Q.DAILY_CTES}, {Q.LONG_CODES}"))
+    FROM long_codes WHERE n > 0 GROUP BY event_code""", ["rarity"], ["event_code"], f"{Q.DAILY_CTES}, {Q.LONG_CODES}"))
 def a28(spark, sf):
-    return L.code_support(K.active_code_days(V.daily(spark, sf)).where("day_index <= 24"))
+    return L.code_support(K.active_code_days(V.daily(spark, sf)))
 
 
 EXPOSURE = f"""exposure AS (

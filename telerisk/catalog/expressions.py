@@ -8,7 +8,7 @@ from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.registry import query
-from telerisk.catalog.sources_sinks import MODEL_FEATURES, imu_text
+from telerisk.catalog.sources_sinks import imu_text
 from telerisk.functions import columns as X
 from telerisk.operators import daily as D
 from telerisk.operators import episodes as E
@@ -213,7 +213,7 @@ def p22(spark, sf):
 
 @query("p26_column_families", "WITH " + Q.DAILY_CTES + """ SELECT family, COUNT(*) AS columns, CAST(SUM(n) AS BIGINT) AS observed_cells FROM (
     """ + " UNION ALL ".join(f"SELECT '{k}' AS family, COUNT({f}) AS n FROM daily" for k, fs in files.feature_families(
-        MODEL_FEATURES).items() for f in fs) + ") u GROUP BY family")
+        V.MODEL_FEATURES).items() for f in fs) + ") u GROUP BY family")
 def p26(spark, sf):
     daily = V.daily(spark, sf).drop("day_index")
     families = files.feature_families(files.numeric_features(daily))
@@ -233,7 +233,7 @@ def p27(spark, sf):
 
 @query("p28_count_like_columns", f"WITH {Q.DAILY_CTES} " + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST(SUM({f}) AS BIGINT) AS total FROM daily" for f in
-    MODEL_FEATURES
+    V.MODEL_FEATURES
     if f.endswith(("_count", "_episodes", "_rows", "_samples", "_windows")) or f == "trip_starts"))
 def p28(spark, sf):
     daily = V.daily(spark, sf).drop("day_index")

@@ -8,7 +8,7 @@ from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.registry import query
-from telerisk.catalog.sources_sinks import MODEL_FEATURES, bags
+from telerisk.catalog.sources_sinks import bags
 from telerisk.operators import daily as D
 from telerisk.operators import imu as I
 from telerisk.operators import labels as L
@@ -138,14 +138,14 @@ def j8(spark, sf):
 
 @query("j9_semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")
 def j9(spark, sf):
-    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("o_custkey"))
+    ids = V.table(spark, sf, "events").select(F.col("user_id").alias("o_custkey")).dropDuplicates()
     return V.table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(ids, "o_custkey", "left_semi")
 
 
 @query("j10_anti_join", """SELECT CAST(c_custkey AS VARCHAR) AS gpsno FROM customer
     WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""")
 def j10(spark, sf):
-    seen = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("gpsno"))
+    seen = V.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("gpsno")).dropDuplicates()
     return V.profile(spark, sf).select("gpsno").join(seen, "gpsno", "left_anti")
 
 
@@ -189,25 +189,23 @@ def j13(spark, sf):
     return pair(spark, sf)
 
 
-BAG_FEATURES = ("distance_km", "drive_hours", "event_total_count", "has_event_feed")
+BAG_FEATURES = V.MODEL_FEATURES
+_bag_value = lambda f: f"CAST({f'CAST(d.{f} AS INTEGER)' if f in V.FLAGS else f'd.{f}'} AS DOUBLE)"
 
 
 @query("j14_bag_tensor", Q.shape(f"""
     SELECT b.gpsno, b.anchor_date, o.o AS day_offset, CASE WHEN b.anchor_date - 19 + CAST(o.o AS INTEGER) >= {Q.FIRST} THEN 1 ELSE 0 END AS day_mask,
-           d.distance_km, d.drive_hours, CAST(d.event_total_count AS DOUBLE) AS event_total_count,
-           CAST(CAST(d.has_event_feed AS INTEGER) AS DOUBLE) AS has_event_feed,
-           CASE WHEN d.distance_km IS NULL THEN 0 ELSE 1 END AS mask_0
+           {', '.join(f'{_bag_value(f)} AS {f}' for f in BAG_FEATURES)}, CONCAT({', '.join(f'CAST(CAST(d.{f} IS NOT NULL AS INTEGER) AS VARCHAR)' for f in BAG_FEATURES)}) AS value_mask
     FROM bags b CROSS JOIN (SELECT UNNEST(RANGE(20)) AS o) o
     LEFT JOIN daily d ON d.gpsno = b.gpsno AND d.day = b.anchor_date - 19 + CAST(o.o AS INTEGER)""",
-    ["distance_km", "drive_hours", "event_total_count", "has_event_feed"], ["day_offset", "day_mask", "mask_0"],
-    f"{Q.DAILY_CTES}, {Q.TARGETS}, {LABELS}, {BAGS}", ["anchor_date"]))
+    BAG_FEATURES, ["day_offset", "day_mask"], f"{Q.DAILY_CTES}, {Q.TARGETS}, {LABELS}, {BAGS}", ["anchor_date"]))
 def j14(spark, sf):
-    """Tensor rows, unfolded again so that every cell is compared."""
+    """Tensor rows, unfolded again so that every cell and mask is compared."""
     packed = tensors.bag_days(bags(spark, sf), V.daily(spark, sf), BAG_FEATURES, P.first_day, P.lookback)
     cell = F.posexplode(F.arrays_zip("day_mask", "x", "value_mask")).alias("day_offset", "_c")
     return packed.select("gpsno", "anchor_date", cell).select(
         "gpsno", "anchor_date", "day_offset", "_c.day_mask", *[F.col("_c.x")[i].alias(f) for i, f in enumerate(BAG_FEATURES)],
-        F.col("_c.value_mask")[0].alias("mask_0"))
+        F.array_join(F.transform("_c.value_mask", lambda m: m.cast("int").cast("string")), "").alias("value_mask"))
 
 
 @query("j15_table_diff", Q.shape("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
-from telerisk.catalog.aggregates import LANDMARK_CTES, PARAM_DOUBLES, FIT_STD, STD_FEATURES, train_days
+from telerisk.catalog.aggregates import FIT_STD, LANDMARK_CTES, LANDMARK_NUMBERS, PARAM_DOUBLES, STD_FEATURES, train_days
 from telerisk.catalog.expressions import EVIDENCE_CTES
 from telerisk.catalog.joins import OCCLUSION_CTES, OUTCOME_CTES, occluded, outcomes
 from telerisk.catalog.registry import query
@@ -16,12 +16,19 @@ from telerisk.functions.columns import horizon_probability
 from telerisk.operators import daily as D
 from telerisk.operators import labels as L
 from telerisk.operators import landmarks as K
-from telerisk.operators import masks, metrics, model, scoring, tensors
+from telerisk.operators import masks, metrics, model, scoring, splits, tensors
 from telerisk.operators.scaling import RobustScaler, long_features
 from telerisk.session import materialise, shared_folder
 
-FULL_COLUMNS = (*codes.CONTEXT_FEATURES, "event_total_episodes_per_day", "event_11803_count_per_day", "event_11804_count_per_day",
-                "event_30000_count_per_day", "event_11803_recency_days")
+#: every numeric column of the landmark table
+FULL_COLUMNS = tuple(LANDMARK_NUMBERS)
+FOLDS = 5
+
+
+def with_folds(spark, sf, rows):
+    """Stratified folds (W17) of the rows' development entities."""
+    entities = outcomes(spark, sf).where("anchor_day = 20 AND label IS NOT NULL").select("gpsno", "label")
+    return rows.join(splits.stratified_split(entities, 2026, FOLDS).where("fold IS NOT NULL").select("gpsno", "fold"), "gpsno")
 
 
 def training_tables(spark, sf):
@@ -36,7 +43,7 @@ def training_tables(spark, sf):
 @query("m1_hazard_model")
 def m1(spark, sf):
     _, land, out = training_tables(spark, sf)
-    fitted = model.HazardModel.fit(land, L.compress_outcomes(out), FULL_COLUMNS, c=0.1, max_iter=30)
+    fitted = model.HazardModel.fit(land, L.compress_outcomes(out), FULL_COLUMNS, c=0.1)
     return fitted.daily_hazard(land.select("gpsno", "anchor_day", *FULL_COLUMNS)).select("gpsno", "anchor_day", "daily_hazard")
 
 
@@ -59,15 +66,15 @@ def labelled_windows(spark, sf):
     dev = V.split_entities(spark, sf).where("is_development").select("gpsno")
     features = K.window_features(daily, (20,)).join(dev, "gpsno", "left_semi")
     labels = outcomes(spark, sf, daily).where("anchor_day = 20").select("gpsno", "label")
-    return daily, materialise(features.join(labels, "gpsno").withColumn("fold", (F.col("gpsno").cast("long") % 3).cast("int")), "windows")
+    return daily, materialise(features.join(labels, "gpsno"), "windows")
 
 
 @query("m3_boosted_pair")
 def m3(spark, sf):
     _, rows = labelled_windows(spark, sf)
-    full, fallback = K.window_columns(rows.drop("label", "fold"))
+    full, fallback = K.window_columns(rows.drop("label"))
     rows = model.doubles(rows, full)
-    a, b = model.boosted_pair(rows, full, fallback, iterations=5, depth=3)
+    a, b = model.boosted_pair(rows, full, fallback)
     one = model.positive_probability(a.transform(rows), ["gpsno", "label"], "full_probability")
     two = model.positive_probability(b.transform(rows), ["gpsno"], "fallback_probability")
     return one.join(two, "gpsno")
@@ -77,15 +84,14 @@ def m3(spark, sf):
 def m4(spark, sf):
     _, land, out = training_tables(spark, sf)
     compressed = materialise(L.compress_outcomes(out), "compressed")
-    land = land.withColumn("fold", (F.col("gpsno").cast("long") % 3).cast("int"))
-    columns = FULL_COLUMNS[:8]
+    land = materialise(with_folds(spark, sf, land), "folded")
 
     def fit_predict(train, held):
         fitted = model.HazardModel.fit(train, compressed.join(train.select("gpsno", "anchor_day"), ["gpsno", "anchor_day"], "left_semi"),
-                                       columns, c=0.1, max_iter=15)
-        return fitted.daily_hazard(held.select("gpsno", "anchor_day", *columns)).select("gpsno", "anchor_day", "daily_hazard")
+                                       FULL_COLUMNS, c=0.1)
+        return fitted.daily_hazard(held.select("gpsno", "anchor_day", *FULL_COLUMNS)).select("gpsno", "anchor_day", "daily_hazard")
 
-    oof = model.out_of_fold(land, 3, fit_predict)
+    oof = model.out_of_fold(land, FOLDS, fit_predict)
     return (oof.join(out.select("gpsno", "anchor_day", "horizon_days", "first_event_day", "label"), ["gpsno", "anchor_day"])
             .withColumn("probability", horizon_probability("daily_hazard", "horizon_days")))
 
@@ -102,7 +108,8 @@ def m5(spark, sf):
 
 
 def nodes(spark, sf):
-    return D.event_node_features(V.day_table(spark, sf)).where("occurred = 1")
+    """Every cell of the tensor: quiet ones too, whose mask flag is part of the result."""
+    return D.event_node_features(V.day_table(spark, sf))
 
 
 _u = lambda h, p: f"((CAST('0x' || substr({h}, {p}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
@@ -131,7 +138,7 @@ def m6_states(spark, sf):
     return masks.mask_states(nodes(spark, sf), masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY))
 
 
-CHANNELS = ("distance_km", "drive_hours", "speed_p90", "imu_gyro_peak")
+CHANNELS = codes.DAY_NUMERIC
 
 
 @query("m6_masked_context")

@@ -80,21 +80,6 @@ def s4(spark, sf):
     return files.load_profile(profile_sheet(spark, sf))
 
 
-@query("s5_discover_sources")
-def s5(spark, sf):
-    kinds = {"profile": "customer*", "events": "events*", "motion": "lineitem*", "text": "documents*"}
-    return files.discover(spark, sf, kinds, single=("profile", "events")).select("kind", "name", "bytes")
-
-
-@query("s6_file_manifest")
-def s6(spark, sf):
-    manifest = files.file_manifest(spark, sf, "*.parquet")
-    total = files.fingerprint(manifest)
-    return (manifest.select("name", "bytes", "sha256")
-            .unionByName(total.select(F.lit("(all)").alias("name"), F.col("files").alias("bytes"),
-                                      F.col("data_fingerprint").alias("sha256"))))
-
-
 @query("s7_parquet_sink", Q.shape("SELECT gpsno, day, event_total_count, event_total_episodes, event_other_count FROM event_daily",
                                   ctes=Q.EVENT_CTES, t=["day"]))
 def s7(spark, sf):
@@ -161,22 +146,12 @@ def s11(spark, sf):
                  F.sum("distance_km").alias("distance_km"), F.sum(F.coalesce("event_total_count", F.lit(0))).alias("events")))
 
 
-MODEL_FEATURES = (
-    "has_event_feed", "has_trajectory", "has_imu", "event_recorded_today", "trajectory_recorded_today", "imu_recorded_today",
-    "observed_stationary_day", "event_total_count", "event_total_episodes", "event_other_count",
-    *[f"event_{c}_{k}" for c in codes.EVENT_CODES for k in ("count", "episodes")],
-    "trajectory_rows", "moving_rows", "distance_valid_rows", "distance_invalid_rows", "distance_km", "drive_hours",
-    "trip_starts", "night_distance_km", "speed_p50", "speed_p90", "speed_change_p90", "turn_rate_p90", "long_gap_rows",
-    "imu_valid_windows", "imu_valid_samples", "imu_accel_peak_p99", "imu_accel_variability_p90", "imu_gyro_peak",
-    "events_per_100km", "events_per_drive_hour")
-
-
 def _family(name):
-    return next(k for k, v in files.feature_families(MODEL_FEATURES).items() if name in v)
+    return next(k for k, v in files.feature_families(V.MODEL_FEATURES).items() if name in v)
 
 
 @query("s12_numeric_features", f"WITH {Q.DAILY_CTES} " + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, '{_family(f)}' AS family, COUNT({f}) AS observed FROM daily" for f in MODEL_FEATURES))
+    f"SELECT '{f}' AS feature, '{_family(f)}' AS family, COUNT({f}) AS observed FROM daily" for f in V.MODEL_FEATURES))
 def s12(spark, sf):
     daily = V.daily(spark, sf).drop("day_index")
     features = files.numeric_features(daily)

@@ -21,11 +21,22 @@ PERIOD = Period("2024-01-01", "2024-01-30", ("2024-01-10", "2024-01-14", "2024-0
 LAST_DAY = 30
 HORIZON = 10
 ANCHORS = (14, 20, 24)
-SCORE_ANCHORS = (14, 20, 24, 30)
+SCORE_ANCHORS = tuple(range(14, LAST_DAY + 1))
 GAP_S = 86400
 UNLISTED = 99999
 DEVELOPMENT_MOD = 13
 
+#: the numeric and boolean columns of the entity-day table, as ``files.numeric_features`` finds them
+MODEL_FEATURES = (
+    "has_event_feed", "has_trajectory", "has_imu", "event_recorded_today", "trajectory_recorded_today", "imu_recorded_today",
+    "observed_stationary_day", "event_total_count", "event_total_episodes", "event_other_count",
+    *[f"event_{c}_{k}" for c in codes.EVENT_CODES for k in ("count", "episodes")],
+    "trajectory_rows", "moving_rows", "distance_valid_rows", "distance_invalid_rows", "distance_km", "drive_hours",
+    "trip_starts", "night_distance_km", "speed_p50", "speed_p90", "speed_change_p90", "turn_rate_p90", "long_gap_rows",
+    "imu_valid_windows", "imu_valid_samples", "imu_accel_peak_p99", "imu_accel_variability_p90", "imu_gyro_peak",
+    "events_per_100km", "events_per_drive_hour")
+FLAGS = MODEL_FEATURES[:7]
+NUMBERS = MODEL_FEATURES[7:]
 
 _SCHEMAS: dict[str, StructType] = {}
 
@@ -85,12 +96,17 @@ def event_daily(spark: SparkSession, sf: str, speed_p90: bool = False) -> DataFr
     return E.event_daily(marked(spark, sf), speed_p90=speed_p90)
 
 
+def shifted_day(hours: Column) -> Column:
+    """Day of an event some hours on, so that the sources cover different days of an entity."""
+    return F.to_date(F.expr("ts") + F.make_dt_interval(F.lit(0), hours.cast("int")))
+
+
 def motion_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Entity-day exposure summed straight from the log (exact binary fractions)."""
     i = F.col("event_id")
     step = (i % 97) * 0.5
-    return (table(spark, sf, "events").where(i % 3 != 0)
-            .groupBy(F.col("user_id").cast("string").alias("gpsno"), F.to_date("ts").alias("day")).agg(
+    return (table(spark, sf, "events")
+            .groupBy(F.col("user_id").cast("string").alias("gpsno"), shifted_day(i % 3 * 16).alias("day")).agg(
                 F.count(F.lit(1)).alias("trajectory_rows"), F.count_if(i % 5 != 0).alias("moving_rows"),
                 F.count_if(i % 7 != 0).alias("distance_valid_rows"), F.count_if(i % 7 == 0).alias("distance_invalid_rows"),
                 F.sum(step).alias("distance_km"), F.sum((i % 13) * 0.25).alias("drive_hours"),
@@ -103,8 +119,8 @@ def motion_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def sensor_daily(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
-    return (table(spark, sf, "events").where(i % 4 != 1)
-            .groupBy(F.col("user_id").cast("string").alias("gpsno"), F.to_date("ts").alias("day")).agg(
+    return (table(spark, sf, "events")
+            .groupBy(F.col("user_id").cast("string").alias("gpsno"), shifted_day(i % 4 * -12).alias("day")).agg(
                 F.count(F.lit(1)).alias("imu_valid_windows"), (F.count(F.lit(1)) * 4).alias("imu_valid_samples"),
                 (F.max(i % 31) * 0.125).alias("imu_accel_peak_p99"),
                 (F.max(i % 23) * 0.0625).alias("imu_accel_variability_p90"), (F.max(i % 53) * 0.5).alias("imu_gyro_peak")))

@@ -31,7 +31,7 @@ def fixes(spark, sf):
     return T.best_fix(E.in_rule_window(V.trajectory(spark, sf), "ts", P.first_day, P.last_day))
 
 
-@query("w2_previous_fix", Q.shape("SELECT gpsno, ts, previous_ts, previous_speed, previous_course, previous_lat, previous_lng FROM ordered",
+@query("w2_previous_fix", Q.shape("SELECT gpsno, ts, previous_ts, previous_speed, previous_course, previous_lat, previous_lng FROM pairs",
                                   ["previous_speed", "previous_course", "previous_lat", "previous_lng"], ctes=f"{Q.TRAJECTORY}, {Q.STEPS}",
                                   t=["ts", "previous_ts"]))
 def w2(spark, sf):
@@ -40,7 +40,7 @@ def w2(spark, sf):
     return lagged.select("gpsno", "ts", *[F.col(f"_prev.{c}").alias(f"previous_{c}") for c in ("ts", "speed", "course", "lat", "lng")])
 
 
-@query("w3_best_duplicate", Q.shape("SELECT gpsno, ts, source_file, speed, lat, distance_cm FROM ranked WHERE duplicate_rank = 1", ["speed", "lat"],
+@query("w3_best_duplicate", Q.shape("SELECT gpsno, ts, source_file, speed, lat, distance_cm FROM best", ["speed", "lat"],
                                     ctes=f"{Q.TRAJECTORY}, {Q.STEPS}", t=["ts"]))
 def w3(spark, sf):
     return fixes(spark, sf).select("gpsno", "ts", "source_file", "speed", "lat", "distance_cm")
