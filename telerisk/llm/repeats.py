@@ -34,6 +34,8 @@ ANCHOR = 48
 CHUNK = 1 << 20
 _INDEX = np.uint64((1 << 22) - 1)
 FIRST, SECOND = Roller(11), Roller(12)
+#: an anchor's rank only says which anchors to compare, so 48 bits do; with the second rank a class has 112 bits
+WIDE = np.uint64((1 << 48) - 1)
 #: open: its anchor rank must meet others'; witness: the same, and known to be ambiguous; rest: known to be ambiguous; settled: a repeat
 OPEN, WITNESS, REST, SETTLED = range(4)
 
@@ -69,31 +71,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarr
         last = np.append(first[1:], len(window)) - 1
         lo, hi, place, row = window[first], window[last], place[first], row[first]
         covered = mix(FIRST.spans(sums, lo, hi + length) + (place - lo).astype(np.uint64))
-        for target, values in zip(out, (rank[place], covered, row, begin + lo - offsets[row], begin + hi - offsets[row])):
+        for target, values in zip(out, (rank[place] & WIDE, covered, row, begin + lo - offsets[row], begin + hi - offsets[row])):
             target.append(values)
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of a column by significance, compressed: high bytes of small numbers and ranks left out all but vanish."""
+    body = pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), "zstd", asbytes=True)
+    return len(body).to_bytes(4, "little") + body
+
+
 def pack(ranks: list[np.ndarray], ints: list[np.ndarray]) -> bytes:
-    """Ranks as they are; integers as compressed differences."""
-    body = [r.tobytes() for r in ranks]
-    for x in ints:
-        raw = np.diff(x, prepend=x.dtype.type(0)).tobytes()
-        part = pa.compress(raw, "zstd", asbytes=True)
-        body.append(len(part).to_bytes(4, "little") + part)
-    return len(ranks[0]).to_bytes(4, "little") + b"".join(body)
+    """Ranks as they are; integers as differences."""
+    parts = [planes(r) for r in ranks] + [planes(np.diff(x, prepend=x.dtype.type(0))) for x in ints]
+    return len(ranks[0]).to_bytes(4, "little") + b"".join(parts)
 
 
 def unpack(data: bytes, ranks: int, kinds: tuple) -> list[np.ndarray]:
     n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for _ in range(ranks):
-        out.append(np.frombuffer(data, np.uint64, n, at))
-        at += 8 * n
-    for kind in kinds:
-        size = int.from_bytes(data[at:at + 4], "little")
-        raw = pa.decompress(data[at + 4:at + 4 + size], n * np.dtype(kind).itemsize, "zstd")
-        out.append(np.cumsum(np.frombuffer(raw, kind), dtype=kind))
+    for k, kind in enumerate([np.uint64] * ranks + list(kinds)):
+        size, width = int.from_bytes(data[at:at + 4], "little"), np.dtype(kind).itemsize
+        raw = np.frombuffer(pa.decompress(data[at + 4:at + 4 + size], n * width, "zstd"), np.uint8)
+        x = np.ascontiguousarray(raw.reshape(width, n).T).view(kind)[:, 0]
+        out.append(x if k < ranks else np.cumsum(x, dtype=kind))
         at += 4 + size
     return out
 
@@ -115,7 +117,7 @@ def leaders(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray
     return order, new
 
 
-KINDS = (np.int64, np.int32, np.int64, np.int64, np.int8)  # document, copy, first window, last window, kind
+KINDS = (np.int64, np.int32, np.int64, np.int16, np.int8)  # document, copy, first window, further windows, kind
 PLACES = (np.int64, np.int32, np.int64)  # document, copy, position
 
 
@@ -141,10 +143,11 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
     id come in the order of the texts; a null id comes first.  Texts shorter than ``length`` keep all.  Other
     columns are not read; an empty table gives an empty result.
     """
-    if length <= ANCHOR:
-        raise ValueError(f"length must be over {ANCHOR}")
+    if not ANCHOR < length < 1 << 15:
+        raise ValueError(f"length must be over {ANCHOR} and under 32768")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # several to a partition, so that partitions even out
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange of the texts serves both joins below
     texts = keyed(docs, id_col, text_col)
     by_doc = texts.repartition("doc", "copy")
@@ -164,12 +167,15 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
             kind[lead & several] = REST
             kind[lead & several & first] = WITNESS
             bucket = np.where(kind <= WITNESS, mix(rank), mix(doc.astype(np.uint64))) % np.uint64(buckets)
+            known = kind > WITNESS  # their ranks have done their work
+            rank, pair = (np.where(known, np.uint64(0), x) for x in (rank, pair))
             back = np.lexsort((lo, copy, doc))
-            yield dealt([x[back] for x in (rank, pair)], [x[back] for x in (doc, copy, lo, hi, kind)], bucket[back])
+            yield dealt([x[back] for x in (rank, pair)], [x[back] for x in (doc, copy, lo, (hi - lo).astype(np.int16), kind)], bucket[back])
 
     def rank_pairs(key: tuple, group: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py(), 2, KINDS) for x in group.column("entries")]
-        rank, pair, doc, copy, lo, hi, kind = (np.concatenate(x) for x in zip(*parts))
+        rank, pair, doc, copy, lo, more, kind = (np.concatenate(x) for x in zip(*parts))
+        hi = lo + more
         done = kind > WITNESS
         a = merge(*(x[~done] for x in (rank, pair, doc, copy, lo, hi, kind)))
         several = a[7] | np.isin(a[0], a[0][a[6] == WITNESS])
@@ -178,20 +184,23 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
         doc, copy, lo, hi = (np.concatenate([x[use], y[done]]) for x, y in zip(a[2:6], (doc, copy, lo, hi)))
         todo = np.concatenate([~known[use], kind[done] == REST])
         back = np.lexsort((lo, copy, doc))
-        return pa.table({"doc": doc[back], "copy": copy[back], "lo": lo[back], "hi": hi[back], "todo": todo[back]})
+        return pa.table({"doc": doc[back], "copy": copy[back], "run": (lo * length + hi - lo)[back], "todo": todo[back]})
+
+    def runs(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of each row's runs of windows, and their first and last windows; a run is first * length + further."""
+        size = np.diff(column.offsets.to_numpy()) * column.is_valid().to_numpy(zero_copy_only=False)
+        run = column.flatten().to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.cumsum(size)]), run // length, run // length + run % length
 
     shape = "bucket int, entries binary"
     ranked = materialise(texts.mapInArrow(scan, shape).groupBy("bucket").applyInArrow(
-        rank_pairs, "doc long, copy int, lo long, hi long, todo boolean"), "ranked")
+        rank_pairs, "doc long, copy int, run long, todo boolean"), "ranked")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, copy = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = column_bytes(batch.column(2))
-            ranges = batch.column(3)
-            inner = ranges.flatten()
-            lo, hi = (inner.field(k).to_numpy() for k in (0, 1))
-            bounds = ranges.offsets.to_numpy() - ranges.offsets[0].as_py()
+            bounds, lo, hi = runs(batch.column(3))
             found = [[] for _ in range(5)]
             for row in range(len(doc)):
                 part = data[offsets[row]:offsets[row + 1]]
@@ -206,7 +215,7 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
                     np.add.at(step, np.minimum(hi[own][here] - begin + 1, len(step) - 1), -1)
                     at = np.flatnonzero(np.cumsum(step)[:-1])
                     for target, values in zip(found, (
-                            FIRST.spans(FIRST.sums(piece), at, at + length), SECOND.spans(SECOND.sums(piece), at, at + length),
+                            FIRST.spans(FIRST.sums(piece), at, at + length), SECOND.spans(SECOND.sums(piece), at, at + length) & WIDE,
                             np.full(len(at), doc[row]), np.full(len(at), copy[row]), begin + at)):
                         target.append(values)
             if not found[0]:
@@ -225,26 +234,28 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
         one, two, doc, copy, at = (np.concatenate(x) for x in zip(*parts))
         order, lead = leaders([one, two], [doc, copy, at])
         again = np.sort(order[~lead | ((one == 0) & (two == 0))[order]])
-        return pa.table({"doc": doc[again], "copy": copy[again], "lo": at[again], "hi": at[again]})
+        return pa.table({"doc": doc[again], "copy": copy[again], "run": at[again] * length})
 
-    todo = ranked.where("todo").groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    todo = ranked.where("todo").groupBy("doc", "copy").agg(F.collect_list("run").alias("ranges"))
     late = (by_doc.join(todo, ["doc", "copy"]).select("doc", "copy", "text", "ranges").mapInArrow(windows, shape)
-            .groupBy("bucket").applyInArrow(last_ranks, "doc long, copy int, lo long, hi long"))
+            .groupBy("bucket").applyInArrow(last_ranks, "doc long, copy int, run long"))
     cuts = (ranked.where("NOT todo").drop("todo").union(late).groupBy("doc", "copy")
-            .agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
+            .agg(F.collect_list("run").alias("cuts")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            runs, out = batch.column(2).to_pylist(), []
-            for row, ranges in enumerate(runs):
+            bounds, lo, hi = runs(batch.column(2))
+            out = []
+            for row in range(len(batch)):
                 text = data[offsets[row]:offsets[row + 1]]
-                if not ranges:
+                own = slice(bounds[row], bounds[row + 1])
+                if own.start == own.stop:
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), []))
                     continue
                 step = np.zeros(len(text) + 1, np.int64)
-                np.add.at(step, np.array([r["lo"] for r in ranges]), 1)
-                np.add.at(step, np.array([r["hi"] + length for r in ranges]), -1)
+                np.add.at(step, lo[own], 1)
+                np.add.at(step, hi[own] + length, -1)
                 gone = np.cumsum(step)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
                 out.append((len(text), int(gone.sum()), len(edges), hashlib.sha256(text[~gone]).hexdigest(),
