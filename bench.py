@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from telerisk.catalog import QUERIES
@@ -22,7 +23,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in HEADLINE if not sys.argv[1:] or n in sys.argv[1:]]
-    spark = local_session(cpus, "telerisk-bench")
+    spark = local_session(cpus, "telerisk-bench", spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='telerisk-bench-')}")
     spark.read.parquet(f"{folder}/events.parquet").groupBy("event_type").count().write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:

@@ -2,9 +2,9 @@
 
 A group (one entity, one metric, one model) may hold a third of all rows, so nothing here
 sorts a whole group in one task.  Rows are first reduced to distinct cells with counts
-(map-side combine merges copies), cells are split into value bins, running totals are taken
-inside each bin, and the totals of the bins (a few thousand rows per group at most) carry
-them over.  Quantiles, ranks, empirical percentiles, ROC-AUC and average precision all come
+(map-side combine merges copies), cells are split into value bins and bins that are too full into
+parts of their own range, running totals are taken inside each part, and the totals of the parts
+carry them over.  Quantiles, ranks, empirical percentiles, ROC-AUC and average precision all come
 from those running totals and are exact.
 """
 
@@ -29,24 +29,43 @@ def value_bin(value: Column) -> Column:
     return F.coalesce(F.when(value > 0, step).when(value < 0, -step), F.lit(0)).cast("long")
 
 
+#: distinct values of one bin, about; a fuller bin is split
+BIN_CELLS = 20_000
+
+
+def binned(cells: DataFrame, groups: Sequence[str], value: str, target: int | None = None) -> DataFrame:
+    """``cells`` with ``_bin`` and ``_part``, ordered as the values are.
+
+    A bin that holds more than ``target`` values is cut into equal parts of the range its own values span, so a
+    metric with a narrow spread, or with outliers far away, still falls into many parts.  The table of such bins has
+    at most one row per ``target`` cells.
+    """
+    target = target or BIN_CELLS
+    coarse = cells.withColumn("_bin", value_bin(F.col(value)))
+    full = (coarse.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_size"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+            .where(F.col("_size") > target))
+    place = (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    part = F.coalesce(F.floor(place * F.ceil(F.col("_size") / F.lit(target))), F.lit(0)).cast("long")
+    return coarse.join(full, [*groups, "_bin"], "left").select(*cells.columns, "_bin", part.alias("_part"))
+
+
 def running_totals(cells: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str]) -> DataFrame:
     """Per cell: total of each measure before it (``m_before``) and in its group (``m_total``).
 
-    ``cells`` holds one row per (groups, value); group keys must not be NULL.  Both branches
-    read the same cell exchange, and the join keeps the partitioning of the inner window.
+    ``cells`` holds one row per (groups, value); group keys must not be NULL.  Running totals are taken inside
+    bins of values, and the totals of the bins carry over.
     """
-    binned = cells.withColumn("_bin", value_bin(F.col(value)))
-    inside = (Window.partitionBy(*groups, "_bin").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    earlier = (Window.partitionBy(*groups).orderBy("_bin")
-               .rowsBetween(Window.unboundedPreceding, -1))
+    parts = binned(cells, groups, value)
+    keys = [*groups, "_bin", "_part"]
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*groups).orderBy("_bin", "_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    bins = (binned.groupBy(*groups, "_bin").agg(*[F.sum(m).alias(f"_b_{m}") for m in measures])
-            .select(*groups, "_bin",
+    bins = (parts.groupBy(*keys).agg(*[F.sum(m).alias(f"_b_{m}") for m in measures])
+            .select(*keys,
                     *[F.coalesce(F.sum(f"_b_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
                     *[F.sum(f"_b_{m}").over(whole).alias(f"{m}_total") for m in measures]))
-    inner = binned.select("*", *[(F.sum(m).over(inside) - F.col(m)).alias(f"_i_{m}") for m in measures])
-    return inner.join(bins, [*groups, "_bin"]).select(
+    inner = parts.select("*", *[(F.sum(m).over(inside) - F.col(m)).alias(f"_i_{m}") for m in measures])
+    return inner.join(bins, keys).select(
         *cells.columns,
         *[(F.col(f"_i_{m}") + F.col(f"_o_{m}")).alias(f"{m}_before") for m in measures],
         *[f"{m}_total" for m in measures],

@@ -55,7 +55,7 @@ def build(profile: DataFrame, events: DataFrame, trajectory: DataFrame, imu: Dat
     windows, entity-days) are written to the shared folder by ``stage``.  ``stage=None`` keeps
     the plan lazy, for small inputs.
     """
-    clean = E.clean_events(events, period.first_day, period.last_day)
+    clean = staged(E.clean_events(events, period.first_day, period.last_day), stage, "clean-events")
     by_event = staged(E.event_daily(E.mark_episodes(clean, gap_s=gap_s), wanted, stage=stage), stage, "event-daily")
     fixes = T.best_fix(E.in_rule_window(trajectory, "ts", period.first_day, period.last_day))
     by_trajectory = staged(T.trajectory_daily(T.with_steps(fixes), stage=stage), stage, "trajectory-daily")

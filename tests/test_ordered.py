@@ -44,7 +44,9 @@ def test_summarise_equals_separate_aggregates(skewed):
         assert repr(r["top"]) == repr(plain[r["g"]]["top"])
 
 
-def test_ranks_and_midranks(skewed):
+@pytest.mark.parametrize("target", [5, 50])
+def test_ranks_and_midranks(skewed, monkeypatch, target):
+    monkeypatch.setattr(ordered, "BIN_CELLS", target)
     got = rows(ordered.rank_by_value(skewed.where("g = 'hot'"), ["g"], "v"))
     values = np.array([r["v"] for r in got])
     for r in got[:200]:
@@ -85,3 +87,16 @@ def test_number_by_hash_and_top_fraction(spark):
         order = F.col("v").desc() if largest else F.col("v")
         want = df.withColumn("n", F.row_number().over(Window.partitionBy("one").orderBy(order, F.md5("id")))).where("n <= 450")
         assert rows(got.select("id"), "id") == rows(want.select("id"), "id")
+
+
+def test_parts_follow_the_data(spark):
+    """Values inside one percent, some far outliers, and seconds of a month: no part is far above the mean."""
+    n = 60_000
+    narrow = spark.range(n).select(F.lit("narrow").alias("g"), (9.81 + F.col("id") * 0.02 / n).alias("v"))
+    month = spark.range(n).select(F.lit("month"), (1.7e9 + F.col("id") * 43.2))
+    odd = spark.createDataFrame([("narrow", 1e12), ("narrow", -5.0), ("month", 0.0)], "g string, v double")
+    cells = narrow.union(month).union(odd).withColumn("n", F.lit(1).cast("long"))
+    sizes = [r["count"] for r in rows(ordered.binned(cells, ["g"], "v", 1000).groupBy("g", "_bin", "_part").count())]
+    assert sum(sizes) == 2 * n + 3 and max(sizes) <= 1100 and len(sizes) > 100
+    got = {r["g"]: r for r in rows(ordered.metric_quantiles(cells, ["g"], "v", {"p50": 0.5}))}
+    assert got["narrow"]["p50"] == pytest.approx(9.82, abs=1e-5) and got["month"]["n_values"] == n + 1
