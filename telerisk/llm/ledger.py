@@ -77,6 +77,10 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
+#: rules in bit order
+RULES = ("few_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "shouting")
+
+
 def rules() -> dict[str, Column]:
     """Rules in bit order: true where a document fails.  Each reads measurements only."""
     c = F.col
@@ -100,8 +104,7 @@ CURRENT = "v1"
 
 
 def mask(names) -> int:
-    bits = {name: 1 << k for k, name in enumerate(rules())}
-    return sum(bits[n] for n in names)
+    return sum(1 << RULES.index(n) for n in names)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, decontaminate, ledger, licences, mixing, repeats, simhash, tokens, toxicity, wrappers
+from telerisk.llm import credentials, decontaminate, ledger, licences, mixing, oracles, repeats, simhash, tokens, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op6_rule_ledger")
+@query("op6_rule_ledger", oracles.OP6)
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.apply_policy(ledger.ledger(table(spark, sf, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -43,7 +43,7 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.repeats(table(spark, sf, "documents")).drop("spans")
 
 
-@query("op10_credential_links")
+@query("op10_credential_links", oracles.OP10)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.scan(table(spark, sf, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
