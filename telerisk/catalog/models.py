@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.aggregates import FIT_STD, LANDMARK_CTES, LANDMARK_NUMBERS, PARAM_DOUBLES, STD_FEATURES, train_days
-from telerisk.catalog.expressions import EVIDENCE_CTES
+from telerisk.catalog.expressions import EVIDENCE_CTES, NODE_DOUBLES, NODE_INTS, NODE_SQL
 from telerisk.catalog.joins import OCCLUSION_CTES, OUTCOME_CTES, occluded, outcomes
 from telerisk.catalog.registry import query
 from telerisk.catalog.sqlmetrics import auc_sql, binary_sql
@@ -126,22 +128,53 @@ def m6_blocks(spark, sf):
     return masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY)
 
 
-@query("m6_masked_events")
+NODE_CTES = f"{Q.DAILY_CTES}, {Q.DAY_TABLE}, {NODE_SQL}"
+SEED = 7
+_target = max(1, round(V.LAST_DAY * 0.15))
+_hidden = max(1, round(len(codes.EVENT_CODES) * 0.10))
+EVENT_MASKS = f"""spans AS (SELECT gpsno, start_day, length FROM (
+  SELECT *, COALESCE(SUM(length) OVER (PARTITION BY gpsno ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered FROM (
+    SELECT gpsno, draw, {_start('h')} AS start_day, {_len('h')} AS length FROM (
+      SELECT gpsno, draw, md5('{SEED}:span:' || gpsno || ':' || CAST(draw AS VARCHAR)) AS h FROM profile, (SELECT UNNEST(RANGE({ceil(_target / 2)})) AS draw) k) a) b) c
+  WHERE covered < {_target}),
+hidden AS (SELECT gpsno, event_code FROM (SELECT gpsno, event_code, ROW_NUMBER() OVER (PARTITION BY gpsno ORDER BY md5('{SEED}:code:' || gpsno || ':' || CAST(event_code AS VARCHAR))) AS no
+  FROM profile, (VALUES {', '.join(f'({c})' for c in codes.EVENT_CODES)}) AS c(event_code)) r WHERE no <= {_hidden}),
+event_hits AS (SELECT gpsno, day_index, event_code FROM (SELECT gpsno, UNNEST(RANGE(start_day, start_day + length)) AS day_index FROM spans) s,
+    (VALUES {', '.join(f'({c})' for c in codes.EVENT_CODES)}) AS c(event_code)
+  UNION SELECT gpsno, UNNEST(RANGE(1, {V.LAST_DAY + 1})), event_code FROM hidden)"""
+STATE_HITS = "state_hits AS (SELECT DISTINCT gpsno, day_index, event_code FROM (SELECT gpsno, state, UNNEST(RANGE(start_day, start_day + length)) AS day_index FROM blocks) b JOIN (VALUES " + ", ".join(
+    f"('{s}', {c})" for s, cs in codes.STATES.items() for c in cs) + ") AS v(state, event_code) USING (state))"
+
+
+def masked_sql(hits: str) -> str:
+    """Cells of the tensor with the fields under a hit at zero."""
+    fields = ", ".join(f"CASE WHEN h.gpsno IS NULL THEN {f} ELSE 0 END AS {f}" if f in masks.MASKED_FIELDS else f"n.{f}" for f in (*NODE_DOUBLES, *NODE_INTS))
+    return f"SELECT n.gpsno, {fields}, CASE WHEN h.gpsno IS NULL THEN 0 ELSE 1 END AS masked FROM nodes n LEFT JOIN {hits} h USING (gpsno, day_index, event_code)"
+
+
+@query("m6_masked_events", Q.shape(masked_sql("event_hits"), NODE_DOUBLES, [*NODE_INTS, "masked"], f"{NODE_CTES}, {EVENT_MASKS}"))
 def m6(spark, sf):
     """Event bundles hidden over spans and codes: exposure flags and night share stay."""
     entities = V.profile(spark, sf)
     return masks.mask_events(nodes(spark, sf), masks.event_spans(entities, 7, V.LAST_DAY), masks.masked_codes(entities, 7))
 
 
-@query("m6_masked_states")
+@query("m6_masked_states", Q.shape(masked_sql("state_hits"), NODE_DOUBLES, [*NODE_INTS, "masked"], f"{NODE_CTES}, {STATE_MASKS}, {STATE_HITS}"))
 def m6_states(spark, sf):
     return masks.mask_states(nodes(spark, sf), masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY))
 
 
 CHANNELS = codes.DAY_NUMERIC
+_gaps = max(1, round(len(CHANNELS) * 0.25))
+CONTEXT_HITS = f"""gaps AS (SELECT gpsno, channel, UNNEST(RANGE(start_day, start_day + length)) AS day_index FROM (
+  SELECT gpsno, channel, {_start('h')} AS start_day, {_len('h')} AS length, ROW_NUMBER() OVER (PARTITION BY gpsno ORDER BY md5('{SEED}:channel:' || gpsno || ':' || channel)) AS no
+  FROM (SELECT gpsno, md5('{SEED}:context:' || gpsno) AS h FROM profile) p, (VALUES {', '.join(f"('{c}')" for c in CHANNELS)}) AS c(channel)) r WHERE no <= {_gaps})"""
 
 
-@query("m6_masked_context")
+@query("m6_masked_context", Q.shape("""SELECT l.gpsno, l.day_index, l.channel, CASE WHEN g.gpsno IS NULL THEN l.value ELSE 0.0 END AS value,
+    CASE WHEN g.gpsno IS NULL THEN 0 ELSE 1 END AS masked FROM (""" + " UNION ALL ".join(
+    f"SELECT gpsno, day_index, '{c}' AS channel, CAST({c} AS DOUBLE) AS value FROM daily" for c in CHANNELS) + """) l
+    LEFT JOIN gaps g USING (gpsno, day_index, channel)""", ["value"], ["day_index", "masked"], f"{Q.DAILY_CTES}, {CONTEXT_HITS}"))
 def m6_context(spark, sf):
     long = (long_features(V.daily(spark, sf), ["gpsno", "day_index"], CHANNELS).withColumnRenamed("feature", "channel"))
     return masks.mask_context(long, masks.context_spans(V.profile(spark, sf), 7, CHANNELS, V.LAST_DAY, fraction=0.25))
@@ -185,7 +218,12 @@ def d3(spark, sf):
     return RobustScaler.from_description(spark.read.parquet(path), STD_FEATURES).params
 
 
-@query("d3_node_sequences")
+_sum = " + ".join(f"CAST(CAST({f} AS FLOAT) AS DOUBLE)" for f in ("log_count", "log_episodes", "log_rate_100km", "log_rate_hour", "occurred", "km_observed",
+                                                                     "hours_observed", "night_share"))
+
+
+@query("d3_node_sequences", Q.shape(f"""SELECT gpsno, COUNT(DISTINCT day_index) AS days, COUNT(DISTINCT event_code) AS codes, 8 AS features, SUM({_sum}) AS total
+    FROM nodes GROUP BY gpsno""", ["total"], ["features"], NODE_CTES))
 def d3_sequences(spark, sf):
     """Nested [day][code][feature] arrays per entity, summarised by shape and total."""
     seq = tensors.node_sequences(D.event_node_features(V.day_table(spark, sf)))

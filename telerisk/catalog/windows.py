@@ -237,7 +237,9 @@ def w17(spark, sf):
     return splits.stratified_split(reference(spark, sf), 2026, 5, 0.2)
 
 
-@query("w17_label_fingerprint")
+@query("w17_label_fingerprint", Q.shape("""SELECT sha256(STRING_AGG(digest, chr(10) ORDER BY bucket, digest)) AS label_fingerprint, SUM(n) AS entities FROM (
+    SELECT md5(gpsno)[1:3] AS bucket, sha256(STRING_AGG(gpsno || ':' || CAST(label AS VARCHAR), chr(10) ORDER BY gpsno || ':' || CAST(label AS VARCHAR))) AS digest,
+           COUNT(*) AS n FROM reference GROUP BY 1) b""", b=["entities"], ctes=f"{BAG_CTES}, {REFERENCE}"))
 def w17_fingerprint(spark, sf):
     return splits.label_fingerprint(reference(spark, sf))
 
