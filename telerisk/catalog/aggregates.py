@@ -317,6 +317,24 @@ def a21(spark, sf):
     return K.role_landmarks(V.daily(spark, sf), V.ANCHORS).select("gpsno", "anchor_day", *_TYPES)
 
 
+_cells = lambda columns, source: f"(SELECT {' + '.join(f'COUNT({c})' for c in columns)} FROM {source})"
+_chain_columns = 2 * len(codes.CHAINS)
+_steps = (("base", len(_NAMES), _cells(_NAMES, "landmarks")), ("roles", len(_RN), _cells(_RN, "roles")),
+          ("cooccurrence", _chain_columns, _cells(COOCCUR, "chains")), ("directed_chains", _chain_columns, _cells(FOLLOW, "chains")))
+
+
+@query("p27_nested_feature_sets", f"WITH {Q.DAILY_CTES}, {history_sql()}, landmarks AS (SELECT gpsno, anchor_day, {_FIELDS} FROM history GROUP BY gpsno, anchor_day), "
+       f"roles AS (SELECT gpsno, anchor_day, {_RF} FROM history GROUP BY gpsno, anchor_day), {CHAIN_DAYS}, {CHAINS}, "
+       "steps AS (" + " UNION ALL ".join(f"SELECT {i} AS no, '{n}' AS feature_set, {k} AS columns, {c} AS cells" for i, (n, k, c) in enumerate(_steps)) + ") "
+       "SELECT feature_set, CAST(SUM(columns) OVER up AS BIGINT) AS columns, CAST(SUM(cells) OVER up AS BIGINT) AS observed_cells FROM steps WINDOW up AS (ORDER BY no)")
+def p27(spark, sf):
+    df, sets = K.causal_landmarks(V.daily_table(spark, sf), V.ANCHORS)
+    row = df.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for cs in sets.values() for c in cs)])
+    add = lambda cs: F.aggregate(F.array(*cs), F.lit(0).cast("long"), lambda a, b: a + b)
+    items = [F.struct(F.lit(k).alias("feature_set"), F.lit(len(cs)).alias("columns"), add(cs).alias("observed_cells")) for k, cs in sets.items()]
+    return row.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
+
+
 # --- scalers --------------------------------------------------------------------------
 
 SCALED = V.MODEL_FEATURES

@@ -222,15 +222,6 @@ def p26(spark, sf):
     return row.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
 
 
-@query("p27_nested_feature_sets")
-def p27(spark, sf):
-    df, sets = K.causal_landmarks(V.daily_table(spark, sf), V.ANCHORS)
-    row = df.agg(*[F.count(c).alias(c) for c in dict.fromkeys(c for cs in sets.values() for c in cs)])
-    add = lambda cs: F.aggregate(F.array(*cs), F.lit(0).cast("long"), lambda a, b: a + b)
-    items = [F.struct(F.lit(k).alias("feature_set"), F.lit(len(cs)).alias("columns"), add(cs).alias("observed_cells")) for k, cs in sets.items()]
-    return row.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
-
-
 @query("p28_count_like_columns", f"WITH {Q.DAILY_CTES} " + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST(SUM({f}) AS BIGINT) AS total FROM daily" for f in
     V.MODEL_FEATURES

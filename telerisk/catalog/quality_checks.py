@@ -10,7 +10,7 @@ from telerisk.catalog import views as V
 from telerisk.catalog.joins import BAG_CTES, BAGS, LABELS
 from telerisk.catalog.registry import query
 from telerisk.catalog.sources_sinks import bags
-from telerisk.catalog.windows import cards_a
+from telerisk.catalog.windows import A_CTES, bands_sql, cards_a
 from telerisk.operators import metrics as M
 from telerisk.operators import quality, scoring
 from telerisk.session import materialise
@@ -66,7 +66,23 @@ def q4(spark, sf):
                                         V.targets(spark, sf), P.first_day, P.last_day, P.anchors, P.final_anchor, P.horizon)
 
 
-@query("q5_score_contract")
+_q5 = {
+    "score_out_of_range": "SELECT COUNT(*) FROM final WHERE safety_score < 0 OR safety_score > 100",
+    "deductions_do_not_reconcile": "SELECT COUNT(*) FROM final WHERE ABS(safety_score + total_deduction - 100) > 1e-8",
+    "unknown_grade": "SELECT COUNT(*) FROM final WHERE grade NOT IN ('A', 'B', 'C', 'D', 'E', 'U')",
+    "low_confidence_iff_unrated": f"SELECT COUNT(*) FROM final WHERE (confidence_level = '{codes.CONFIDENCE_LOW}') <> (grade = 'U')",
+    "null_value": "SELECT COUNT(*) FROM final f WHERE f.gpsno IS NULL OR safety_score IS NULL OR grade IS NULL OR confidence_level IS NULL OR probability IS NULL",
+    "missing_vehicle": "SELECT COUNT(*) FROM profile WHERE gpsno NOT IN (SELECT gpsno FROM final)",
+    "unknown_vehicle": "SELECT COUNT(*) FROM final WHERE gpsno NOT IN (SELECT gpsno FROM profile)",
+    "incomplete_history": f"SELECT COUNT(*) FROM (SELECT COUNT(*) AS n, COUNT(DISTINCT anchor_day) AS a FROM history_a GROUP BY gpsno) h WHERE n <> {len(V.SCORE_ANCHORS)} OR a <> {len(V.SCORE_ANCHORS)}",
+    "history_anchor_outside": f"SELECT COUNT(*) FROM history_a WHERE anchor_day NOT BETWEEN {V.SCORE_ANCHORS[0]} AND {V.SCORE_ANCHORS[-1]}",
+    "weights_do_not_sum_to_one": "SELECT COUNT(*) FROM (SELECT SUM(weight) AS w FROM state_weights GROUP BY state) s WHERE ABS(w - 1) > 1e-8",
+    "fleet_total_differs": "SELECT CASE WHEN (SELECT COUNT(*) FROM final) = (SELECT COUNT(*) FROM profile) THEN 0 ELSE 1 END",
+    "duplicate_vehicle": "SELECT COUNT(*) - COUNT(DISTINCT gpsno) FROM final"}
+
+
+@query("q5_score_contract", f"WITH {A_CTES}, history_a AS (SELECT *, 100 - total_deduction AS safety_score, {bands_sql(codes.SCORE_A_GRADES, 0, 'U')} AS grade FROM cards_a), "
+       "final AS (SELECT * FROM history_a WHERE anchor_day = 30) " + " UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(({v}) AS BIGINT) AS violations" for k, v in _q5.items()))
 def q5(spark, sf):
     """Every delivery rule of a scorecard run, as (rule, violations)."""
     history = materialise(cards_a(spark, sf), "cards")
