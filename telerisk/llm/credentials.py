@@ -142,12 +142,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     shared = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     # rows that share an id are told apart by a hash of id and text
     key = F.xxhash64(id_col, text_col) if shared else F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    rows = docs.withColumn("_key", key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(text_col).alias("text"))
     taken = F.filter("parts", lambda p: p["kind"].isin([KINDS.index(k) for k in TAKEN]))
-    found = scan(rows.select("_key", F.col(text_col).alias("text")), "_key", "text").select(
-        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("_key"), taken.alias("_parts")).where(F.size("_parts") > 0)
-    found = found.dropDuplicates(["_key"]) if shared else found
-    text = F.col(f"`{text_col}`")
+    found = scan(rows.select("key", "text"), "key", "text").select(
+        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("key"), taken.alias("taken")).where(F.size("taken") > 0)
+    found = found.dropDuplicates(["key"]) if shared else found
+    text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
@@ -155,6 +155,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(fresh, F.concat(
             s["out"], text.substr(s["at"] + 1, p["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out"))
 
-    clean = F.aggregate("_parts", state, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    joined = rows.join(found, "_key", "left")
-    return joined.select(*[F.when(F.col("_parts").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.aggregate("taken", state, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    joined = rows.join(found, "key", "left")
+    return joined.select(*[F.when(F.col("taken").isNull(), text).otherwise(clean).alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 UNITS = 1024
 #: rows of a numbering bucket aimed at
 BUCKET = 20_000
+OUTPUTS = ("mix_block", "mix_slot", "mix_place")
 
 
 def shares(weights: Mapping[str, float], units: int = UNITS) -> dict[str, int]:
@@ -97,22 +98,19 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tupl
 
 
 def numbered(docs: DataFrame, block_rows: int, id_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``_source``, ``_block`` and ``_place`` (from 0) in a fixed pseudo-random order of each source.
+    """``row`` (a struct), ``source``, ``block`` and ``place`` (from 0) in a fixed pseudo-random order of each source.
 
     Rows are numbered inside buckets of a hash of the id, and the buckets' totals carry over, so no task holds a source.
     """
-    rows = docs.count()
-    buckets = max(1, rows // BUCKET)
-    key = F.xxhash64(F.col(id_col))
-    keyed = docs.withColumns({"_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_bucket": F.pmod(key, F.lit(buckets)).cast("int"), "_key": key})
-    totals = keyed.groupBy("_source", "_bucket").count()
-    before = totals.select("_source", "_bucket", F.coalesce(F.sum("count").over(
-        Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col(id_col))
-    at = keyed.withColumn("_n", F.row_number().over(inside) - 1).join(before, ["_source", "_bucket"])
-    place = F.col("_before") + F.col("_n")
-    return at.select(*[F.col(f"`{c}`") for c in docs.columns], "_source", F.floor(place / block_rows).cast("long").alias("_block"),
-                     (place % block_rows).cast("int").alias("_place"))
+    buckets = max(1, docs.count() // BUCKET)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+                       F.xxhash64(id_col).alias("key"), F.col(id_col).alias("id")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    before = rows.groupBy("source", "bucket").count().select("source", "bucket", F.coalesce(F.sum("count").over(
+        Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "id")
+    at = rows.withColumn("n", F.row_number().over(inside) - 1).join(before, ["source", "bucket"])
+    place = F.col("before") + F.col("n")
+    return at.select("row", "source", F.floor(place / block_rows).cast("long").alias("block"), (place % block_rows).cast("int").alias("place"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = 16,
@@ -125,8 +123,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     ids and repeated rows keep a row each; an empty table gives an empty mix.  Columns of docs that bear an output's
     name are replaced.  More than 1,024 sources raise ValueError.
     """
-    clash = [c for c in docs.columns if c in ("mix_block", "mix_slot", "mix_place", "_source", "_block", "_place", "_bucket", "_key", "_before", "_n")]
-    docs = docs.drop(*clash)
     # one row per source, and no more than UNITS of them may come
     sizes = {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(""))).count().limit(UNITS + 1).collect()}
     if len(sizes) > UNITS:
@@ -137,13 +133,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
         target = {k: float(weights.get(k, min(weights.values()))) for k in sizes}
     rows, slots = phases({k: -(-n // block_rows) for k, n in sizes.items()}, target)
     spark = docs.sparkSession
-    spans = spark.createDataFrame(rows, "_source string, _phase int, _first long, _end long, _per int, _length int, _start long")
-    period_slots = spark.createDataFrame(slots, "_phase int, _source string, _j int, _slot int")
+    spans = spark.createDataFrame(rows, "source string, phase int, first long, end long, per int, length int, start long")
+    period_slots = spark.createDataFrame(slots, "phase int, source string, j int, slot int")
     number = numbered(docs, block_rows, id_col, source_col)
     # both tables follow the number of sources only: at most UNITS^2 / 2 spans, and UNITS slots in each phase
-    within = number.join(F.broadcast(spans), (number["_source"] == spans["_source"]) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
-    within = within.drop(spans["_source"]).withColumn("_k", F.col("_block") - F.col("_first"))
-    out = within.withColumn("_j", (F.col("_k") % F.col("_per")).cast("int")).join(F.broadcast(period_slots), ["_phase", "_source", "_j"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_block").alias("mix_block"),
-                      (F.col("_start") + F.floor(F.col("_k") / F.col("_per")) * F.col("_length") + F.col("_slot")).cast("long").alias("mix_slot"),
-                      F.col("_place").alias("mix_place"))
+    within = number.join(F.broadcast(spans), "source").where((F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
+    within = within.withColumn("k", F.col("block") - F.col("first")).withColumn("j", (F.col("k") % F.col("per")).cast("int"))
+    out = within.join(F.broadcast(period_slots), ["phase", "source", "j"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in OUTPUTS], F.col("block").alias("mix_block"),
+                      (F.col("start") + F.floor(F.col("k") / F.col("per")) * F.col("length") + F.col("slot")).cast("long").alias("mix_slot"),
+                      F.col("place").alias("mix_place"))

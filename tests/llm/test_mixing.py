@@ -31,10 +31,10 @@ def test_shares_are_near_the_weights():
 def test_mix_is_whole_and_fair(spark, monkeypatch):
     monkeypatch.setattr(M, "BUCKET", 100)
     rng = random.Random(1)
-    data = [(i, rng.choice("aaaaaabbc") if i % 50 else None, f"t{i}", 9) for i in range(3000)]
-    docs = spark.createDataFrame(data, "doc_id long, source string, text string, mix_slot int")
+    data = [(i, rng.choice("aaaaaabbc") if i % 50 else None, f"t{i}", 9, i) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string, mix_slot int, block long")
     rows = M.mix(docs, {"a": 0.5, "b": 0.3, "c": 0.15, "": 0.05}, block_rows=4).orderBy("mix_slot", "mix_place").collect()
-    assert sorted(r.doc_id for r in rows) == list(range(3000)) and len({(r.mix_slot, r.mix_place) for r in rows}) == 3000
+    assert all(r.block == r.doc_id for r in rows) and sorted(r.doc_id for r in rows) == list(range(3000)) and len({(r.mix_slot, r.mix_place) for r in rows}) == 3000
     by_slot = defaultdict(set)
     for r in rows:
         by_slot[r.mix_slot].add(r.source or "")
