@@ -278,8 +278,9 @@ def lag_across_slices(df: DataFrame, keys: Sequence[str], order: str, slice_of:
     sliced = df.withColumn("_slice", F.coalesce(slice_of, F.lit(0)))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order)
     along = Window.partitionBy(*keys).orderBy("_slice")
-    edges = (sliced.groupBy(*keys, "_slice").agg(F.max_by(payload, F.col(order)).alias("_last"))
-             .select(*keys, "_slice", F.lag("_last").over(along).alias("_carry")))
+    # the last row of each slice, by the window that the lag below takes
+    lasts = sliced.withColumn("_next", F.lead(order).over(inside)).where(F.col("_next").isNull())
+    edges = lasts.select(*keys, "_slice", payload.alias("_last")).select(*keys, "_slice", F.lag("_last").over(along).alias("_carry"))
     here = sliced.withColumn(out, F.lag(payload).over(inside))
     return (here.join(edges, [*keys, "_slice"], "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_slice", "_carry"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from telerisk.functions.columns import circular_degrees, epoch_second, haversine_km
 from telerisk.operators.ordered import Stage, lag_across_slices, summarise
@@ -30,14 +31,14 @@ class StepRules:
 def best_fix(df: DataFrame) -> DataFrame:
     """One fix per (entity, instant): most complete first, then file, then the remaining values.
 
-    An aggregate, not a row_number window, so copies of one fix merge before the shuffle.
+    A window over the few copies of an instant: an aggregate over structs would sort all fixes twice.
     """
     rest = [c for c in df.columns if c not in ("gpsno", "ts", "source_file")]
     complete = (F.col("speed").isNotNull().cast("int")
                 + (F.col("lat").isNotNull() & F.col("lng").isNotNull()).cast("int"))
-    best = F.min(F.struct((-complete).alias("_order"), F.col("source_file"), *rest)).alias("_best")
-    return df.groupBy("gpsno", "ts").agg(best).select("gpsno", "ts", "_best.source_file",
-                                                      *[f"_best.{c}" for c in rest])
+    copies = Window.partitionBy("gpsno", "ts").orderBy(complete.desc(), "source_file", *rest)
+    return (df.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") == 1)
+            .select("gpsno", "ts", "source_file", *rest))
 
 
 def with_steps(fixes: DataFrame, rules: StepRules = StepRules()) -> DataFrame:
