@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 #: slots of a schedule's period, at most, and so the most sources that can be mixed
 UNITS = 1024
 #: rows of a numbering bucket aimed at
-BUCKET = 20_000
+BUCKET = 4_000
 OUTPUTS = ("mix_block", "mix_slot", "mix_place")
 
 
