@@ -177,8 +177,10 @@ def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col
         rank, pair, doc, copy, lo, more, kind = (np.concatenate(x) for x in zip(*parts))
         hi = lo + more
         done = kind > WITNESS
+        # from the kinds as they came: a witness that repeats another task's pair is settled by the merge
+        ambiguous = rank[kind == WITNESS]
         a = merge(*(x[~done] for x in (rank, pair, doc, copy, lo, hi, kind)))
-        several = a[7] | np.isin(a[0], a[0][a[6] == WITNESS])
+        several = a[7] | np.isin(a[0], ambiguous)
         known = a[6] == SETTLED
         use = known | several
         doc, copy, lo, hi = (np.concatenate([x[use], y[done]]) for x, y in zip(a[2:6], (doc, copy, lo, hi)))

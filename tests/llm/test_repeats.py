@@ -60,3 +60,18 @@ def test_shared_and_null_ids(spark):
     assert sorted(((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)) == sorted(
         (i is not None, i or 0, *w) for i, w in zip([None, 5, 5, 7], want))
     assert repeats.repeats(docs.limit(0)).count() == 0
+
+
+def test_witness_that_copies_another_partitions_document(spark):
+    """A copy and a document with the same passage in other words, in one partition; their first source in another."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    firsts, others = [], []
+    for i in range(40):
+        passage = word(160)
+        first = word(120) + passage + word(120)
+        firsts.append((3 * i, first))
+        others += [(3 * i + 1, first), (3 * i + 2, word(120) + passage + word(120))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([firsts, others], 2).flatMap(lambda part: part), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == 2
+    assert got(repeats.repeats(docs)) == expected([t for _, t in sorted(firsts + others)], 100)
