@@ -58,3 +58,30 @@ def test_edges(spark):
     assert len(rows) == 5 and sorted(r.mix_slot for r in rows) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         M.mix(spark.range(2000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS source"))
+
+
+def test_long_schedules_keep_to_exact_weights(spark, monkeypatch):
+    """The weights of a table where one source has a third of the rows, and one of weight 0.5 among 20."""
+    for weights in ({"hot": 7.0, **{f"s{i}": math.sqrt(2 + i) for i in range(19)}}, {"hot": 0.5, **{f"s{i}": 0.5 / 19 for i in range(19)}}):
+        total, seen = sum(weights.values()), Counter()
+        for source, block, slot in M.schedule(dict.fromkeys(weights, 2000), weights):
+            assert block == seen[source]
+            seen[source] += 1
+            assert all(abs(seen[k] - w / total * (slot + 1)) < 1 + 1e-6 for k, w in weights.items())
+            if seen[source] == 2000:
+                break
+    monkeypatch.setattr(M, "BUCKET", 100)
+    sizes = {"hot": 800, **{f"s{i}": 60 for i in range(19)}}
+    docs = spark.createDataFrame([(i, k) for i, k in enumerate(k for k, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    rows = M.mix(docs, weights, block_rows=1).orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in rows] == list(range(sum(sizes.values())))
+    seen = Counter()
+    for t, r in enumerate(rows[:1100]):
+        assert r.mix_block == seen[r.source]
+        seen[r.source] += 1
+        assert all(abs(seen[k] - w * (t + 1)) < 1 + 1e-6 for k, w in weights.items())
+
+
+def test_sources_of_no_weight_come_last():
+    order = [k for k, _, _ in M.schedule({"a": 3, "b": 2, "c": 2}, {"a": 1.0, "b": 0.0, "c": 0.0})]
+    assert order[:3] == ["a"] * 3 and Counter(order[3:]) == {"b": 2, "c": 2}
