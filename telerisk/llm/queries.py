@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telerisk.llm import credentials, decontaminate, ledger, licences, mixing, oracles, repeats, simhash, tokens, toxicity, wrappers
+from telerisk.llm import (collocations, credentials, decontaminate, ledger, licences, mixing, nearest, oracles, repeats, resampling, simhash, tokens, toxicity,
+                           wrappers)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,20 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_licence_notices")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan(table(spark, sf, "documents"))
+
+
+@query("op11_rotated_codes", oracles.OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return nearest.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op12_collocations", oracles.OP12)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_target_resampling")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
