@@ -66,8 +66,8 @@ SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_a
   sha256(COALESCE(listed, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN told USING (doc_id)"""
 
 OP11 = """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(q.e[i] - c.e[i]) * (q.e[i] - c.e[i]) FOR i IN range(1, len(q.e) + 1)])) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
   WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) r WHERE rank <= 10"""
@@ -76,8 +76,8 @@ _upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP12 = f"""WITH pieces AS (SELECT COALESCE(lang, 'und') AS lang,
   UNNEST(regexp_split_to_array(translate(COALESCE(text, ''), '{_upper}', '{_upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
-at AS (SELECT lang, w, UNNEST(range(1, len(w) + 1)) AS i FROM p),
-f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, COUNT(*) AS a FROM at, (SELECT UNNEST([1, 2, 3]) AS size) s
+places AS (SELECT lang, w, UNNEST(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, COUNT(*) AS a FROM places, (SELECT UNNEST([1, 2, 3]) AS size) s
   WHERE i + size - 1 <= len(w) GROUP BY ALL),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
 cuts AS (SELECT lang, phrase, size, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
@@ -89,5 +89,5 @@ inside AS (SELECT lang, phrase, MAX(a) AS longer FROM (SELECT lang, a, array_to_
   UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE size = 3) x GROUP BY ALL),
 total AS (SELECT lang, SUM(a) AS n FROM f WHERE size = 1 GROUP BY lang)
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (
-  SELECT lang, phrase, a, l, r, n, score, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE BINARY) AS rank
+  SELECT lang, phrase, a, l, r, n, score, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
   FROM best JOIN total USING (lang) LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a) x WHERE rank <= 2000"""
