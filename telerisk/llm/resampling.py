@@ -111,7 +111,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     gains (one number for each bucket) pass through the driver.
     """
     spark = docs.sparkSession
-    scored = weigh(docs, gains(docs, target, text_col, buckets), id_col, text_col)
+    # written before it is dealt: sampling the ranges would read the texts once more
+    scored = materialise(weigh(docs, gains(docs, target, text_col, buckets), id_col, text_col), "weights")
     first = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10)
     noise = F.floor(-1000 * F.log(-F.log((first.cast("double") + 0.5) / 4294967296)))
     order = [(F.col("n_words") >= min_words).desc(), F.col("score").desc(), F.col("id").asc()]
