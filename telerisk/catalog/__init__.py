@@ -2,7 +2,7 @@
 
 from importlib import import_module, util
 
-for _name in ("sources_sinks", "expressions", "joins", "aggregates", "windows", "ordering", "models", "quality_checks",
+for _name in ("sources_sinks", "expressions", "joins", "aggregates", "occlusion", "windows", "ordering", "models", "quality_checks",
               "streams_catalog"):
     if util.find_spec(f"telerisk.catalog.{_name}"):
         import_module(f"telerisk.catalog.{_name}")

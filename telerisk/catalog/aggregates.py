@@ -8,8 +8,8 @@ from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.expressions import EVIDENCE_SQL, NODE_SQL
-from telerisk.catalog.joins import (BAG_CTES, FULL_SENSOR, OCCLUSION_CTES, OUTCOME_CTES, bags, full_imu_windows, full_trajectory_daily,
-                                    occluded, outcomes, pair)
+from telerisk.catalog.joins import (BAG_CTES, FULL_SENSOR, OUTCOME_CTES, bags, full_imu_windows, full_trajectory_daily,
+                                    outcomes, pair)
 from telerisk.catalog.registry import query
 from telerisk.catalog.sources_sinks import EVENT_COUNTERS
 from telerisk.catalog.sqlmetrics import auc_sql, binary_sql
@@ -125,7 +125,7 @@ def a12(spark, sf):
             .agg(F.min("n").alias("rows_min"), F.max("n").alias("rows_max")))
 
 
-def _landmark_sql() -> tuple[str, list[str]]:
+def _landmark_sql() -> dict[str, str]:
     def s(c, w="TRUE"):
         return f"SUM(CASE WHEN {w} THEN COALESCE(CAST({c} AS DOUBLE), 0.0) ELSE 0.0 END)"
     def rate(a, b, k=1):
@@ -154,7 +154,7 @@ def _landmark_sql() -> tuple[str, list[str]]:
         out[f"{f}_delta7_per_day"] = f"({s(f, near)} - {s(f, old)}) / 7"
     for c in codes.TARGET_CODES:
         out[f"event_{c}_recency_days"] = f"CAST(MIN(CASE WHEN event_{c}_count > 0 THEN back END) AS DOUBLE)"
-    return ", ".join(f"{e} AS {n}" for n, e in out.items()), list(out)
+    return out
 
 
 def history_sql(anchors=V.ANCHORS) -> str:
@@ -162,7 +162,8 @@ def history_sql(anchors=V.ANCHORS) -> str:
             f"JOIN {Q.anchor_values(anchors)} ON d.day_index <= a.anchor_day)")
 
 
-_FIELDS, _NAMES = _landmark_sql()
+LANDMARK_SQL = _landmark_sql()
+_FIELDS, _NAMES = ", ".join(f"{e} AS {n}" for n, e in LANDMARK_SQL.items()), list(LANDMARK_SQL)
 LANDMARK_NUMBERS = _NAMES
 LANDMARK_CTES = f"{Q.DAILY_CTES}, {history_sql()}, landmarks AS (SELECT gpsno, anchor_day, {_FIELDS} FROM history GROUP BY gpsno, anchor_day)"
 
@@ -551,25 +552,42 @@ def a33(spark, sf):
     return M.ranking_metrics(V.predictions(spark, sf), ["anchor_day"])
 
 
-from telerisk.functions.columns import POISSON_ONE_STEPS  # noqa: E402
+from telerisk.functions.columns import POISSON_BLOCK, poisson_steps  # noqa: E402
 
 SAMPLES = 1000
-_head = f"substr(md5('2026:' || CAST(b.replicate AS VARCHAR) || ':' || p.gpsno), 1, 8)"
-_weight = "CASE " + " ".join(f"WHEN {_head} < '{s}' THEN {i}" for i, s in enumerate(POISSON_ONE_STEPS)) + f" ELSE {len(POISSON_ONE_STEPS)} END"
+SIZES = [1 << j for j in range(POISSON_BLOCK.bit_length())]
 
 
-def _weighted_auc(score, out):
+def _draw(size):
+    """Steps at or below the hash, counted in a list."""
+    first, steps = poisson_steps(size)
+    return f"{first} + len([t FOR t IN ['" + "', '".join(steps) + "'] IF t <= head])"
+
+
+def _boot(cell, out):
+    """Weight of each distinct cell and replicate: draws for blocks of 1,024 entities and for the binary digits of the rest."""
+    c = ", ".join(cell)
+    return f"""{out}_cells AS (SELECT {c}, COUNT(*) AS n, MIN(gpsno) AS id FROM predictions WHERE anchor_day = 20 GROUP BY {c}),
+{out}_parts AS (SELECT c.*, size, 0 AS i FROM {out}_cells c, (SELECT UNNEST({SIZES[:-1]}) AS size) s WHERE (n // size) % 2 = 1
+  UNION ALL SELECT *, {POISSON_BLOCK}, UNNEST(RANGE(1, n // {POISSON_BLOCK} + 1)) FROM {out}_cells),
+{out}_heads AS (SELECT p.*, replicate, substr(md5('2026:' || CAST(replicate AS VARCHAR) || ':' || id || CASE WHEN size > 1 THEN ':' || CAST(size AS VARCHAR) ELSE '' END
+  || CASE WHEN i > 0 THEN ':' || CAST(i AS VARCHAR) ELSE '' END), 1, 8) AS head FROM {out}_parts p, (SELECT UNNEST(RANGE({SAMPLES})) AS replicate) b),
+{out} AS (SELECT {c}, replicate, SUM(CASE {' '.join(f'WHEN size = {k} THEN {_draw(k)}' for k in SIZES)} END) AS w FROM {out}_heads GROUP BY {c}, replicate)"""
+
+
+def _weighted_auc(score, out, boot):
     return f"""{out} AS (SELECT replicate, CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN SUM(pos * (below + neg / 2.0::DOUBLE)) / (SUM(pos)::DOUBLE * SUM(neg)) END AS auc FROM (
   SELECT replicate, pos, neg, COALESCE(SUM(neg) OVER (PARTITION BY replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-  FROM (SELECT replicate, {score} AS s, SUM(w * label) AS pos, SUM(w * (1 - label)) AS neg FROM boot GROUP BY replicate, {score}) c) d GROUP BY replicate)"""
+  FROM (SELECT replicate, {score} AS s, SUM(w * label) AS pos, SUM(w * (1 - label)) AS neg FROM {boot} GROUP BY replicate, {score}) c) d GROUP BY replicate)"""
 
 
-BOOT = f"""boot AS (SELECT p.*, b.replicate, {_weight} AS w FROM (SELECT * FROM predictions WHERE anchor_day = 20) p,
-  (SELECT UNNEST(RANGE({SAMPLES})) AS replicate) b), {_weighted_auc('probability', 'auc_new')}, {_weighted_auc('prior_probability', 'auc_prior')}"""
+ONE_BOOT = f"{_boot(['probability', 'label'], 'boot')}, {_weighted_auc('probability', 'auc_new', 'boot')}"
+BOOT = (f"{_boot(['probability', 'prior_probability', 'label'], 'pairs')}, {_weighted_auc('probability', 'auc_new', 'pairs')}, "
+        f"{_weighted_auc('prior_probability', 'auc_prior', 'pairs')}")
 
 
 @query("a34_auc_interval", Q.shape("SELECT QUANTILE_CONT(auc, 0.025) AS auc_lower, QUANTILE_CONT(auc, 0.975) AS auc_upper, COUNT(auc) AS valid_bootstraps FROM auc_new",
-                                   ["auc_lower", "auc_upper"], ctes=f"{Q.PREDICTIONS}, {BOOT}"))
+                                   ["auc_lower", "auc_upper"], ctes=f"{Q.PREDICTIONS}, {ONE_BOOT}"))
 def a34(spark, sf):
     return M.auc_interval(V.predictions(spark, sf).where("anchor_day = 20"), seed=2026, samples=SAMPLES)
 
@@ -587,26 +605,6 @@ def a35(spark, sf):
     return M.score_binary(V.predictions(spark, sf), ["anchor_day", "fold"])
 
 
-IMPORTANCE_BY_AUC = """ablation AS (SELECT o.*, e.label FROM occluded o JOIN (SELECT gpsno, label FROM predictions WHERE anchor_day = 20) e USING (gpsno))"""
-
-
-@query("a36_ablation_summary", Q.shape(f"""
-    SELECT a.event_code, a.roc_auc AS baseline_auc, m.roc_auc AS masked_auc, a.roc_auc - m.roc_auc AS auc_drop_when_masked, c.mean_change, c.mean_abs_change
-    FROM ({auc_sql('ablation', ['event_code'], 'baseline_probability')}) a JOIN ({auc_sql('ablation', ['event_code'], 'masked_probability')}) m USING (event_code)
-    JOIN (SELECT event_code, AVG(baseline_probability - masked_probability) AS mean_change, AVG(ABS(baseline_probability - masked_probability)) AS mean_abs_change
-          FROM ablation GROUP BY event_code) c USING (event_code)""",
-    ["baseline_auc", "masked_auc", "auc_drop_when_masked", "mean_change", "mean_abs_change"], ["event_code"],
-    f"{OCCLUSION_CTES}, {Q.PREDICTIONS}, {IMPORTANCE_BY_AUC}"))
-def a36(spark, sf):
-    labels = V.predictions(spark, sf).where("anchor_day = 20").select("gpsno", "label")
-    rows = occluded(spark, sf).join(labels, "gpsno")
-    auc = lambda c, n: M.ranking_metrics(rows, ["event_code"], score=c).select("event_code", F.col("roc_auc").alias(n))
-    delta = F.col("baseline_probability") - F.col("masked_probability")
-    change = rows.groupBy("event_code").agg(F.avg(delta).alias("mean_change"), F.avg(F.abs(delta)).alias("mean_abs_change"))
-    return (auc("baseline_probability", "baseline_auc").join(auc("masked_probability", "masked_auc"), "event_code").join(change, "event_code")
-            .withColumn("auc_drop_when_masked", F.col("baseline_auc") - F.col("masked_auc")))
-
-
 @query("a37_ensemble_mean", Q.shape("""SELECT gpsno, anchor_day, 2 AS members, (probability + prior_probability) / 2 AS probability,
     ABS(probability - prior_probability) / SQRT(2.0::DOUBLE) AS probability_std FROM predictions""", ["probability", "probability_std"],
     ["anchor_day", "members"], Q.PREDICTIONS))

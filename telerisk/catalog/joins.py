@@ -222,32 +222,6 @@ def j15(spark, sf):
     return M.table_diff(p.where("fold <> 0"), other, ["gpsno", "anchor_day"], ["probability"], ["label"])
 
 
-TERMS = f"""terms AS (SELECT gpsno, event_code, SUM(n) * (1 + event_code % 7) / 64.0::DOUBLE AS term
-  FROM long_codes WHERE n > 0 GROUP BY gpsno, event_code),
-logits AS (SELECT p.gpsno, -4 + COALESCE(SUM(term), 0.0) AS logit FROM profile p LEFT JOIN terms USING (gpsno) GROUP BY p.gpsno)"""
-CODE_VALUES = "(VALUES " + ", ".join(f"({c})" for c in codes.EVENT_CODES) + ") AS c(event_code)"
-OCCLUDED = f"""occluded AS (
-  SELECT l.gpsno, l.logit, c.event_code, t.term IS NOT NULL AS active, 1 - POW(1 - 1 / (1 + EXP(-l.logit)), 40) AS baseline_probability,
-         1 - POW(1 - 1 / (1 + EXP(-(l.logit - COALESCE(t.term, 0.0)))), 40) AS masked_probability
-  FROM logits l CROSS JOIN {CODE_VALUES} LEFT JOIN terms t USING (gpsno, event_code))"""
-OCCLUSION_CTES = f"{Q.DAILY_CTES}, {Q.LONG_CODES}, {TERMS}, {OCCLUDED}"
-
-
-def occluded(spark, sf):
-    active = K.active_code_days(V.daily(spark, sf)).where("n > 0")
-    terms = active.groupBy("gpsno", "event_code").agg((F.sum("n") * (1 + F.col("event_code") % 7) / 64.0).alias("term"))
-    terms = materialise(terms, "terms")
-    logits = (V.profile(spark, sf).select("gpsno").join(terms, "gpsno", "left").groupBy("gpsno")
-              .agg((F.lit(-4.0) + F.coalesce(F.sum("term"), F.lit(0.0))).alias("logit")))
-    return model.occlusion(logits, terms, 40, codes.EVENT_CODES)
-
-
-@query("j16_code_ablation", Q.shape("SELECT * FROM occluded", ["logit", "baseline_probability", "masked_probability"], ["event_code"],
-                                    OCCLUSION_CTES))
-def j16(spark, sf):
-    return occluded(spark, sf)
-
-
 @query("j17_landmark_grid", Q.shape(f"SELECT p.gpsno, a.anchor_day FROM profile p CROSS JOIN {Q.anchor_values(range(14, 31))}",
                                     b=["anchor_day"], ctes=Q.PROFILE))
 def j17(spark, sf):

@@ -11,9 +11,11 @@ from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.aggregates import FIT_STD, LANDMARK_CTES, LANDMARK_NUMBERS, PARAM_DOUBLES, STD_FEATURES, train_days
 from telerisk.catalog.expressions import EVIDENCE_CTES, NODE_DOUBLES, NODE_INTS, NODE_SQL
-from telerisk.catalog.joins import OCCLUSION_CTES, OUTCOME_CTES, occluded, outcomes
+from telerisk.catalog.joins import OUTCOME_CTES, OUTCOMES, outcomes
+from telerisk.catalog.occlusion import OCCLUSION_CTES, occluded
 from telerisk.catalog.registry import query
 from telerisk.catalog.sqlmetrics import auc_sql, binary_sql
+from telerisk.catalog.windows import SPLIT
 from telerisk.functions.columns import horizon_probability
 from telerisk.operators import daily as D
 from telerisk.operators import labels as L
@@ -42,11 +44,20 @@ def training_tables(spark, sf):
     return daily, land, out
 
 
-@query("m1_hazard_model")
+FOLDED = f"""dev_land AS (SELECT l.* FROM landmarks l JOIN entities e USING (gpsno) WHERE is_development),
+dev_outcomes AS (SELECT o.* FROM outcomes o JOIN entities e USING (gpsno) WHERE is_development)"""
+DEV_CTES = f"{LANDMARK_CTES}, {Q.ENTITIES}, {OUTCOMES}, {FOLDED}"
+_missing = " UNION ALL ".join(f"SELECT 'm_{c}' AS feature, COUNT({c}) < COUNT(*) AS flagged FROM dev_land" for c in FULL_COLUMNS)
+
+
+@query("m1_hazard_model", f"""WITH {DEV_CTES} SELECT feature, TRUE AS optimal FROM (SELECT '(intercept)' AS feature UNION ALL SELECT UNNEST([{', '.join(f"'x_{c}'" for c in FULL_COLUMNS)}])
+    UNION ALL SELECT feature FROM ({_missing}) m WHERE flagged) f""")
 def m1(spark, sf):
+    """The fit is at the optimum of its objective: gradient and penalty balance for the intercept, every feature and every missing flag."""
     _, land, out = training_tables(spark, sf)
-    fitted = model.HazardModel.fit(land, L.compress_outcomes(out), FULL_COLUMNS, c=0.1)
-    return fitted.daily_hazard(land.select("gpsno", "anchor_day", *FULL_COLUMNS)).select("gpsno", "anchor_day", "daily_hazard")
+    compressed = materialise(L.compress_outcomes(out), "compressed")
+    fitted = model.HazardModel.fit(land, compressed, FULL_COLUMNS, c=0.1)
+    return fitted.optimality(land, compressed).select("feature", (F.col("residual") <= F.col("allowed")).alias("optimal"))
 
 
 COEFFICIENTS = {c: ((i % 5) - 2) / 16.0 for i, c in enumerate(FULL_COLUMNS)}
@@ -71,31 +82,44 @@ def labelled_windows(spark, sf):
     return daily, materialise(features.join(labels, "gpsno"), "windows")
 
 
-@query("m3_boosted_pair")
+@query("m3_boosted_pair", f"""WITH {DEV_CTES} SELECT gpsno, CAST(first_event_day IS NOT NULL AS BIGINT) AS label, TRUE AS full_in_range, TRUE AS fallback_in_range,
+    TRUE AS full_above_prior, TRUE AS fallback_above_prior FROM dev_outcomes WHERE anchor_day = 20""")
 def m3(spark, sf):
+    """Both models give every entity a probability, and rank better than the prior, whose AUC is one half."""
     _, rows = labelled_windows(spark, sf)
     full, fallback = K.window_columns(rows.drop("label"))
-    rows = model.doubles(rows, full)
-    a, b = model.boosted_pair(rows, full, fallback)
-    one = model.positive_probability(a.transform(rows), ["gpsno", "label"], "full_probability")
-    two = model.positive_probability(b.transform(rows), ["gpsno"], "fallback_probability")
-    return one.join(two, "gpsno")
-
-
-@query("m4_out_of_fold")
+    rows = model.doubles(rows, full).withColumn("held", model.validation_share())
+    pair = model.boosted_pair(rows, full, fallback, validation="held")
+    one, two = (model.positive_probability(m.transform(rows), ["gpsno", "label"], "probability") for m in pair)
+    one, two = materialise(one, "full"), materialise(two, "fallback")
+    fine = F.col("probability").between(0, 1)
+    above = lambda df, name: metrics.ranking_metrics(df).select((F.col("roc_auc") > 0.5).alias(name), F.lit(0).alias("_k"))
+    both = one.select("gpsno", "label", fine.alias("full_in_range"), F.lit(0).alias("_k")).join(two.select("gpsno", fine.alias("fallback_in_range")), "gpsno")
+    return both.join(above(one, "full_above_prior"), "_k").join(above(two, "fallback_above_prior"), "_k").drop("_k")
+
+
+@query("m4_out_of_fold", Q.shape("""SELECT o.gpsno, o.anchor_day, s.fold, o.horizon_days, o.first_event_day, CASE WHEN first_event_day IS NULL THEN 0 ELSE 1 END AS label,
+    TRUE AS in_range, TRUE AS fold_optimal FROM dev_outcomes o JOIN split s USING (gpsno) WHERE s.fold IS NOT NULL""", b=["anchor_day", "fold", "horizon_days",
+    "first_event_day", "label"], ctes=f"""{DEV_CTES}, reference AS (SELECT gpsno, CASE WHEN first_event_day IS NULL THEN 0 ELSE 1 END AS label FROM outcomes WHERE anchor_day = 20),
+    {SPLIT}"""))
 def m4(spark, sf):
+    """Every landmark is scored by the model of the other folds, whose fit is at its optimum."""
     _, land, out = training_tables(spark, sf)
     compressed = materialise(L.compress_outcomes(out), "compressed")
     land = materialise(with_folds(spark, sf, land), "folded")
 
     def fit_predict(train, held):
-        fitted = model.HazardModel.fit(train, compressed.join(train.select("gpsno", "anchor_day"), ["gpsno", "anchor_day"], "left_semi"),
-                                       FULL_COLUMNS, c=0.1)
-        return fitted.daily_hazard(held.select("gpsno", "anchor_day", *FULL_COLUMNS)).select("gpsno", "anchor_day", "daily_hazard")
+        rows = materialise(compressed.join(train.select("gpsno", "anchor_day"), ["gpsno", "anchor_day"], "left_semi"), "fold")
+        fitted = model.HazardModel.fit(train, rows, FULL_COLUMNS, c=0.1)
+        worse = fitted.optimality(train, rows).where("residual > allowed").count()
+        scored = fitted.daily_hazard(held.select("gpsno", "anchor_day", *FULL_COLUMNS)).select("gpsno", "anchor_day", "daily_hazard")
+        return scored.withColumn("fold_optimal", F.lit(worse == 0))
 
     oof = model.out_of_fold(land, FOLDS, fit_predict)
-    return (oof.join(out.select("gpsno", "anchor_day", "horizon_days", "first_event_day", "label"), ["gpsno", "anchor_day"])
-            .withColumn("probability", horizon_probability("daily_hazard", "horizon_days")))
+    rows = oof.join(out.select("gpsno", "anchor_day", "horizon_days", "first_event_day", "label"), ["gpsno", "anchor_day"])
+    p = horizon_probability("daily_hazard", "horizon_days")
+    return rows.select("gpsno", "anchor_day", "fold", "horizon_days", "first_event_day", "label",
+                       ((F.col("daily_hazard") > 0) & (p >= F.col("daily_hazard") * (1 - 1e-9)) & (p < 1)).alias("in_range"), "fold_optimal")
 
 
 @query("m5_occlusion_sensitivity", Q.shape("""SELECT event_code, state, COUNT(*) FILTER (WHERE active) AS active_vehicles,
@@ -180,6 +204,51 @@ def m6_context(spark, sf):
     return masks.mask_context(long, masks.context_spans(V.profile(spark, sf), 7, CHANNELS, V.LAST_DAY, fraction=0.25))
 
 
+STATE_CHANNELS = [c for names in codes.STATE_CONTEXT.values() for c in names]
+_context_rows = ", ".join(f"('{s}', '{c}')" for s, names in codes.STATE_CONTEXT.items() for c in names)
+STATE_GAPS = f"""gaps AS (SELECT DISTINCT gpsno, day_index, channel FROM (SELECT gpsno, state, UNNEST(RANGE(start_day, start_day + length)) AS day_index FROM blocks) b
+  JOIN (VALUES {_context_rows}) AS v(state, channel) USING (state))"""
+
+
+def context_sql(channels) -> str:
+    return """SELECT l.gpsno, l.day_index, l.channel, CASE WHEN g.gpsno IS NULL THEN l.value ELSE 0.0 END AS value, CASE WHEN g.gpsno IS NULL THEN 0 ELSE 1 END AS masked
+    FROM (""" + " UNION ALL ".join(f"SELECT gpsno, day_index, '{c}' AS channel, CAST({c} AS DOUBLE) AS value FROM daily" for c in channels) + """) l
+    LEFT JOIN gaps g USING (gpsno, day_index, channel)"""
+
+
+def context_values(spark, sf, channels):
+    return long_features(V.daily(spark, sf), ["gpsno", "day_index"], channels).withColumnRenamed("feature", "channel")
+
+
+@query("m6_masked_state_context", Q.shape(context_sql(STATE_CHANNELS), ["value"], ["day_index", "masked"], f"{Q.DAILY_CTES}, {STATE_MASKS}, {STATE_GAPS}"))
+def m6_state_context(spark, sf):
+    """The context half of the state mask: channels of a state are hidden on the days on which its events are."""
+    hits = masks.state_hits(masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY))
+    return masks.hide_context(context_values(spark, sf, STATE_CHANNELS), hits)
+
+
+def _light(name: str, sql: str, share: float) -> str:
+    """The masking SQL with the smaller shares of a light view and its own seed."""
+    target, hidden = max(1, round(V.LAST_DAY * 0.05)), max(1, round(len(codes.EVENT_CODES) * share))
+    return (sql.replace(f"'{SEED}:", f"'{SEED}:view:0:").replace(f"covered < {_target})", f"covered < {target})")
+            .replace(f"RANGE({ceil(_target / 2)})", f"RANGE({ceil(target / 2)})").replace(f"no <= {_hidden})", f"no <= {hidden})")
+            .replace(f"no <= {_gaps})", f"no <= {max(1, round(len(CHANNELS) * share))})"))
+
+
+def light(spark, sf):
+    return masks.light_view(nodes(spark, sf), context_values(spark, sf, CHANNELS), V.profile(spark, sf), SEED, V.LAST_DAY, CHANNELS)
+
+
+@query("m6_light_events", Q.shape(masked_sql("event_hits"), NODE_DOUBLES, [*NODE_INTS, "masked"], f"{NODE_CTES}, {_light('events', EVENT_MASKS, 0.04)}"))
+def m6_light_events(spark, sf):
+    return light(spark, sf)[0]
+
+
+@query("m6_light_context", Q.shape(context_sql(CHANNELS), ["value"], ["day_index", "masked"], f"{Q.DAILY_CTES}, {_light('context', CONTEXT_HITS, 0.04)}"))
+def m6_light_context(spark, sf):
+    return light(spark, sf)[1]
+
+
 @query("m6_shuffled_states", """WITH seen AS (SELECT """ + Q.CODE + """ AS event_code, COUNT(*) AS n FROM events GROUP BY 1),
     slots AS (SELECT event_code, ROW_NUMBER() OVER (ORDER BY md5('2026:' || CAST(event_code AS VARCHAR))) AS no FROM (VALUES """ + ", ".join(
     f"({c})" for c in codes.EVENT_CODES) + """) v(event_code)),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from telerisk import codes
 from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
-from telerisk.catalog.aggregates import IMPORTANCE_BY_AUC
-from telerisk.catalog.joins import BAG_CTES, OCCLUSION_CTES, OUTCOME_CTES, occluded, outcomes
+from telerisk.catalog.joins import BAG_CTES, OUTCOME_CTES, outcomes
+from telerisk.catalog.occlusion import IMPORTANCE_BY_AUC, OCCLUSION_CTES, occluded
 from telerisk.catalog.registry import query
 from telerisk.catalog.windows import REFERENCE, SPLIT, reference
 from telerisk.operators import daily as D

@@ -15,7 +15,6 @@ from telerisk.operators import quality
 from telerisk.operators.scaling import long_features
 from telerisk.session import shared_folder
 from telerisk.sources import files
-from telerisk.streaming import streams
 
 
 def write_text(df, columns, folder, **options):
@@ -118,15 +117,18 @@ def s9(spark, sf):
 
 @query("s10_incremental_ingest", """SELECT event_type AS event_name, COUNT(*) AS n FROM events GROUP BY event_type""")
 def s10(spark, sf):
-    """Two runs over a growing folder: the second run reads only the new files."""
+    """Two runs over a growing folder: the second run reads only the new parts."""
     from telerisk.sources.canon import canonical_events
-    folder, out, check = (shared_folder(spark, f"s10-{k}") for k in ("in", "out", "check"))
+    from telerisk.sources.ingest import Ingest
+    folder, out = (shared_folder(spark, f"s10-{k}") for k in ("in", "out"))
     raw = V.raw_events(spark, sf)
+    parse = lambda paths: canonical_events(files.scan_tsv(spark, list(paths), codes.EVENT_COLUMNS))
     for part in ("part-0", "part-1"):
         write_text(raw.where(F.col("source_file") == part), codes.EVENT_COLUMNS, f"{folder}/{part}")
-        stream = streams.text_stream(spark, f"{folder}/*", files.text_schema(codes.EVENT_COLUMNS))
-        streams.run_available(canonical_events(stream), out, check)
-    return spark.read.parquet(out).groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
+        job = Ingest(spark, folder, out, parse, "part-*")
+        job.run()
+    rows = job.rows(parse([f"{folder}/part-1"]).schema)
+    return rows.groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bags(spark, sf):

@@ -16,7 +16,7 @@ from telerisk.operators import labels as L
 from telerisk.operators import landmarks as K
 from telerisk.operators import ordered, scoring, splits
 from telerisk.operators import trajectory as T
-from telerisk.session import materialise
+from telerisk.session import materialise, shared_folder
 
 P = V.PERIOD
 
@@ -237,13 +237,32 @@ def w17(spark, sf):
     return splits.stratified_split(reference(spark, sf), 2026, 5, 0.2)
 
 
-@query("w17_label_fingerprint", Q.shape("""SELECT sha256(STRING_AGG(digest, chr(10) ORDER BY bucket, digest)) AS label_fingerprint, SUM(n) AS entities FROM (
-    SELECT md5(gpsno)[1:3] AS bucket, sha256(STRING_AGG(gpsno || ':' || CAST(label AS VARCHAR), chr(10) ORDER BY gpsno || ':' || CAST(label AS VARCHAR))) AS digest,
-           COUNT(*) AS n FROM reference GROUP BY 1) b""", b=["entities"], ctes=f"{BAG_CTES}, {REFERENCE}"))
+def _tree_sql() -> str:
+    """Digest tree over md5(gpsno): leaves of about LEAF lines, then up to 16 children a node."""
+    limits = " ".join(f"WHEN n <= {splits.LEAF * 16**k} THEN {k}" for k in range(6))
+    out = f"""digit AS (SELECT CASE {limits} ELSE 6 END AS d FROM (SELECT COUNT(*) AS n FROM reference) r),
+t6 AS (SELECT substr(md5(gpsno), 1, d) AS node, sha256(STRING_AGG(line, chr(10) ORDER BY line)) AS digest, COUNT(*) AS n
+  FROM (SELECT gpsno, gpsno || ':' || CAST(label AS VARCHAR) AS line FROM reference) x, digit GROUP BY 1)"""
+    for k in range(5, -1, -1):
+        out += f""",
+t{k} AS (SELECT substr(node, 1, {k}) AS node, CASE WHEN MAX(length(node)) > {k} THEN sha256(STRING_AGG(digest, chr(10) ORDER BY node)) ELSE MAX(digest) END AS digest,
+  SUM(n) AS n FROM t{k + 1} GROUP BY 1)"""
+    return out
+
+
+@query("w17_label_fingerprint", Q.shape("SELECT digest AS label_fingerprint, n AS entities FROM t0", b=["entities"], ctes=f"{BAG_CTES}, {REFERENCE}, {_tree_sql()}"))
 def w17_fingerprint(spark, sf):
     return splits.label_fingerprint(reference(spark, sf))
 
 
+@query("w17_frozen_split", Q.shape("SELECT * FROM split", b=["label", "fold"], ctes=f"{BAG_CTES}, {REFERENCE}, {SPLIT}"))
+def w17_frozen(spark, sf):
+    """Made once and read from then on; the second call finds that nothing has changed."""
+    folder, labels = shared_folder(spark, "frozen"), materialise(reference(spark, sf), "reference")
+    splits.frozen_split(labels, folder, 2026, 5, 0.2)
+    return splits.frozen_split(labels, folder, 2026, 5, 0.2)
+
+
 # --- scorecards -----------------------------------------------------------------------
 
 A_SCORED = f"""{Q.ENTITIES}, routed AS (
@@ -404,11 +423,12 @@ def p25(spark, sf):
 
 @query("m8_scorecard_b", Q.shape(f"""
     SELECT gpsno, anchor_day, evidence_confidence, confidence_level, {', '.join(B_CUTS)}, total_deduction, 100 - total_deduction AS safety_score,
-           {bands_sql(codes.SCORE_B_GRADES, 0, 'U')} AS grade, {bands_sql(codes.SCORE_B_GRADES, 2, codes.SCORE_B_UNRATED[1])} AS risk_level
+           {bands_sql(codes.SCORE_B_GRADES, 0, 'U')} AS grade, {bands_sql(codes.SCORE_B_GRADES, 2, codes.SCORE_B_UNRATED[1])} AS risk_level,
+           {bands_sql(codes.SCORE_B_GRADES, 3, codes.SCORE_B_UNRATED[2])} AS management_action, {top_case(codes.SCORE_B_LABELS, lambda n: 'deduction_' + n)} AS top_risk_dimension
     FROM cards_b""", ["evidence_confidence", *B_CUTS, "total_deduction", "safety_score"], ["anchor_day"], B_CTES))
 def m8(spark, sf):
     return cards_b(spark, sf).select("gpsno", "anchor_day", "evidence_confidence", "confidence_level", *B_CUTS, "total_deduction", "safety_score",
-                                     "grade", "risk_level")
+                                     "grade", "risk_level", "management_action", "top_risk_dimension")
 
 
 TOP_B = f"""contrib AS (SELECT gpsno, anchor_day, event_code, CASE dimension {' '.join(f"WHEN '{d}' THEN {p}" for d, p in codes.SCORE_B_POINTS.items() if d != 'trend')} END

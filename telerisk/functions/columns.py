@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
+from math import exp, isqrt, lgamma, log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,22 +108,40 @@ def seeded_hex(seed: int | str, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(p).cast("string") for p in parts]))
 
 
-def poisson_one(hex_text: Column) -> Column:
-    """Poisson(1) draw from the first eight hex digits (cumulative probability x 2^32)."""
-    head = F.substring(hex_text, 1, 8)
-    out = F.lit(len(POISSON_ONE_STEPS))
-    for count in reversed(range(len(POISSON_ONE_STEPS))):
-        out = F.when(head < POISSON_ONE_STEPS[count], F.lit(count)).otherwise(out)
-    return out
+#: a draw for n entities is put together from draws for 512, 256, ..., 1 of them and for as many whole blocks as there are
+POISSON_BLOCK = 1024
+
+
+@cache
+def poisson_steps(mean: int) -> tuple[int, tuple[str, ...]]:
+    """Inverse Poisson distribution on eight hex digits: the least draw, and the digits from which on each further one counts."""
+    total, first, steps = 0.0, 0, []
+    for k in range(mean + 12 * isqrt(mean) + 10):
+        total += exp(k * log(mean) - mean - lgamma(k + 1))
+        step = int(total * 2**32)
+        if step == 0:
+            first = k + 1
+        elif step < 2**32 - 1:
+            steps.append(f"{step:08x}")
+    return first, tuple(steps)
 
 
-def _poisson_steps(terms: int = 10) -> tuple[str, ...]:
-    from math import exp, factorial
-    total, steps = 0.0, []
-    for k in range(terms):
-        total += exp(-1.0) / factorial(k)
-        steps.append(f"{min(int(total * 2**32), 2**32 - 1):08x}")
-    return tuple(steps)
+def poisson_draw(mean: int, hex_text: Column) -> Column:
+    """Poisson(mean) from the first eight hex digits."""
+    first, steps = poisson_steps(mean)
+    head = F.substring(hex_text, 1, 8)
+    return F.lit(first) + F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= head))
+
 
+def poisson_of(n: Column, hex_of: Callable[..., Column]) -> Column:
+    """Poisson(n) for whole n >= 0, as the sum of independent draws whose means add up to n; exact for any n.
 
-POISSON_ONE_STEPS = _poisson_steps()
+    ``hex_of()`` is the hash of a single entity's draw, ``hex_of(size)`` and ``hex_of(size, i)`` those of larger ones.
+    """
+    n = n.cast("long")
+    draws = [F.when(n.bitwiseAND(size) > 0, poisson_draw(size, hex_of(F.lit(size)) if size > 1 else hex_of())).otherwise(0)
+             for size in (1 << j for j in range(POISSON_BLOCK.bit_length() - 1))]
+    blocks = F.shiftright(n, POISSON_BLOCK.bit_length() - 1)
+    whole = F.aggregate(F.sequence(F.lit(1), blocks), F.lit(0).cast("long"),
+                        lambda acc, i: acc + poisson_draw(POISSON_BLOCK, hex_of(F.lit(POISSON_BLOCK), i)).cast("long"))
+    return reduce(lambda a, b: a + b, draws).cast("long") + F.when(blocks > 0, whole).otherwise(0)

@@ -85,6 +85,46 @@ def landmark_summary(daily: DataFrame, anchors: Sequence[int],
             .where(F.col("anchor_day").isin(*anchors)))
 
 
+def code_dependencies(wanted: Sequence[int] = codes.EVENT_CODES, event_fields: Sequence[str] = codes.LANDMARK_EVENT_FIELDS,
+                      recency_codes: Sequence[int] = codes.TARGET_CODES) -> list[tuple[int, str, str, str]]:
+    """(event code, landmark feature, measure, form) of every feature that changes when a code's events are taken away.
+
+    ``measure`` is what of the code enters the feature (count or episode); ``form`` is how.
+    """
+    out = []
+    for c in wanted:
+        for f in event_fields:
+            own = {f"event_{c}_count": "count", f"event_{c}_episodes": "episode", "event_total_count": "count", "event_total_episodes": "episode"}
+            if f in own:
+                out += [(c, f"{f}_{form}", own[f], form) for form in ("per_day", "per_100km", "recent7_per_day", "delta7_per_day")]
+        if c in recency_codes:
+            out.append((c, f"event_{c}_recency_days", "count", "recency_days"))
+    return out
+
+
+def without_code(daily: DataFrame, landmarks: DataFrame, anchors: Sequence[int], wanted: Sequence[int] = codes.EVENT_CODES) -> DataFrame:
+    """Landmark features as they would be without one code: gpsno, anchor_day, event_code, feature, value, masked.
+
+    One row for each feature that depends on a code the entity has had by the anchor.  All of them are linear in the
+    code's counts, but for the recency, which is unknown without the code; so they come from the sums of the active
+    code-days, and no entity-day is built again.
+    """
+    spark = daily.sparkSession
+    items = code_dependencies(wanted)
+    features = list(dict.fromkeys(f for _, f, _, _ in items))
+    table = spark.createDataFrame(items, "event_code int, feature string, measure string, form string")
+    values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])
+    km = F.col("exposure_km_per_day") * F.col("anchor_day")
+    known = landmarks.select("gpsno", "anchor_day", km.alias("_km"), values.alias("_values"))
+    sums = code_totals(active_code_days(daily, wanted), anchors)
+    rows = sums.join(known, ["gpsno", "anchor_day"]).join(F.broadcast(table), "event_code")  # a fixed table of a few hundred rows
+    take = lambda span: F.when(F.col("measure") == "count", F.col(f"count_{span}")).otherwise(F.col(f"episode_{span}"))
+    value, form = F.element_at("_values", F.col("feature")), F.col("form")
+    less = (F.when(form == "per_day", take("total") / F.col("anchor_day")).when(form == "per_100km", 100 * take("total") / F.col("_km"))
+            .when(form == "recent7_per_day", take("recent7") / 7).when(form == "delta7_per_day", (take("recent7") - take("previous7")) / 7))
+    return rows.select("gpsno", "anchor_day", "event_code", "feature", value.alias("value"), (value - less).alias("masked"))
+
+
 def landmark_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     """(all features, features usable without an event feed)."""
     full = [c for c in df.columns if c not in ("gpsno", "anchor_day")]

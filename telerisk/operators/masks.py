@@ -28,7 +28,7 @@ def span(hex_text: Column, days: int, shortest: int = 2, longest: int = 5) -> tu
     return start, length
 
 
-def event_spans(entities: DataFrame, seed: int, days: int, day_fraction: float = 0.15) -> DataFrame:
+def event_spans(entities: DataFrame, seed: int | str, days: int, day_fraction: float = 0.15) -> DataFrame:
     """Spans drawn until the target number of days is covered (at most target/2 spans)."""
     target = max(1, round(days * day_fraction))
     draws = entities.select("gpsno", F.explode(F.sequence(F.lit(0), F.lit(ceil(target / 2) - 1))).alias("draw"))
@@ -39,7 +39,7 @@ def event_spans(entities: DataFrame, seed: int, days: int, day_fraction: float =
             .where(F.col("_covered") < target).drop("_covered"))
 
 
-def masked_codes(entities: DataFrame, seed: int, wanted: Sequence[int] = codes.EVENT_CODES,
+def masked_codes(entities: DataFrame, seed: int | str, wanted: Sequence[int] = codes.EVENT_CODES,
                  fraction: float = 0.10) -> DataFrame:
     """Codes hidden over the whole series of an entity (lowest hashes of a fixed list)."""
     count = max(1, round(len(wanted) * fraction))
@@ -49,7 +49,7 @@ def masked_codes(entities: DataFrame, seed: int, wanted: Sequence[int] = codes.E
     return rows.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= count).select("gpsno", "event_code")
 
 
-def context_spans(entities: DataFrame, seed: int, channels: Sequence[str], days: int, fraction: float = 0.10) -> DataFrame:
+def context_spans(entities: DataFrame, seed: int | str, channels: Sequence[str], days: int, fraction: float = 0.10) -> DataFrame:
     """One short span per entity over a few context channels, as a sensor gap would look."""
     count = max(1, round(len(channels) * fraction))
     start, length = span(seeded_hex(seed, F.lit("context"), "gpsno"), days)
@@ -92,27 +92,56 @@ def mask_events(nodes: DataFrame, spans: DataFrame, hidden: DataFrame) -> DataFr
     return joined.select(*kept, masked.cast("int").alias("masked"))
 
 
+def state_hits(blocks: DataFrame, states: Mapping[str, Sequence[int]] = codes.STATES,
+               context: Mapping[str, Sequence[str]] = codes.STATE_CONTEXT) -> DataFrame:
+    """State blocks as one relation (gpsno, day_index, event_code, channel): a hidden code or a hidden context channel.
+
+    Event codes and context channels of a state are hidden on the same days, since both come from the same block.
+    """
+    items = [(s, c, None) for s, members in states.items() for c in members] + [(s, None, c) for s, names in context.items() for c in names]
+    table = blocks.sparkSession.createDataFrame(items, "state string, event_code int, channel string")
+    covered = _covered(blocks, blocks, ["gpsno", "state"]).join(F.broadcast(table), "state")  # one row per code and channel
+    return covered.select("gpsno", "day_index", "event_code", "channel").dropDuplicates()
+
+
 def mask_states(nodes: DataFrame, blocks: DataFrame, states: Mapping[str, Sequence[int]] = codes.STATES) -> DataFrame:
     """State blocks expanded to the event codes of the state."""
-    expand = F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.lit(c).alias("event_code"))
-                                 for s, members in states.items() for c in members]))
-    table = nodes.sparkSession.range(1).select(expand.alias("_x")).select("_x.*")
-    hits = (_covered(nodes, blocks, ["gpsno", "state"]).join(F.broadcast(table), "state")  # one row per code
-            .select("gpsno", "day_index", "event_code", "_hit"))
-    joined = nodes.join(hits, ["gpsno", "day_index", "event_code"], "left")
+    return hide_nodes(nodes, state_hits(blocks, states, {}))
+
+
+def hide_nodes(nodes: DataFrame, hits: DataFrame) -> DataFrame:
+    """Event nodes with the derived fields under a hit at zero, and the flag ``masked``."""
+    events = hits.where(F.col("event_code").isNotNull()).select("gpsno", "day_index", "event_code", F.lit(True).alias("_hit"))
+    joined = nodes.join(events, ["gpsno", "day_index", "event_code"], "left")
     masked = F.coalesce("_hit", F.lit(False))
     kept = [F.when(masked, F.lit(0).cast(nodes.schema[c].dataType)).otherwise(F.col(c)).alias(c)
             if c in MASKED_FIELDS else F.col(c) for c in nodes.columns]
     return joined.select(*kept, masked.cast("int").alias("masked"))
 
 
+def hide_context(long: DataFrame, hits: DataFrame) -> DataFrame:
+    """Context values (gpsno, day_index, channel, value) at zero under a hit, and the flag ``masked``."""
+    channels = hits.where(F.col("channel").isNotNull()).select("gpsno", "day_index", "channel", F.lit(True).alias("_hit"))
+    masked = F.coalesce("_hit", F.lit(False))
+    return long.join(channels, ["gpsno", "day_index", "channel"], "left").select(
+        "gpsno", "day_index", "channel", F.when(masked, 0.0).otherwise(F.col("value")).alias("value"), masked.cast("int").alias("masked"))
+
+
+def light_view(nodes: DataFrame, long: DataFrame, entities: DataFrame, seed: int, days: int, channels: Sequence[str],
+               wanted: Sequence[int] = codes.EVENT_CODES, view: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A view of the same history for contrast: few and short gaps (5 % of days, 4 % of codes and channels).
+
+    ``view`` numbers independent views of one seed.
+    """
+    own = f"{seed}:view:{view}"
+    events = mask_events(nodes, event_spans(entities, own, days, 0.05), masked_codes(entities, own, wanted, 0.04))
+    return events, mask_context(long, context_spans(entities, own, channels, days, 0.04))
+
+
 def mask_context(long: DataFrame, spans: DataFrame) -> DataFrame:
     """Zero the spans of masked channels in a long (gpsno, day_index, channel, value) table."""
-    hits = _covered(long, spans, ["gpsno", "channel"])
-    joined = long.join(hits, ["gpsno", "day_index", "channel"], "left")
-    masked = F.coalesce("_hit", F.lit(False))
-    return joined.select("gpsno", "day_index", "channel", F.when(masked, 0.0).otherwise(F.col("value")).alias("value"),
-                         masked.cast("int").alias("masked"))
+    hits = _covered(long, spans, ["gpsno", "channel"]).drop("_hit")
+    return hide_context(long, hits)
 
 
 def shuffled_states(table: DataFrame, seed: int = 2026) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telerisk.functions.columns import poisson_one, seeded_hex
+from telerisk.functions.columns import poisson_of, seeded_hex
 from telerisk.operators.ordered import metric_quantiles, rank_by_value, running_totals, top_fraction
 
 ALL = "_all"
@@ -67,11 +67,16 @@ def score_binary(df: DataFrame, groups: Sequence[str] = (), **names: str) -> Dat
     return counts.join(ranks.select(*keys, "roc_auc", "pr_auc"), keys).drop(ALL)
 
 
-def bootstrap_rows(df: DataFrame, seed: int, samples: int, key: str = "gpsno") -> DataFrame:
-    """Rows with Poisson(1) replicate weights; zero weights are dropped before any shuffle."""
-    drawn = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
-    return (drawn.withColumn("weight", poisson_one(seeded_hex(seed, "replicate", key)))
-            .where(F.col("weight") > 0))
+def bootstrap_cells(df: DataFrame, seed: int, samples: int, cell: Sequence[str], key: str = "gpsno") -> DataFrame:
+    """Replicate weights of cells: ``cell`` columns, ``replicate`` and ``weight`` (above 0).
+
+    The n entities of a cell (equal in every column of ``cell``) weigh together as one Poisson(n) draw, so rows
+    are bounded by the distinct cells and not by the entities.  The draw is keyed by the cell's smallest entity.
+    """
+    cells = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_key"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("replicate"))
+    weight = poisson_of(F.col("_n"), lambda *parts: seeded_hex(seed, "replicate", "_key", *parts))
+    return drawn.withColumn("weight", weight).where(F.col("weight") > 0).drop("_n", "_key")
 
 
 def interval(values: DataFrame, groups: Sequence[str], value: str, prefix: str) -> DataFrame:
@@ -84,7 +89,7 @@ def interval(values: DataFrame, groups: Sequence[str], value: str, prefix: str)
 def auc_interval(df: DataFrame, groups: Sequence[str] = (), seed: int = 2026, samples: int = 1000,
                  key: str = "gpsno", **names: str) -> DataFrame:
     """Poisson bootstrap of the AUC; replicates with one class are left out."""
-    rows = bootstrap_rows(df, seed, samples, key)
+    rows = bootstrap_cells(df, seed, samples, [*groups, names.get("label", "label"), names.get("score", "probability")], key)
     return interval(ranking_metrics(rows, [*groups, "replicate"], weight="weight", **names), groups, "roc_auc", "auc")
 
 
@@ -116,7 +121,7 @@ def paired_auc(pair: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def paired_interval(pair: DataFrame, seed: int = 2026, samples: int = 1000) -> DataFrame:
     """Interval of the AUC difference: both models share the weights of a replicate."""
-    rows = _both_models(bootstrap_rows(pair, seed, samples))
+    rows = _both_models(bootstrap_cells(pair, seed, samples, ["label", "probability_new", "probability_prior"]))
     delta = _auc_by_model(ranking_metrics(rows, ["replicate", "model"], weight="weight"), ["replicate"])
     return interval(delta, [], "delta_auc", "delta")
 

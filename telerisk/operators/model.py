@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telerisk.functions.columns import clip, horizon_probability, is_finite, signed_log
+from telerisk.functions.columns import clip, horizon_probability, is_finite, seeded_hex, signed_log
 from telerisk.operators.scaling import feature_frame, fit_std_scaler
 
 KEYS = ["gpsno", "anchor_day"]
@@ -43,7 +43,7 @@ class HazardModel:
 
     @classmethod
     def fit(cls, landmarks: DataFrame, compressed: DataFrame, columns: Sequence[str], c: float = 1.0,
-            elastic: float = 0.2, max_iter: int = 100) -> "HazardModel":
+            elastic: float = 0.2, max_iter: int = 5000) -> "HazardModel":
         """``landmarks`` unique on (gpsno, anchor_day); ``compressed`` holds y and weight per landmark.
 
         Only fitted parameters (one row per feature) come to the driver.
@@ -61,7 +61,7 @@ class HazardModel:
         weight = compressed.agg(F.sum("weight")).first()[0]
         train = scaler.transform(base).select(*KEYS, "features").join(compressed, KEYS)
         lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", elasticNetParam=elastic,
-                                regParam=1.0 / (c * weight), maxIter=max_iter, tol=1e-6, standardization=False)
+                                regParam=1.0 / (c * weight), maxIter=max_iter, tol=1e-10, standardization=False)
         return cls(columns, bounds, flagged, scaler, lr.fit(train))
 
     def daily_hazard(self, landmarks: DataFrame, out: str = "daily_hazard") -> DataFrame:
@@ -70,22 +70,92 @@ class HazardModel:
         p = vector_to_array("probability")[1]
         return scored.select(*landmarks.columns, F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)).alias(out))
 
-    def coefficients(self, spark) -> DataFrame:
-        """Feature coefficients as a table, for the SQL form of scoring."""
-        names = [f"x_{c}" for c in self.columns] + [f"m_{c}" for c in self.flagged]
-        pairs = list(zip(names, [float(v) for v in self.classifier.coefficients]))
-        return spark.createDataFrame(pairs, "feature string, coefficient double")
+    def names(self) -> list[str]:
+        return [f"x_{c}" for c in self.columns] + [f"m_{c}" for c in self.flagged]
+
+    def parameters(self, spark) -> DataFrame:
+        """One row per feature with all that its term of the logit takes, as ``feature_term`` reads it."""
+        scaler, weights = self.scaler.stages[-1], self.classifier.coefficients
+        rows = {n: (float(m), 1.0 / s if s > 0 else 0.0, float(w)) for n, m, s, w in zip(self.names(), scaler.mean, scaler.std, weights)}
+        out = [(c, *map(float, self.bounds[c]), *rows[f"x_{c}"], *rows.get(f"m_{c}", (0.0, 0.0, 0.0))) for c in self.columns]
+        return spark.createDataFrame(out, ", ".join(f"{n} {'string' if n == 'feature' else 'double'}" for n in PARAMETERS))
+
+    @property
+    def intercept(self) -> float:
+        return float(self.classifier.intercept)
+
+    def optimality(self, landmarks: DataFrame, compressed: DataFrame) -> DataFrame:
+        """How far the fit is from the optimum of its own objective: ``feature``, ``coefficient``, ``residual``, ``allowed``.
+
+        The residual is the gradient of the mean weighted loss with its penalty, at zero coefficients what of it the
+        absolute penalty leaves; 0 for all features and the intercept means that no other coefficients are better.
+        ``allowed`` is a hundredth of the penalty's own slope.
+        """
+        base = self._base(landmarks, self.columns, self.bounds, self.flagged, KEYS)
+        rows = self.classifier.transform(self.scaler.transform(base).select(*KEYS, "features").join(compressed, KEYS))
+        off = F.col("weight") * (vector_to_array("probability")[1] - F.col("y"))
+        x = vector_to_array("features")
+        names = self.names()
+        sums = rows.agg(F.sum("weight").alias("w"), F.sum(off).alias("g"), *[F.sum(off * x[i]).alias(f"g{i}") for i in range(len(names))]).first()
+        strength, mixed = self.classifier.getRegParam(), self.classifier.getElasticNetParam()
+        out, allowed = [("(intercept)", self.intercept, abs(sums["g"]) / sums["w"])], 0.01 * strength
+        for i, name in enumerate(names):
+            beta = float(self.classifier.coefficients[i])
+            slope = sums[f"g{i}"] / sums["w"] + strength * (1 - mixed) * beta
+            rest = abs(slope + strength * mixed * (1 if beta > 0 else -1)) if beta else max(0.0, abs(slope) - strength * mixed)
+            out.append((name, beta, float(rest)))
+        return landmarks.sparkSession.createDataFrame([(*r, allowed) for r in out], "feature string, coefficient double, residual double, allowed double")
+
+
+#: one row per feature: clip bounds and fill, then centre, 1 / spread and coefficient of the value and of its missing flag
+PARAMETERS = ("feature", "low", "high", "median", "mean", "factor", "coefficient", "flag_mean", "flag_factor", "flag_coefficient")
+
+
+def feature_term(value: str) -> Column:
+    """What a feature's value adds to the logit, from the columns PARAMETERS beside it."""
+    c = F.col
+    v = clip(signed_log(value), c("low"), c("high"))
+    own = c("coefficient") * (F.coalesce(v, c("median")) - c("mean")) * c("factor")
+    return own + c("flag_coefficient") * (v.isNull().cast("double") - c("flag_mean")) * c("flag_factor")
+
+
+def model_logits(long: DataFrame, parameters: DataFrame, intercept: float, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Logits of a fitted model from long (keys, feature, value) rows with every feature: one join, one aggregate."""
+    rows = long.join(parameters, "feature")
+    return rows.groupBy(*keys).agg((F.lit(float(intercept)) + F.sum(feature_term("value"))).alias("logit"))
+
+
+def code_terms(masked: DataFrame, parameters: DataFrame) -> DataFrame:
+    """What each code's events add to the logit: gpsno, anchor_day, event_code, term.
+
+    ``masked`` holds the features with and without the code (``landmarks.without_code``); the model is scored
+    again on both, not fitted again.
+    """
+    change = feature_term("value") - feature_term("masked")
+    return masked.join(parameters, "feature").groupBy(*KEYS, "event_code").agg(F.sum(change).alias("term"))
+
+
+def validation_share(key: str = "gpsno", seed: int = 2026, percent: int = 20) -> Column:
+    """Marks about ``percent`` of the entities for validation, by the hash of their id."""
+    return F.conv(F.substring(seeded_hex(seed, F.lit("validation"), key), 1, 8), 16, 10).cast("long") % 100 < percent
 
 
 def boosted_pair(train: DataFrame, full: Sequence[str], fallback: Sequence[str], label: str = "label",
-                 iterations: int = 20, depth: int = 4, step: float = 0.1, seed: int = 2026) -> tuple[PipelineModel, PipelineModel]:
-    """Gradient-boosted trees on all columns and on the columns usable without an event feed."""
+                 iterations: int = 400, depth: int = 4, step: float = 0.03, seed: int = 2026, validation: str | None = None,
+                 tolerance: float = 1e-3) -> tuple[PipelineModel, PipelineModel]:
+    """Gradient-boosted trees on all columns and on the columns usable without an event feed.
+
+    Rows with ``validation`` true are not fitted: trees are added, up to ``iterations``, as long as the loss on
+    those rows falls by more than ``tolerance`` of itself, and the best number of them is kept.
+    """
+    stop = {} if validation is None else {"validationIndicatorCol": validation, "validationTol": tolerance}
+
     def fit(columns: Sequence[str]) -> PipelineModel:
         filled = [f"f_{c}" for c in columns]
         stages = [Imputer(strategy="median", inputCols=list(columns), outputCols=filled),
                   VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
                   GBTClassifier(featuresCol="features", labelCol=label, maxIter=iterations, maxDepth=depth,
-                                stepSize=step, seed=seed)]
+                                stepSize=step, seed=seed, **stop)]
         return Pipeline(stages=stages).fit(train)
     return fit(usable(train, full)), fit(usable(train, fallback))
 
@@ -116,7 +186,7 @@ def out_of_fold(rows: DataFrame, folds: int, fit_predict: Callable[[DataFrame, D
 
 def linear_hazard(long: DataFrame, coefficients: DataFrame, intercept: float, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sigmoid of the weighted feature sum: scoring as one join and one aggregate."""
-    terms = long.join(F.broadcast(coefficients), "feature")  # one row per feature
+    terms = long.join(coefficients, "feature")
     logit = F.lit(intercept) + F.sum(F.col("value") * F.col("coefficient"))
     return terms.groupBy(*keys).agg(logit.alias("logit")).withColumn("daily_hazard", 1 / (1 + F.exp(-F.col("logit"))))
 
@@ -145,7 +215,7 @@ def sensitivity(occluded: DataFrame, code_name: Column, states: DataFrame) -> Da
     out = occluded.groupBy("event_code").agg(
         F.count_if(on).alias("active_vehicles"), mean(delta).alias("mean_signed_probability_delta"),
         mean(F.abs(delta)).alias("mean_abs_probability_delta"))
-    return out.join(F.broadcast(states.select("event_code", "state")), "event_code").select(
+    return out.join(states.select("event_code", "state"), "event_code").select(
         "event_code", code_name.alias("event_name"), "state", "active_vehicles", "mean_signed_probability_delta",
         "mean_abs_probability_delta")
 
@@ -168,5 +238,5 @@ def cumulative_segments(hazards: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hazards.withColumn("probability", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6)))
 
 
-__all__ = ["HazardModel", "boosted_pair", "out_of_fold", "linear_hazard", "occlusion", "sensitivity", "feature_frame",
+__all__ = ["HazardModel", "PARAMETERS", "feature_term", "model_logits", "code_terms", "validation_share", "boosted_pair", "out_of_fold", "linear_hazard", "occlusion", "sensitivity", "feature_frame",
            "route_probability", "cumulative_segments", "positive_probability", "doubles", "usable"]

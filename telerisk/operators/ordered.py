@@ -4,8 +4,8 @@ A group (one entity, one metric, one model) may hold a third of all rows, so not
 sorts a whole group in one task.  Rows are first reduced to distinct cells with counts
 (map-side combine merges copies), cells are split into value bins and bins that are too full into
 parts of their own range, running totals are taken inside each part, and the totals of the parts
-carry them over.  Quantiles, ranks, empirical percentiles, ROC-AUC and average precision all come
-from those running totals and are exact.
+carry them over.  Quantiles, ROC-AUC and average precision all come from those running totals and are
+exact.  Ranks and percentiles of rows come from range partitions (``ranges``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telerisk.functions.columns import is_finite
+from telerisk.operators.ranges import merged_counts, numbered
 
 BINS_PER_DOUBLING = 128
 _SHIFT = 1100 * BINS_PER_DOUBLING
@@ -199,68 +200,45 @@ def percentile_against(long: DataFrame, groups: Sequence[str], value: str, is_re
     """Share of reference rows at or below each value (or the mid-rank share).
 
     Adds ``out`` to every row of ``long``; rows outside ``where`` get 0 and take no part in
-    the reference.  A group without reference rows also gets 0.
+    the reference.  A group without reference rows also gets 0.  Reference and scored rows are
+    merged by ranges of the value; nothing is joined on it.
     """
     selected = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    selected = selected & is_finite(value)
-    marked = long.withColumn("_key", F.when(selected, F.col(value)))
-    cells = (marked.where(F.col("_key").isNotNull())
-             .groupBy(*groups, "_key").agg(F.sum(F.col(is_reference).cast("long")).alias("n")))
-    ranked = running_totals(cells, groups, "_key", ["n"])
-    below, inclusive = F.col("n_before"), F.col("n_before") + F.col("n")
-    share = (below + inclusive) / (2.0 * F.col("n_total")) if mid_rank else inclusive / F.col("n_total").cast("double")
-    scores = ranked.select(*groups, "_key", F.lit(0).alias("_salt"),
-                           F.when(F.col("n_total") > 0, share).otherwise(0.0).alias(out))
-    # rows without a key match nothing; the salt keeps them from meeting in one partition
-    spread = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(*long.columns), F.lit(256)).cast("int")).otherwise(F.lit(0))
-    return (marked.withColumn("_salt", spread).join(scores, [*groups, "_key", "_salt"], "left")
-            .select(*long.columns, F.coalesce(F.col(out), F.lit(0.0)).alias(out)))
+    marked = long.withColumn("_key", F.when(selected & is_finite(value), F.col(value).cast("double")))
+    counted = F.col("_key").isNotNull() & F.coalesce(F.col(is_reference).cast("boolean"), F.lit(False))
+    ranked = merged_counts(marked.withColumn("_n", F.when(counted, 1).otherwise(0)), groups, "_key", ["_n"])
+    inclusive = F.col("_n_before") + F.col("_n_here")
+    share = (F.col("_n_before") + inclusive) / (2.0 * F.col("_n_total")) if mid_rank else inclusive / F.col("_n_total").cast("double")
+    return ranked.select(*long.columns, F.when(F.col("_n_total") > 0, share).otherwise(0.0).alias(out))
 
 
 def rank_by_value(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Adds ``rank_asc``, ``rank_desc`` (minimum ranks), ``mid_rank`` and ``rank_pct`` per group."""
-    cells = df.where(is_finite(value)).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(cells, groups, value, ["n"]).select(
-        *groups, value,
-        (F.col("n_before") + 1).alias("rank_asc"),
-        (F.col("n_total") - F.col("n_before") - F.col("n") + 1).alias("rank_desc"),
-        (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("mid_rank"),
-        ((F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("n_total")).alias("rank_pct"),
-    )
-    return df.join(ranked, [*groups, value], "left")
+    """Adds ``rank_asc``, ``rank_desc`` (minimum ranks), ``mid_rank`` and ``rank_pct`` per group; NULL where the value is not finite."""
+    keyed = df.withColumn("_key", F.when(is_finite(value), F.col(value))).withColumn("_n", F.when(F.col("_key").isNotNull(), 1).otherwise(0))
+    before, here, total = (F.col(f"_n_{k}") for k in ("before", "here", "total"))
+    middle = before + (here + 1) / F.lit(2.0)
+    return merged_counts(keyed, groups, "_key", ["_n"]).select(
+        *df.columns, (before + 1).alias("rank_asc"), (total - before - here + 1).alias("rank_desc"), middle.alias("mid_rank"), (middle / total).alias("rank_pct"))
 
 
 def number_by_hash(df: DataFrame, groups: Sequence[str], hex_text: str, out: str = "row_no") -> DataFrame:
-    """Row number in the order of a uniform hex text, however large the group.
-
-    The leading three hex digits split a group into 4,096 even bins; their counts carry over.
-    """
-    binned = df.withColumn("_bin", F.coalesce(F.substring(hex_text, 1, 3), F.lit("")))
-    inside = Window.partitionBy(*groups, "_bin").orderBy(hex_text)
-    earlier = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = binned.groupBy(*groups, "_bin").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(*groups, "_bin", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    numbered = binned.withColumn("_inside", F.row_number().over(inside))
-    return (numbered.join(offsets, [*groups, "_bin"])
-            .withColumn(out, F.col("_inside") + F.col("_offset")).drop("_bin", "_inside", "_offset"))
+    """Row number in the order of a text, however large the group: rows are dealt to ranges whose sizes carry over."""
+    return numbered(df, groups, [hex_text], out)
 
 
 def top_fraction(df: DataFrame, value: str, fraction: float, key: str, largest: bool = True) -> DataFrame:
     """The floor(N*fraction) rows with the largest (smallest) values; ties ordered by md5(key).
 
-    No global sort: distinct values are ranked by running totals, and only the rows tied at
-    the boundary are numbered, split by hash.
+    Rows are ranked by ranges of the value; only the rows tied at the boundary are numbered.
     """
     signed = (-F.col(value) if largest else F.col(value)) + F.lit(0.0)
-    rows = df.withColumn("_v", signed).withColumn("_all", F.lit(0)).withColumn("_hex", F.md5(F.col(key).cast("string")))
-    cells = rows.groupBy("_all", "_v").agg(F.count(F.lit(1)).alias("n"))
-    k = F.floor(F.col("n_total") * F.lit(float(fraction)))
-    edges = (running_totals(cells, ["_all"], "_v", ["n"])
-             .select("_v", (F.col("n_before") + F.col("n") <= k).alias("_full"),
-                     (k - F.col("n_before")).alias("_room")).where(F.col("_room") > 0))
-    kept = rows.join(edges, "_v")
-    tied = number_by_hash(kept.where(~F.col("_full")), ["_v"], "_hex", "_no").where(F.col("_no") <= F.col("_room"))
-    return kept.where("_full").select(*df.columns).unionByName(tied.select(*df.columns))
+    rows = (df.withColumn("_v", signed).withColumn("_all", F.lit(0)).withColumn("_n", F.when(F.col("_v").isNotNull(), 1).otherwise(0))
+            .withColumn("_hex", F.md5(F.col(key).cast("string"))))
+    room = F.floor(F.col("_n_total") * F.lit(float(fraction))) - F.col("_n_before")
+    kept = merged_counts(rows, ["_all"], "_v", ["_n"]).withColumn("_room", room).where(F.col("_room") > 0)
+    full = F.col("_n_here") <= F.col("_room")
+    tied = number_by_hash(kept.where(~full), ["_v"], "_hex", "_no").where(F.col("_no") <= F.col("_room"))
+    return kept.where(full).select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def lag_across_slices(df: DataFrame, keys: Sequence[str], order: str, slice_of: Column,

@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telerisk import codes
+from telerisk.errors import ContractError
 from telerisk.functions.columns import is_finite
 from telerisk.operators.labels import count_after_anchor
 from telerisk.operators.splits import rule_rows
 
 
-class ContractError(ValueError):
-    """A data contract is violated."""
-
-
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -72,7 +72,7 @@ def apply_iqr_scaler(long: DataFrame, params: DataFrame, limit: float | None = N
     if limit is not None:
         scaled = clip(scaled, -limit, limit)
     keep = [c for c in long.columns if c != "value"]
-    return (long.join(F.broadcast(params), "feature")
+    return (long.join(params, "feature")
             .select(*keep, scaled.alias("scaled"), F.col("value").isNotNull().cast("int").alias("observed")))
 
 
@@ -108,7 +108,7 @@ def apply_std_scaler(long: DataFrame, params: DataFrame, transform=signed_log) -
     """Median-filled standardised values and a missing indicator."""
     v = clip(transform("value"), F.col("low"), F.col("high"))
     keep = [c for c in long.columns if c != "value"]
-    return (long.join(F.broadcast(params.select("feature", "low", "high", "median", "scale")), "feature")
+    return (long.join(params.select("feature", "low", "high", "median", "scale"), "feature")
             .select(*keep, F.coalesce((v - F.col("median")) / F.col("scale"), F.lit(0.0)).alias("scaled"),
                     v.isNull().cast("int").alias("missing")))
 

@@ -128,15 +128,27 @@ A_METRICS = {"model": "probability", "upstream": "upstream_event", "control_even
              "quality": "quality_event"}
 
 
-def risk_percentiles(signals: DataFrame, reference_anchor: int) -> DataFrame:
+def reference_signals(signals: DataFrame, reference_anchor: int) -> DataFrame:
+    """Long (metric, value): the signals of development entities at the reference anchor, to be kept for later refreshes."""
+    items = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in A_METRICS.items()]
+    chosen = signals.where(F.col("is_development") & (F.col("anchor_day") == reference_anchor))
+    return chosen.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
+
+
+def risk_percentiles(signals: DataFrame, reference_anchor: int, reference: DataFrame | None = None) -> DataFrame:
     """Percentile of each signal among development entities at the reference anchor, neutralised.
 
-    ``signals`` needs has_event_feed, route, is_development and the probability.
+    ``signals`` needs has_event_feed, route, is_development and the probability.  A kept ``reference`` (metric, value)
+    takes the place of the entities' own signals, so a few entities can be scored without the rest of the fleet.
     """
     items = [F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in A_METRICS.items()]
-    base = signals.withColumn("is_reference", F.col("is_development") & (F.col("anchor_day") == reference_anchor))
-    long = base.select(*KEYS, "is_reference", F.explode(F.array(*items)).alias("_x")).select(*KEYS, "is_reference", "_x.*")
-    scored = percentile_against(long, ["metric"], "value", "is_reference")
+    own = F.col("is_development") & (F.col("anchor_day") == reference_anchor) if reference is None else F.lit(False)
+    long = (signals.withColumn("is_reference", own).select(*KEYS, "is_reference", F.explode(F.array(*items)).alias("_x"))
+            .select(*KEYS, "is_reference", "_x.*"))
+    if reference is not None:
+        none = [F.lit(None).cast(signals.schema[k].dataType).alias(k) for k in KEYS]
+        long = long.unionByName(reference.select(*none, F.lit(True).alias("is_reference"), "metric", "value"))
+    scored = percentile_against(long, ["metric"], "value", "is_reference").where(F.col("gpsno").isNotNull())
     wide = scored.groupBy(*KEYS).agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(f"_{m}")
                                        for m in A_METRICS])
     joined = signals.join(wide, KEYS)
@@ -150,14 +162,9 @@ def risk_percentiles(signals: DataFrame, reference_anchor: int) -> DataFrame:
                                              for n in codes.SCORE_A_POINTS])
 
 
-def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, weights: DataFrame,
-                anchors: Sequence[int], reference_anchor: int, fallback_probability: float | DataFrame, first_day: str,
-                points: Mapping[str, float] = codes.SCORE_A_POINTS, stage: Stage | None = None) -> DataFrame:
-    """Cards of every (entity, anchor) in one job.  ``stage`` writes what several branches read.
-
-    ``entities``: gpsno, has_event_feed, is_development.  ``probability``: gpsno, anchor_day,
-    probability from any model.  A DataFrame fallback has one row with column ``prior``.
-    """
+def card_signals(daily: DataFrame, entities: DataFrame, probability: DataFrame, weights: DataFrame, anchors: Sequence[int],
+                 fallback_probability: float | DataFrame, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signals with route and probability of every (entity, anchor), and the burden of each of their codes."""
     exposure = staged(exposure_totals(daily, anchors), stage, "exposure")
     burden = staged(event_burden(code_totals(active_code_days(daily), anchors), exposure), stage, "burden")
     signals = (state_signals(burden, weights, exposure).join(entities, "gpsno").join(probability, KEYS)
@@ -169,7 +176,19 @@ def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, w
         signals = signals.withColumn("_prior", F.lit(float(fallback_probability)))
     signals = signals.withColumn("probability", F.when(F.col("route") == codes.ROUTE_PRIOR, F.col("_prior"))
                                  .otherwise(F.col("probability"))).drop("_prior")
-    risks = risk_percentiles(staged(signals, stage, "signals"), reference_anchor)
+    return staged(signals, stage, "signals"), burden
+
+
+def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, weights: DataFrame,
+                anchors: Sequence[int], reference_anchor: int, fallback_probability: float | DataFrame, first_day: str,
+                points: Mapping[str, float] = codes.SCORE_A_POINTS, stage: Stage | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """Cards of every (entity, anchor) in one job.  ``stage`` writes what several branches read.
+
+    ``entities``: gpsno, has_event_feed, is_development.  ``probability``: gpsno, anchor_day,
+    probability from any model.  A DataFrame fallback has one row with column ``prior``.  ``reference`` as in ``risk_percentiles``.
+    """
+    signals, burden = card_signals(daily, entities, probability, weights, anchors, fallback_probability, stage)
+    risks = risk_percentiles(signals, reference_anchor, reference)
     cut = deductions(list(points), points, 2, lambda n: F.col(f"risk_{n}"))
     total = sum_of(list(cut.values()))
     cards = (risks.select("*", *[c.alias(f"{n}_deduction") for n, c in cut.items()], total.alias("total_deduction"))

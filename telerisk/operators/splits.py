@@ -5,27 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telerisk.errors import ContractError
 from telerisk.functions.columns import seeded_hex
 from telerisk.operators.ordered import number_by_hash
 
 
-def bucketed_digest(df: DataFrame, key: Column, line: Column, name: str, count: str) -> DataFrame:
-    """SHA-256 of sorted lines per key bucket, then of the bucket digests, with the line count.
+#: lines of one list whose digest is taken, about
+LEAF = 16
 
-    4,096 buckets (leading hex digits of md5(key)) keep every sorted list small.
+
+def digest_depth(lines: int, leaf: int = LEAF) -> int:
+    """Hex digits of md5(key) that split so many lines into leaves of about ``leaf``."""
+    depth = 0
+    while lines > leaf * 16**depth:
+        depth += 1
+    return depth
+
+
+def digest_tree(df: DataFrame, key: Column, line: Column, name: str, count: str) -> DataFrame:
+    """SHA-256 of the sorted lines of each leaf, then of the digests of each node's children, up to the root; with the line count.
+
+    A leaf is a run of leading digits of md5(key), as many as the number of lines calls for, and an inner node has at most 16
+    children: no list grows with the data.
     """
-    bucket = F.substring(F.md5(key), 1, 3)
-    digests = (df.groupBy(bucket.alias("bucket"))
-               .agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"),
-                    F.count(F.lit(1)).alias("n")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda s: s["digest"])
-    return digests.agg(F.sha2(F.array_join(ordered, "\n"), 256).alias(name), F.sum("n").alias(count))
+    rows = df.select(F.md5(key).alias("_hex"), line.alias("_line"))
+    depth = digest_depth(rows.count())
+    node = (rows.groupBy(F.substring("_hex", 1, depth).alias("_node"))
+            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).alias("_digest"), F.count(F.lit(1)).alias("_n")))
+    for level in range(depth - 1, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("_node", "_digest"))), lambda c: c["_digest"])
+        node = node.groupBy(F.substring("_node", 1, level).alias("_node")).agg(
+            F.sha2(F.array_join(children, "\n"), 256).alias("_digest"), F.sum("_n").alias("_n"))
+    return node.agg(F.coalesce(F.max("_digest"), F.sha2(F.lit(""), 256)).alias(name), F.coalesce(F.sum("_n"), F.lit(0)).alias(count))
 
 
 def label_fingerprint(reference: DataFrame) -> DataFrame:
     """Digest of the ``id:label`` lines: any added, removed or relabelled entity changes it."""
     line = F.concat_ws(":", F.col("gpsno"), F.col("label").cast("string"))
-    return bucketed_digest(reference, F.col("gpsno"), line, "label_fingerprint", "entities")
+    return digest_tree(reference, F.col("gpsno"), line, "label_fingerprint", "entities")
+
+
+MANIFEST = "label_fingerprint string, entities long, seed int, folds int, holdout double"
+
+
+def frozen_split(reference: DataFrame, folder: str, seed: int = 2026, folds: int = 5, holdout: float = 0.2) -> DataFrame:
+    """The split kept in ``folder``: made on the first call, read on later ones, refused if anything it depends on has changed.
+
+    Labels, entities, seed, number of folds and holdout share are compared with those of the kept split.  The manifest
+    is written after the rows; a folder without one holds no split yet.
+    """
+    spark = reference.sparkSession
+    found = label_fingerprint(reference).first()
+    now = (found.label_fingerprint, found.entities, seed, folds, float(holdout))
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{folder}/manifest")
+    kept = [tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()]
+    if not kept:
+        stratified_split(reference, seed, folds, holdout).write.mode("overwrite").parquet(f"{folder}/split")
+        spark.createDataFrame([now], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    elif kept[0] != now:
+        names = [f.split()[0] for f in MANIFEST.split(", ")]
+        changed = [f"{n}: kept {a}, now {b}" for n, a, b in zip(names, kept[0], now) if a != b]
+        raise ContractError("the frozen split does not fit: " + "; ".join(changed))
+    return spark.read.schema("gpsno string, label int, part string, fold int").parquet(f"{folder}/split")
 
 
 def stratified_split(reference: DataFrame, seed: int = 2026, folds: int = 5, holdout: float = 0.2) -> DataFrame:
@@ -34,7 +75,7 @@ def stratified_split(reference: DataFrame, seed: int = 2026, folds: int = 5, hol
         raise ValueError("need at least two folds and a holdout share in (0, 0.5)")
     keyed = reference.select("gpsno", "label").withColumn("_hex", seeded_hex(seed, "gpsno"))
     sizes = keyed.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    rows = number_by_hash(keyed, ["label"], "_hex", "_no").join(F.broadcast(sizes), "label")  # one row per class
+    rows = number_by_hash(keyed, ["label"], "_hex", "_no").join(sizes, "label")
     held = F.floor(F.col("_n") * F.lit(float(holdout)) + 0.5)
     is_held = F.col("_no") <= held
     return rows.select("gpsno", "label", F.when(is_held, "holdout").otherwise("development").alias("part"),
@@ -62,7 +103,3 @@ def audit_split(reference: DataFrame, split: DataFrame, folds: int) -> DataFrame
 def rule_rows(row: DataFrame, names: list[str]) -> DataFrame:
     items = [F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(n).cast("long"), F.lit(0)).alias("violations")) for n in names]
     return row.select(F.explode(F.array(*items)).alias("_x")).select("_x.*")
-
-
-def in_fold(fold: int) -> Column:
-    return F.col("fold") == fold

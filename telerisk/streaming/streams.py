@@ -1,12 +1,12 @@
 """Structured Streaming forms of the operators.
 
-Event time is cast to ``timestamp`` (session zone UTC); watermarks bound the state, and every
-job is a one-shot ``availableNow`` run over new files with a checkpoint in the shared folder.
+Event time is cast to ``timestamp`` (session zone UTC), and every job is a one-shot ``availableNow`` run over
+new files with a checkpoint in the shared folder.  Jobs that carry state from run to run are in ``jobs``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,33 +49,6 @@ def collect_stream(stream: DataFrame, purpose: str, mode: str = "append") -> Dat
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
-def episode_sessions(events: DataFrame, ts: str = "ts", keys: Sequence[str] = ("gpsno", "event_type"), gap_s: int = 60,
-                     delay: str = "10 minutes") -> DataFrame:
-    """Episodes as session windows; a gap of exactly ``gap_s`` whole seconds stays one session."""
-    return (events.withColumn("_at", F.date_trunc("second", F.col(ts).cast("timestamp")))
-            .withWatermark("_at", delay).groupBy(*keys, F.session_window("_at", f"{gap_s} seconds").alias("session"))
-            .agg(F.count(F.lit(1)).alias("events"))
-            .select(*keys, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "events"))
-
-
-def motion_windows(samples: DataFrame, window_s: int = 10, delay: str = "1 minute", minimum: int = 3) -> DataFrame:
-    """Tumbling summaries with a minimum sample count; quantiles are approximate in the stream."""
-    at = samples.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay)
-    out = at.groupBy("gpsno", "imei", F.window("_at", f"{window_s} seconds").alias("window")).agg(
-        F.count(F.lit(1)).alias("sample_count"), F.count("accel_norm").alias("valid_accel_samples"),
-        F.count("gyro_norm").alias("valid_gyro_samples"), F.max("accel_norm").alias("accel_norm_max"),
-        F.percentile_approx("accel_norm", 0.95, 10000).alias("accel_norm_p95_approx"))
-    return (out.where((F.col("sample_count") >= minimum) & (F.col("valid_accel_samples") >= minimum)
-                      & (F.col("valid_gyro_samples") >= minimum))
-            .select("gpsno", "imei", F.col("window.start").alias("window_start"), "sample_count", "valid_accel_samples",
-                    "valid_gyro_samples", "accel_norm_max", "accel_norm_p95_approx"))
-
-
-def without_duplicates(events: DataFrame, keys: Sequence[str], ts: str = "event_ts", delay: str = "1 day") -> DataFrame:
-    return (events.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
-            .dropDuplicatesWithinWatermark(list(keys)).drop("_at"))
-
-
 def audit_batches(stream: DataFrame, ts: str, low: str, high: str, purpose: str) -> DataFrame:
     """Per micro-batch counts of rows before, inside and after the rule window."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, purpose)
@@ -91,26 +64,3 @@ def audit_batches(stream: DataFrame, ts: str, low: str, high: str, purpose: str)
 
     run_batches(stream, write, f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/data").drop("batch")
-
-
-def refresh_by_entity(stream: DataFrame, recompute: Callable[[DataFrame], DataFrame], purpose: str,
-                      key: str = "gpsno") -> DataFrame:
-    """Recompute the rows of entities touched by each micro-batch and merge them by key.
-
-    Batch n writes version n from version n-1, so a replayed batch is idempotent: untouched
-    rows are kept, touched entities replaced.
-    """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, purpose)
-    done = []
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(key).dropDuplicates()
-        fresh = recompute(touched)
-        if batch_id > 0:
-            old = spark.read.parquet(f"{folder}/v{batch_id - 1}")
-            fresh = fresh.unionByName(old.join(touched, key, "left_anti"))
-        fresh.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
-        done.append(batch_id)
-
-    run_batches(stream, merge, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/v{done[-1]}")

@@ -79,3 +79,25 @@ def test_split_is_disjoint_complete_and_tamper_evident(spark):
         require(splits.audit_split(flipped, split, 5))
     with pytest.raises(ContractError):
         require(splits.audit_split(ref, split.where("gpsno <> '8'"), 5))
+
+
+def test_poisson_of_a_cell_has_the_moments_of_its_entities(spark):
+    from telerisk.functions.columns import poisson_of, seeded_hex
+    sizes = [0, 1, 2, 3, 7, 100, 1023, 1024, 2500]
+    rows = spark.range(4000).select("id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    drawn = rows.withColumn("w", poisson_of(F.col("n"), lambda *p: seeded_hex(7, "id", *p)))
+    for r in drawn.groupBy("n").agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.min("w").alias("low")).collect():
+        assert r.low >= 0 and abs(r.m - r.n) <= 5 * (max(r.n, 1) / 4000) ** 0.5 and abs(r.v - r.n) <= 0.12 * r.n
+
+
+def test_bootstrap_rows_follow_cells_and_not_entities(spark):
+    from telerisk.operators import metrics as M
+    df = spark.range(3000).select(F.col("id").cast("string").alias("gpsno"), (F.col("id") % 2).cast("int").alias("label"),
+                                  ((F.col("id") * 7 % 5 + F.col("id") % 2) / 8).alias("probability"))
+    cells = df.select("label", "probability").distinct().count()
+    rows = M.bootstrap_cells(df, 1, 200, ["label", "probability"])
+    assert rows.count() <= cells * 200
+    total = rows.groupBy("replicate").agg(F.sum("weight").alias("w")).agg(F.avg("w"), F.stddev("w")).first()
+    assert abs(total[0] - 3000) < 20 and 40 < total[1] < 72
+    auc, box = M.ranking_metrics(df).first().roc_auc, M.auc_interval(df, seed=1, samples=200).first()
+    assert box.valid_bootstraps == 200 and box.auc_lower < auc < box.auc_upper and box.auc_upper - box.auc_lower < 0.06
