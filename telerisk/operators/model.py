@@ -52,7 +52,8 @@ class HazardModel:
         params = fit_std_scaler(landmarks, columns).collect()  # one row per feature
         rows = landmarks.count()
         bounds = {r["feature"]: (r["low"], r["high"], r["median"]) for r in params}
-        flagged = [r["feature"] for r in params if r["observed"] < rows]
+        seen = {r["feature"]: r["observed"] for r in params}
+        flagged = [c for c in columns if seen[c] < rows]
         base = cls._base(landmarks, columns, bounds, flagged, KEYS)
         names = [n for n in base.columns if n not in KEYS]
         stages = [VectorAssembler(inputCols=names, outputCol="_raw"),
@@ -76,7 +77,7 @@ class HazardModel:
     def parameters(self, spark) -> DataFrame:
         """One row per feature with all that its term of the logit takes, as ``feature_term`` reads it."""
         scaler, weights = self.scaler.stages[-1], self.classifier.coefficients
-        rows = {n: (float(m), 1.0 / s if s > 0 else 0.0, float(w)) for n, m, s, w in zip(self.names(), scaler.mean, scaler.std, weights)}
+        rows = {n: (float(m), 1.0 / float(s) if s > 0 else 0.0, float(w)) for n, m, s, w in zip(self.names(), scaler.mean, scaler.std, weights)}
         out = [(c, *map(float, self.bounds[c]), *rows[f"x_{c}"], *rows.get(f"m_{c}", (0.0, 0.0, 0.0))) for c in self.columns]
         return spark.createDataFrame(out, ", ".join(f"{n} {'string' if n == 'feature' else 'double'}" for n in PARAMETERS))
 

@@ -240,9 +240,10 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
             .select(*keys, "is_development", "_x.*"))
     scored = percentile_against(long, ["anchor_day", "event_code", "metric"], "value", "is_development",
                                 mid_rank=True, where=F.col("value") > 0)
-    part = F.sum(sum_of([F.when(F.col("metric") == m, F.lit(float(mix[m])) * F.col("percentile")).otherwise(0.0)
-                         for m in ranked]))
-    return (scored.groupBy(*keys).agg(part.alias("_ranked")).join(rows.select(*keys, "recency"), keys)
+    # one row for each metric; added up in a fixed order, so that the last digits do not depend on the order of rows
+    wide = scored.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(f"_{m}") for m in ranked])
+    part = sum_of([F.lit(float(mix[m])) * F.col(f"_{m}") for m in ranked])
+    return (wide.select(*keys, part.alias("_ranked")).join(rows.select(*keys, "recency"), keys)
             .select(*keys, (F.col("_ranked") + F.lit(float(mix["recency"])) * F.col("recency")).alias("event_value")))
 
 
@@ -269,8 +270,8 @@ def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], w
     scored = percentile_against(staged(long, stage, "trend"), ["anchor_day", "metric"], "value", "is_development", mid_rank=True,
                                 where=F.col("value") > 0)
     share = {"recent": 0.50, "increase": 0.30, "streak": 0.20}
-    return scored.groupBy(*KEYS).agg(F.sum(sum_of([
-        F.when(F.col("metric") == m, F.lit(w) * F.col("percentile")).otherwise(0.0) for m, w in share.items()])).alias("trend"))
+    wide = scored.groupBy(*KEYS).agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(f"_{m}") for m in share])
+    return wide.select(*KEYS, sum_of([F.lit(w) * F.col(f"_{m}") for m, w in share.items()]).alias("trend"))
 
 
 def scorecard_b(daily: DataFrame, entities: DataFrame, importance: DataFrame, anchors: Sequence[int],

@@ -101,3 +101,25 @@ def test_bootstrap_rows_follow_cells_and_not_entities(spark):
     assert abs(total[0] - 3000) < 20 and 40 < total[1] < 72
     auc, box = M.ranking_metrics(df).first().roc_auc, M.auc_interval(df, seed=1, samples=200).first()
     assert box.valid_bootstraps == 200 and box.auc_lower < auc < box.auc_upper and box.auc_upper - box.auc_lower < 0.06
+
+
+def test_digest_tree_follows_the_data_and_sees_changes(spark):
+    ref = lambda n, flip=None: spark.range(n).select(F.col("id").cast("string").alias("gpsno"), F.when(F.col("id") == flip, 5).otherwise(F.col("id") % 2).cast("int").alias("label"))
+    prints = {n: splits.label_fingerprint(ref(n)).first() for n in (0, 1, 16, 17, 300, 5000)}
+    assert [p.entities for p in prints.values()] == [0, 1, 16, 17, 300, 5000] and len({p.label_fingerprint for p in prints.values()}) == 6
+    assert [splits.digest_depth(n) for n in (0, 16, 17, 256, 257, 5000)] == [0, 0, 1, 1, 2, 3]
+    for n in (17, 5000):
+        assert splits.label_fingerprint(ref(n).repartition(7)).first() == prints[n]
+        assert splits.label_fingerprint(ref(n, flip=3)).first().label_fingerprint != prints[n].label_fingerprint
+
+
+def test_frozen_split_is_refused_on_any_change(spark, tmp_path):
+    ref = spark.range(200).select(F.col("id").cast("string").alias("gpsno"), (F.col("id") % 2).cast("int").alias("label"))
+    folder = f"file://{tmp_path}/split"
+    first = rows(splits.frozen_split(ref, folder), "gpsno")
+    assert rows(splits.frozen_split(ref.repartition(5), folder), "gpsno") == first and len(first) == 200
+    for changed, args in ((ref.where("gpsno <> '7'"), {}), (ref.withColumn("label", F.when(F.col("gpsno") == "7", 0).otherwise(F.col("label"))), {}),
+                          (ref, {"seed": 1}), (ref, {"folds": 4}), (ref, {"holdout": 0.25})):
+        with pytest.raises(ContractError):
+            splits.frozen_split(changed, folder, **args)
+    assert rows(splits.frozen_split(ref, folder), "gpsno") == first
