@@ -2,7 +2,7 @@
 
 Everything is DataFrame expressions.  A pattern's matches are marked in the text and split off, and running
 lengths give their code-point spans.  Weak parts (account names, endpoints, token-like strings) are interval-joined
-inside their scope: lines are scopes, and over a document's spans in order, running extremes give each part the
+inside their scope: blocks up to a blank line are scopes, and over a document's spans in order, running extremes give each part the
 nearest identifier, secret and endpoint before and after it, so no pair of parts is ever listed.
 """
 
@@ -21,8 +21,10 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ACCOUNT = r"""(?:(?i:username|user|login|account|client_?id))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]{3,}"""
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"""
-OPAQUE = r"(?:[A-Za-z]+[0-9]|[0-9]+[A-Za-z])[A-Za-z0-9/+_-]{18,}"
-LINE = "\n"
+# whole runs, of which those with a letter and a digit count; a run is read once, however long it is
+OPAQUE = r"[A-Za-z0-9/+_-]{20,}"
+MIXED = ("[0-9]", "[A-Za-z]")
+BLANK = r"\n[\x20\x09\x0D]*\n"
 #: kinds in the order in which spans with one start are listed
 KINDS = ("assign", "access", "hex", "account", "endpoint", "opaque")
 BASE, WEAK = KINDS[:3], KINDS[3:]
@@ -32,8 +34,9 @@ REACH = 200
 _OPEN, _CLOSE, _CHUNK = "\x01", "\x02", 256
 
 
-def spans(text: Column, pattern: str, least: int = 0) -> Column:
-    """Array of (start, end) of the matches, in code points; of those whose first group has ``least`` characters.
+def spans(text: Column, pattern: str, least: int = 0, holds: tuple[str, ...] = ()) -> Column:
+    """Array of (start, end) of the matches, in code points; of those whose first group has ``least`` characters
+    and that hold a match of each of ``holds``.
 
     ``text`` must hold neither marker.  Running sums are taken in chunks of matches, so the work stays
     near the number of matches.
@@ -54,6 +57,8 @@ def spans(text: Column, pattern: str, least: int = 0) -> Column:
                 marked = F.contains(piece, F.lit(_CLOSE))
                 end = s["at"] + F.length(hit)
                 good = marked & (F.length(F.regexp_extract(hit, pattern, 1)) >= least) if least else marked
+                for part in holds:
+                    good &= F.rlike(hit, F.lit(part))
                 one = F.array(F.struct(s["at"].cast("int").alias("start"), end.cast("int").alias("end")))
                 return F.struct((s["at"] + F.length(piece) - F.when(marked, 1).otherwise(0)).alias("at"),
                                 F.when(good, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
@@ -78,17 +83,17 @@ def tagged(column: str, kind: str) -> Column:
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Weak parts of ``parts(doc, copy, start, kind, end)`` that have their complements in the same line.
+    """Weak parts of ``parts(doc, copy, start, kind, end)`` that have their complements in the same block.
 
-    Lines come as rows of kind -1.  An account needs a secret, an opaque string an identifier or an endpoint,
+    Blank lines come as rows of kind -1.  An account needs a secret, an opaque string an identifier or an endpoint,
     an endpoint both an identifier and a secret; each at most ``reach`` code points away.
     """
     number = {k: i for i, k in enumerate(KINDS)}
     of = lambda names: F.col("kind").isin([number[k] for k in names])
-    line = Window.partitionBy("doc", "copy").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, 0)
-    scope = Window.partitionBy("doc", "copy", "line").orderBy("start", "kind", "end")
+    block = Window.partitionBy("doc", "copy").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, 0)
+    scope = Window.partitionBy("doc", "copy", "block").orderBy("start", "kind", "end")
     earlier, later = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
-    rows = parts.withColumn("line", F.sum(F.when(F.col("kind") < 0, 1).otherwise(0)).over(line)).where("kind >= 0")
+    rows = parts.withColumn("block", F.sum(F.when(F.col("kind") < 0, 1).otherwise(0)).over(block)).where("kind >= 0")
     # an opaque string that meets another part is that part
     other = ~of(["opaque"])
     met = (F.max(F.when(other, F.col("end"))).over(earlier) > F.col("start")) | (F.min(F.when(other, F.col("start"))).over(later) < F.col("end"))
@@ -117,14 +122,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     found = keyed(docs, id_col, text_col).select("doc", "copy", text.alias("text")).select(
         "doc", "copy", "text", spans(F.col("text"), ASSIGN, 8).alias("assign"), spans(F.col("text"), ACCESS).alias("access"),
         spans(F.col("text"), HEX).alias("hex"), spans(F.col("text"), ACCOUNT).alias("account"),
-        spans(F.col("text"), ENDPOINT).alias("endpoint"), spans(F.col("text"), OPAQUE).alias("opaque"))
+        spans(F.col("text"), ENDPOINT).alias("endpoint"), spans(F.col("text"), OPAQUE, holds=MIXED).alias("opaque"))
     base = F.concat(*[tagged(k, k) for k in BASE])
     weak = F.concat(*[tagged(k, k) for k in WEAK])
     several = (F.size("account") + F.size("endpoint") + F.size("opaque") > 0) & (F.size(base) + F.size(weak) > 1)
-    lines = F.transform(spans(F.col("text"), LINE), lambda s: F.struct(
+    blanks = F.transform(spans(F.col("text"), BLANK), lambda s: F.struct(
         s["start"].alias("start"), F.lit(-1).alias("kind"), s["end"].alias("end")))
     found = materialise(found.select("doc", "copy", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], base.alias("base"),
-                                     F.when(several, F.concat(base, weak, lines)).otherwise(empty).alias("all")), "spans")
+                                     F.when(several, F.concat(base, weak, blanks)).otherwise(empty).alias("all")), "spans")
     parts = found.where(F.size("all") > 0).select("doc", "copy", F.explode("all").alias("p")).select("doc", "copy", "p.*")
     more = linked(parts, reach).groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     every = F.array_sort(F.concat("base", F.coalesce("more", empty)))
@@ -138,7 +143,10 @@ TAKEN = ("assign", "access", "hex", "opaque")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with each run of secret spans in the text replaced by ``mark``; all rows and columns stay."""
+    """``docs`` with each run of secret spans in the text replaced by ``mark``; all rows and columns stay.
+
+    Null texts stay null; rows repeated or with a null id are redacted like any other; an empty table stays empty.
+    """
     shared = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
     # rows that share an id are told apart by a hash of id and text
     key = F.xxhash64(id_col, text_col) if shared else F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))

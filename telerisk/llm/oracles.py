@@ -45,15 +45,15 @@ _kinds = {k: C.KINDS.index(k) for k in C.KINDS}
 _in = lambda names: "kind IN (" + ", ".join(str(_kinds[n]) for n in names) + ")"
 _near = lambda names: (f"(COALESCE(start - MAX(CASE WHEN {_in(names)} THEN finish END) OVER before <= {C.REACH}, FALSE) "
                        f"OR COALESCE(MIN(CASE WHEN {_in(names)} THEN start END) OVER after - finish <= {C.REACH}, FALSE))")
-_frames = """WINDOW before AS (PARTITION BY doc_id, line ORDER BY start, kind, finish ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-  after AS (PARTITION BY doc_id, line ORDER BY start, kind, finish ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
+_frames = """WINDOW before AS (PARTITION BY doc_id, block ORDER BY start, kind, finish ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  after AS (PARTITION BY doc_id, block ORDER BY start, kind, finish ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"""
 _list = ("STRING_AGG(['" + "', '".join(C.KINDS) + "'][kind + 1] || ':' || CAST(start AS VARCHAR) || ':' || CAST(finish AS VARCHAR), ',' ORDER BY start, kind)")
 
 OP10 = f"""WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
 base AS ({_spans(0, C.ASSIGN, f"AND length(regexp_extract(hit, {_text(C.ASSIGN)}, 1)) >= 8")} UNION ALL {_spans(1, C.ACCESS)} UNION ALL {_spans(2, C.HEX)}),
-weak AS ({_spans(3, C.ACCOUNT)} UNION ALL {_spans(4, C.ENDPOINT)} UNION ALL {_spans(5, C.OPAQUE)}),
-parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak UNION ALL SELECT * FROM ({_spans(-1, C.LINE)}) l WHERE doc_id IN (SELECT doc_id FROM weak)),
-placed AS (SELECT * FROM (SELECT *, SUM(CASE WHEN kind < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, kind, finish) AS line FROM parts) p WHERE kind >= 0),
+weak AS ({_spans(3, C.ACCOUNT)} UNION ALL {_spans(4, C.ENDPOINT)} UNION ALL {_spans(5, C.OPAQUE, ' '.join(f'AND regexp_matches(hit, {_text(x)})' for x in C.MIXED))}),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak UNION ALL SELECT * FROM ({_spans(-1, C.BLANK)}) l WHERE doc_id IN (SELECT doc_id FROM weak)),
+placed AS (SELECT * FROM (SELECT *, SUM(CASE WHEN kind < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, kind, finish) AS block FROM parts) p WHERE kind >= 0),
 free AS (SELECT * FROM (SELECT *, COALESCE(MAX(CASE WHEN kind <> 5 THEN finish END) OVER before > start, FALSE)
   OR COALESCE(MIN(CASE WHEN kind <> 5 THEN start END) OVER after < finish, FALSE) AS met FROM placed {_frames}) f WHERE kind <> 5 OR NOT met),
 judged AS (SELECT *, {_near(C.IDENTIFIERS)} AS i, {_near(C.SECRETS)} AS s, {_near(C.ENDPOINTS)} AS e FROM free {_frames}),
