@@ -239,9 +239,9 @@ def frequent_keys(texts: DataFrame, found: Callable[[Words], tuple[np.ndarray, n
                 if size > HELD:
                     held = [added(held)]
                     size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from packed(*held.pop())
-                    held, size = [], 0
+                    if size > HELD // 2:
+                        yield from packed(*held.pop())
+                        size = 0
         if size:
             yield from packed(*added(held))
 

@@ -55,6 +55,19 @@ def test_equals_brute_force(spark, monkeypatch, seed, least, top):
     assert sorted(got) == sorted(brute(docs, least, top)) and len(got) > 8
 
 
+def test_keys_held_in_several_lists_are_all_handed_on(spark, monkeypatch):
+    docs = [("en", " ".join(f"{w}{i} {w}{i} x{w}{i}" for i in range(20)) + ".") for w in "abcdefgh" for _ in range(10)]
+    monkeypatch.setattr(C, "HELD", 400)
+    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "1")  # a slice for each text
+    try:
+        got = [tuple(r) for r in C.collocations(df).collect()]
+    finally:
+        spark.conf.unset(size)
+    assert sorted(got) == sorted(brute(docs)) and len(got) > 100
+
+
 def test_large_counts_stay_exact(spark):
     docs = spark.createDataFrame([("en", "p q " * 80000)] * 40, "lang string, text string")
     got = {r.phrase: r for r in C.collocations(docs).collect()}
