@@ -103,6 +103,23 @@ def test_bootstrap_rows_follow_cells_and_not_entities(spark):
     assert box.valid_bootstraps == 200 and box.auc_lower < auc < box.auc_upper and box.auc_upper - box.auc_lower < 0.06
 
 
+def test_bootstrap_of_the_auc_draws_every_entity(spark):
+    import hashlib
+
+    import numpy as np
+    people = [(str(i), i % 2, (i // 2 % 3 + i % 2) / 4) for i in range(60)]  # many entities in each cell
+    values = []
+    for b in range(50):
+        heads = {g: int(hashlib.md5(f"7:{b}:{g}".encode()).hexdigest()[:8], 16) / 2**32 for g, _, _ in people}
+        draw = lambda u: next(k for k in range(20) if u < sum(np.exp(-1) / np.prod(np.arange(1, j + 1)) for j in range(k + 1)))
+        w = {g: draw(u) for g, u in heads.items()}
+        pairs = [(w[g] * w[h], (p > q) + (p == q) / 2) for g, y, p in people if y for h, z, q in people if not z]
+        values.append(sum(n * s for n, s in pairs) / sum(n for n, _ in pairs))
+    got = M.auc_interval(spark.createDataFrame(people, "gpsno string, label int, probability double"), seed=7, samples=50).first()
+    assert got.valid_bootstraps == 50
+    assert [got.auc_lower, got.auc_upper] == pytest.approx(np.quantile(values, [0.025, 0.975]).tolist(), abs=1e-9)
+
+
 def test_digest_tree_follows_the_data_and_sees_changes(spark):
     ref = lambda n, flip=None: spark.range(n).select(F.col("id").cast("string").alias("gpsno"), F.when(F.col("id") == flip, 5).otherwise(F.col("id") % 2).cast("int").alias("label"))
     prints = {n: splits.label_fingerprint(ref(n)).first() for n in (0, 1, 16, 17, 300, 5000)}
