@@ -16,6 +16,7 @@ from telerisk import codes
 from telerisk.functions.columns import counted_sql, is_finite, ratio, sum_of, zero
 from telerisk.operators.daily import unpivot_codes
 from telerisk.operators.labels import group_active
+from telerisk.session import large
 
 def by_day() -> WindowSpec:
     return Window.partitionBy("gpsno").orderBy("day_index")
@@ -117,7 +118,7 @@ def without_code(daily: DataFrame, landmarks: DataFrame, anchors: Sequence[int],
     km = F.col("exposure_km_per_day") * F.col("anchor_day")
     known = landmarks.select("gpsno", "anchor_day", km.alias("_km"), values.alias("_values"))
     sums = code_totals(active_code_days(daily, wanted), anchors)
-    rows = sums.join(known, ["gpsno", "anchor_day"]).join(F.broadcast(table), "event_code")  # a fixed table of a few hundred rows
+    rows = sums.join(large(known), ["gpsno", "anchor_day"]).join(F.broadcast(table), "event_code")  # a fixed table of a few hundred rows
     take = lambda span: F.when(F.col("measure") == "count", F.col(f"count_{span}")).otherwise(F.col(f"episode_{span}"))
     value, form = F.element_at("_values", F.col("feature")), F.col("form")
     less = (F.when(form == "per_day", take("total") / F.col("anchor_day")).when(form == "per_100km", 100 * take("total") / F.col("_km"))
