@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from telerisk import codes
 from telerisk.functions.columns import seeded_hex
+from telerisk.session import large
 
 MASKED_FIELDS = ("log_count", "log_episodes", "log_rate_100km", "log_rate_hour", "occurred")
 
@@ -85,7 +86,7 @@ def mask_events(nodes: DataFrame, spans: DataFrame, hidden: DataFrame) -> DataFr
     """Zero the derived count, rate and occurrence fields; exposure flags stay."""
     by_day = _covered(nodes, spans, ["gpsno"]).withColumnRenamed("_hit", "_day")
     by_code = hidden.withColumn("_code", F.lit(True))
-    joined = nodes.join(by_day, ["gpsno", "day_index"], "left").join(by_code, ["gpsno", "event_code"], "left")
+    joined = nodes.join(large(by_day), ["gpsno", "day_index"], "left").join(large(by_code), ["gpsno", "event_code"], "left")
     masked = F.coalesce("_day", F.lit(False)) | F.coalesce("_code", F.lit(False))
     kept = [F.when(masked, F.lit(0).cast(nodes.schema[c].dataType)).otherwise(F.col(c)).alias(c)
             if c in MASKED_FIELDS else F.col(c) for c in nodes.columns]
@@ -112,7 +113,7 @@ def mask_states(nodes: DataFrame, blocks: DataFrame, states: Mapping[str, Sequen
 def hide_nodes(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """Event nodes with the derived fields under a hit at zero, and the flag ``masked``."""
     events = hits.where(F.col("event_code").isNotNull()).select("gpsno", "day_index", "event_code", F.lit(True).alias("_hit"))
-    joined = nodes.join(events, ["gpsno", "day_index", "event_code"], "left")
+    joined = nodes.join(large(events), ["gpsno", "day_index", "event_code"], "left")
     masked = F.coalesce("_hit", F.lit(False))
     kept = [F.when(masked, F.lit(0).cast(nodes.schema[c].dataType)).otherwise(F.col(c)).alias(c)
             if c in MASKED_FIELDS else F.col(c) for c in nodes.columns]
@@ -123,7 +124,7 @@ def hide_context(long: DataFrame, hits: DataFrame) -> DataFrame:
     """Context values (gpsno, day_index, channel, value) at zero under a hit, and the flag ``masked``."""
     channels = hits.where(F.col("channel").isNotNull()).select("gpsno", "day_index", "channel", F.lit(True).alias("_hit"))
     masked = F.coalesce("_hit", F.lit(False))
-    return long.join(channels, ["gpsno", "day_index", "channel"], "left").select(
+    return long.join(large(channels), ["gpsno", "day_index", "channel"], "left").select(
         "gpsno", "day_index", "channel", F.when(masked, 0.0).otherwise(F.col("value")).alias("value"), masked.cast("int").alias("masked"))
 
 
