@@ -13,6 +13,7 @@ from telerisk.errors import ContractError
 from telerisk.functions.columns import is_finite
 from telerisk.operators.labels import count_after_anchor
 from telerisk.operators.splits import rule_rows
+from telerisk.session import large
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -184,8 +185,8 @@ def score_contract(cards: DataFrame, history: DataFrame, weights: DataFrame, fle
         "deductions_do_not_reconcile": F.abs(score - (100 - F.col("total_deduction"))) <= 1e-8,
         "unknown_grade": F.col("grade").isin("A", "B", "C", "D", "E", "U"), "low_confidence_iff_unrated": low == unrated,
         "null_value": reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cards.columns])})
-    missing = profile.join(cards, "gpsno", "left_anti").agg(F.count(F.lit(1)).alias("missing_vehicle"))
-    extra = cards.join(profile, "gpsno", "left_anti").agg(F.count(F.lit(1)).alias("unknown_vehicle"))
+    missing = profile.join(large(cards), "gpsno", "left_anti").agg(F.count(F.lit(1)).alias("missing_vehicle"))
+    extra = cards.join(large(profile), "gpsno", "left_anti").agg(F.count(F.lit(1)).alias("unknown_vehicle"))
     per = history.groupBy("gpsno").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("anchor_day").alias("anchors"))
     incomplete = per.agg(F.count_if((F.col("rows") != len(anchors)) | (F.col("anchors") != len(anchors))).alias("incomplete_history"))
     outside = history.agg(F.count_if(~F.col("anchor_day").isin(*anchors)).alias("history_anchor_outside"))

@@ -13,6 +13,7 @@ from telerisk.functions.columns import clip, sum_of
 from telerisk.operators.labels import group_active
 from telerisk.operators.landmarks import (by_day, active_code_days, code_totals, exposure_totals, longest_streak)
 from telerisk.operators.ordered import Stage, metric_quantiles, percentile_against, rank_by_value, staged
+from telerisk.session import large
 
 KEYS = ["gpsno", "anchor_day"]
 
@@ -46,7 +47,7 @@ def event_burden(totals: DataFrame, exposure: DataFrame, recent_days: int = 14)
     trend = F.least(F.greatest(recent - past, F.lit(0.0)) / (past + 0.10), F.lit(5.0))
     burden = (F.log1p(1000 * n / (F.col("km") + 100)) + 0.40 * F.log1p(100 * n / (F.col("hours") + 1))
               + 0.80 * F.col("active_days") / t + 0.25 * F.log1p(trend))
-    return (totals.where(n > 0).join(exposure.select(*KEYS, "km", "hours"), KEYS)
+    return (totals.where(n > 0).join(large(exposure.select(*KEYS, "km", "hours")), KEYS)
             .select(*KEYS, "event_code", burden.alias("burden")))
 
 
@@ -57,7 +58,7 @@ def state_signals(burden: DataFrame, weights: DataFrame, exposure: DataFrame,
     sums = weighted.groupBy(*KEYS).agg(*[
         F.sum(F.when(F.col("state") == s, F.col("burden") * F.col("weight")).otherwise(0.0)).alias(f"{s}_event")
         for s in states])
-    return exposure.join(sums, KEYS, "left").select(
+    return exposure.join(large(sums), KEYS, "left").select(
         *KEYS, *[F.coalesce(f"{s}_event", F.lit(0.0)).alias(f"{s}_event") for s in states],
         "control_imu", "trajectory_coverage", "imu_coverage")
 
@@ -151,7 +152,7 @@ def risk_percentiles(signals: DataFrame, reference_anchor: int, reference: DataF
     scored = percentile_against(long, ["metric"], "value", "is_reference").where(F.col("gpsno").isNotNull())
     wide = scored.groupBy(*KEYS).agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(f"_{m}")
                                        for m in A_METRICS])
-    joined = signals.join(wide, KEYS)
+    joined = signals.join(large(wide), KEYS)
     feed, prior = F.col("has_event_feed"), F.col("route") == codes.ROUTE_PRIOR
     control = F.when(feed, 0.75 * F.col("_control_event") + 0.25 * F.col("_control_imu")).otherwise(
         0.75 * 0.50 + 0.25 * F.col("_control_imu"))
@@ -167,7 +168,7 @@ def card_signals(daily: DataFrame, entities: DataFrame, probability: DataFrame,
     """Signals with route and probability of every (entity, anchor), and the burden of each of their codes."""
     exposure = staged(exposure_totals(daily, anchors), stage, "exposure")
     burden = staged(event_burden(code_totals(active_code_days(daily), anchors), exposure), stage, "burden")
-    signals = (state_signals(burden, weights, exposure).join(entities, "gpsno").join(probability, KEYS)
+    signals = (state_signals(burden, weights, exposure).join(large(entities), "gpsno").join(large(probability), KEYS)
                .withColumn("route", route(F.col("has_event_feed"))))
     if isinstance(fallback_probability, DataFrame):
         fallback = fallback_probability.select(F.lit(codes.ROUTE_PRIOR).alias("route"), F.col("prior").alias("_prior"))
@@ -205,7 +206,7 @@ def scorecard_a(daily: DataFrame, entities: DataFrame, probability: DataFrame, w
     weighted = burden.join(F.broadcast(scored), "event_code").withColumn("value", F.col("burden") * F.col("weight"))
     names = join_names(top_codes(weighted, "value"),
                        F.concat(F.col("event_code").cast("string"), code_name(F.col("event_code"))))
-    return (cards.join(names, KEYS, "left")
+    return (cards.join(large(names), KEYS, "left")
             .withColumn("top_risk_events", F.coalesce("top_risk_events", F.lit(codes.NO_EVENTS_A))))
 
 
@@ -225,8 +226,8 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
     Zero is no risk, so inactive codes score 0 and stay out of the reference.
     """
     t, n = F.col("anchor_day"), F.col("count_total")
-    rows = (totals.where(n > 0).join(exposure.select(*KEYS, "km", "hours"), KEYS)
-            .join(reference.select("gpsno", "is_development"), "gpsno")
+    rows = (totals.where(n > 0).join(large(exposure.select(*KEYS, "km", "hours")), KEYS)
+            .join(large(reference.select("gpsno", "is_development")), "gpsno")
             .select(*KEYS, "event_code", "is_development",
                     F.log1p(1000 * n / (F.col("km") + 100)).alias("rate_km"),
                     F.log1p(100 * n / (F.col("hours") + 1)).alias("rate_hour"),
@@ -243,7 +244,7 @@ def event_values(totals: DataFrame, exposure: DataFrame, reference: DataFrame,
     # one row for each metric; added up in a fixed order, so that the last digits do not depend on the order of rows
     wide = scored.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(f"_{m}") for m in ranked])
     part = sum_of([F.lit(float(mix[m])) * F.col(f"_{m}") for m in ranked])
-    return (wide.select(*keys, part.alias("_ranked")).join(rows.select(*keys, "recency"), keys)
+    return (wide.select(*keys, part.alias("_ranked")).join(large(rows.select(*keys, "recency")), keys)
             .select(*keys, (F.col("_ranked") + F.lit(float(mix["recency"])) * F.col("recency")).alias("event_value")))
 
 
@@ -265,7 +266,7 @@ def trend_risk(daily: DataFrame, reference: DataFrame, anchors: Sequence[int], w
     previous = F.when(a > n, (F.col("_sum") - F.col("_recent")) / (a - n)).otherwise(0.0)
     parts = {"recent": recent, "increase": F.greatest(recent - previous, F.lit(0.0)), "streak": F.col("streak").cast("double")}
     items = [F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in parts.items()]
-    long = (at.join(reference.select("gpsno", "is_development"), "gpsno")
+    long = (at.join(large(reference.select("gpsno", "is_development")), "gpsno")
             .select(*KEYS, "is_development", F.explode(F.array(*items)).alias("_x")).select(*KEYS, "is_development", "_x.*"))
     scored = percentile_against(staged(long, stage, "trend"), ["anchor_day", "metric"], "value", "is_development", mid_rank=True,
                                 where=F.col("value") > 0)
@@ -287,10 +288,10 @@ def scorecard_b(daily: DataFrame, entities: DataFrame, importance: DataFrame, an
     sums = weighted.groupBy(*KEYS).agg(*[
         F.sum(F.when(F.col("dimension") == d, F.col("weight") * F.col("event_value")).otherwise(0.0)).alias(f"_{d}")
         for d in codes.DIMENSIONS])
-    motion = percentile_against(exposure.select(*KEYS, "control_imu").join(entities.select("gpsno", "is_development"), "gpsno"),
+    motion = percentile_against(exposure.select(*KEYS, "control_imu").join(large(entities.select("gpsno", "is_development")), "gpsno"),
                                 ["anchor_day"], "control_imu", "is_development", out="_imu", mid_rank=True)
-    base = (exposure.join(entities, "gpsno").join(sums, KEYS, "left").join(motion.select(*KEYS, "_imu"), KEYS)
-            .join(trend_risk(daily, entities, anchors, wanted, stage), KEYS))
+    base = (exposure.join(large(entities), "gpsno").join(large(sums), KEYS, "left").join(large(motion.select(*KEYS, "_imu")), KEYS)
+            .join(large(trend_risk(daily, entities, anchors, wanted, stage)), KEYS))
     risk = {d: F.coalesce(F.col(f"_{d}"), F.lit(0.0)) for d in codes.DIMENSIONS}
     risk["control"] = F.lit(control_share[0]) * risk["control"] + F.lit(control_share[1]) * F.col("_imu")
     risk["trend"] = F.col("trend")
@@ -320,7 +321,7 @@ def scorecard_b(daily: DataFrame, entities: DataFrame, importance: DataFrame, an
     contributions = weighted.withColumn("value", worth * factor * F.col("weight") * F.col("event_value"))
     text = F.format_string("%s%s(%.2f分)", F.col("event_code").cast("string"), code_name(F.col("event_code")), F.col("value"))
     names = join_names(top_codes(contributions, "value"), text)
-    return (cards.join(names, KEYS, "left")
+    return (cards.join(large(names), KEYS, "left")
             .withColumn("top_risk_events", F.coalesce("top_risk_events", F.lit(codes.NO_EVENTS_B))))
 
 

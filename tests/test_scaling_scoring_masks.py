@@ -135,3 +135,23 @@ def test_segment_probabilities_are_monotone(spark):
     df = spark.createDataFrame([("a", i, 0.1 * i) for i in range(1, 6)], "k string, segment int, hazard double")
     p = [r["probability"] for r in rows(model.cumulative_segments(df, ["k"]), "segment")]
     assert p == sorted(p) and p[1] == pytest.approx(1 - 0.9 * 0.8)
+
+
+def _sides_of_broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "gpsno" in line]
+
+
+def test_tables_of_entities_are_never_broadcast(spark):
+    """Exploded rows and maps seem small before they are counted; as broadcasts they would fill the driver."""
+    people = spark.range(40).select(F.col("id").cast("string").alias("gpsno"))
+    long = people.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("day_index"))).select(
+        "*", F.lit("distance_km").alias("channel"), F.lit(1.0).alias("value"))
+    hidden = masks.mask_context(long, masks.context_spans(people, 7, ["distance_km", "drive_hours"], 30, fraction=0.5))
+    assert _sides_of_broadcasts(hidden) == [] and 0 < hidden.where("masked = 1").count() < hidden.count() == 1200
+    signals = spark.range(1).select(F.explode(F.array(*[F.lit(str(i)) for i in range(40)])).alias("gpsno")).select(
+        "gpsno", F.lit(30).alias("anchor_day"), F.lit(0.5).alias("control_imu"), F.lit(1.0).alias("trajectory_coverage"), F.lit(1.0).alias("imu_coverage"))
+    burden = signals.select("gpsno", "anchor_day", F.lit(11804).alias("event_code"), F.lit(1.0).alias("burden"))
+    weights = scoring.shrink_weights(spark.createDataFrame([(11804, 1.0)], "event_code int, mean_abs_probability_delta double"), codes.STATES)
+    states = scoring.state_signals(burden, weights, signals)
+    assert _sides_of_broadcasts(states) == [] and states.count() == 40
