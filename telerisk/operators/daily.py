@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telerisk import codes
 from telerisk.functions.columns import counted_sql, is_finite
+from telerisk.session import large
 
 TRAJECTORY_FIELDS = (
     "trajectory_rows", "moving_rows", "distance_valid_rows", "distance_invalid_rows",
@@ -42,8 +43,8 @@ def entity_coverage(clean_events: DataFrame | None = None, trajectory: DataFrame
 def coverage(profile: DataFrame, clean_events: DataFrame, trajectory: DataFrame, imu: DataFrame) -> DataFrame:
     """Profile with the coverage of every source; entities without a source keep NULL days."""
     ev, tr, im = entity_coverage(clean_events, trajectory, imu)
-    return (profile.select("gpsno", "energy_type").join(ev, "gpsno", "left").join(tr, "gpsno", "left")
-            .join(im, "gpsno", "left")
+    return (profile.select("gpsno", "energy_type").join(large(ev), "gpsno", "left").join(large(tr), "gpsno", "left")
+            .join(large(im), "gpsno", "left")
             .select("gpsno", "energy_type",
                     F.col("event_first_day").isNotNull().alias("has_event_feed"),
                     F.col("trajectory_first_day").isNotNull().alias("has_trajectory"),
@@ -74,9 +75,9 @@ def assemble(cover: DataFrame, events: DataFrame, trajectory: DataFrame, imu: Da
                     first_day, last_day)
     grid = grid.select("gpsno", "day", "energy_type", seen_by("event_first_day").alias("has_event_feed"),
                        seen_by("trajectory_first_day").alias("has_trajectory"), seen_by("imu_first_day").alias("has_imu"))
-    wide = (grid.join(events.withColumn("_e", F.lit(True)), ["gpsno", "day"], "left")
-            .join(trajectory.withColumn("_t", F.lit(True)), ["gpsno", "day"], "left")
-            .join(imu.withColumn("_i", F.lit(True)), ["gpsno", "day"], "left"))
+    wide = (grid.join(large(events.withColumn("_e", F.lit(True))), ["gpsno", "day"], "left")
+            .join(large(trajectory.withColumn("_t", F.lit(True))), ["gpsno", "day"], "left")
+            .join(large(imu.withColumn("_i", F.lit(True))), ["gpsno", "day"], "left"))
     feed = F.col("has_event_feed")
     counts = ["event_total_count", "event_total_episodes", "event_other_count"]
     counts += [f"event_{c}_{kind}" for c in wanted for kind in ("count", "episodes")]

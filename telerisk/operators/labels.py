@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telerisk.functions.columns import counted, counted_sql, zero
+from telerisk.session import large
 
 
 def day_array(days: Sequence[str]) -> Column:
@@ -36,11 +37,11 @@ def label_index(cover: DataFrame, targets: DataFrame, anchors: Sequence[str], fi
                 first_day: str, horizon: int = 40, lookback: int = 20) -> DataFrame:
     """One row per (entity, anchor) with windows, label and label status."""
     counts = count_after_anchor(targets, anchors, horizon)
-    grid = (anchor_grid(cover, anchors).join(counts, ["gpsno", "anchor_date"], "left")
+    grid = (anchor_grid(cover, anchors).join(large(counts), ["gpsno", "anchor_date"], "left")
             .withColumn("accident_events", F.coalesce("accident_events", F.lit(0))))
     anchor, hits, feed = F.col("anchor_date"), F.col("accident_events"), F.col("has_event_feed")
     unknown = anchor == F.lit(final_anchor).cast("date")
-    return (grid.join(cover.select("gpsno", "has_event_feed", "has_trajectory", "has_imu"), "gpsno")
+    return (grid.join(large(cover.select("gpsno", "has_event_feed", "has_trajectory", "has_imu")), "gpsno")
             .select("gpsno", "anchor_date",
                     F.greatest(F.lit(first_day).cast("date"), F.date_sub(anchor, lookback - 1)).alias("input_start"),
                     anchor.alias("input_end"), F.date_add(anchor, horizon).alias("future_end"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telerisk.functions.columns import is_finite
+from telerisk.session import large
 
 
 def bag_days(bags: DataFrame, daily: DataFrame, features: Sequence[str], first_day: str, lookback: int = 20) -> DataFrame:
@@ -22,7 +23,7 @@ def bag_days(bags: DataFrame, daily: DataFrame, features: Sequence[str], first_d
     values = [F.when(is_finite(F.col(f).cast("double")), F.col(f).cast("double")) for f in features]
     wide = daily.select("gpsno", "day", F.array(*values).alias("values"))
     blank = F.array_repeat(F.lit(None).cast("double"), len(features))
-    joined = days.join(wide, ["gpsno", "day"], "left").withColumn(
+    joined = days.join(large(wide), ["gpsno", "day"], "left").withColumn(
         "values", F.when(F.col("day_mask") == 1, F.coalesce("values", blank)).otherwise(blank))
     item = F.struct("offset", "day_mask", "values")
     packed = joined.groupBy("gpsno", "anchor_date").agg(F.sort_array(F.collect_list(item)).alias("_d"))
