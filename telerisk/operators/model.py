@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -176,9 +178,13 @@ def positive_probability(scored: DataFrame, keep: Sequence[str], out: str = "pro
 
 
 def out_of_fold(rows: DataFrame, folds: int, fit_predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fit on the other folds, predict the held one, union all predictions."""
-    parts = [fit_predict(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
-             for k in range(folds)]
+    """Fit on the other folds, predict the held one, union all predictions.
+
+    The folds' jobs run side by side: a fit takes thousands of short passes, which one after another leave cores idle.
+    """
+    one = lambda k: fit_predict(rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
+    with ThreadPoolExecutor(folds) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(folds)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
