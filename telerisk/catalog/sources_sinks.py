@@ -9,6 +9,7 @@ from telerisk.catalog import sqlviews as Q
 from telerisk.catalog import views as V
 from telerisk.catalog.registry import query
 from telerisk.catalog.sqlmetrics import auc_sql, binary_sql
+from telerisk.functions.columns import is_finite
 from telerisk.operators import labels as L
 from telerisk.operators import metrics as M
 from telerisk.operators import quality
@@ -158,8 +159,8 @@ def s12(spark, sf):
     daily = V.daily(spark, sf).drop("day_index")
     features = files.numeric_features(daily)
     family = F.create_map(*[F.lit(x) for k, v in files.feature_families(features).items() for f in v for x in (f, k)])
-    return (long_features(daily, [], features).groupBy("feature").agg(F.count("value").alias("observed"))
-            .select("feature", family[F.col("feature")].alias("family"), "observed"))
+    finite = daily.agg(*[F.count_if(is_finite(F.col(f).cast("double"))).alias(f) for f in features])  # the one row of counts is unpivoted
+    return long_features(finite, [], features).select("feature", family[F.col("feature")].alias("family"), F.col("value").cast("long").alias("observed"))
 
 
 @query("s13_read_predictions", Q.shape("SELECT gpsno, label, probability FROM predictions WHERE anchor_day = 20",
