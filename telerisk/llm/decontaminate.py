@@ -2,7 +2,7 @@
 
 Documents are cut into passages of 32 words, one every 16 words, and weighted by TF-IDF; document frequencies
 cover all passages of the corpus.  A randomised SVD gives the latent space: subspace iterations with the Gram
-matrix of a bounded sample of passages and of all benchmark passages, whose products Spark sums.  Passages with
+matrix of all passages of the corpus and of the benchmark, which Spark sums once over the documents.  Passages with
 enough of the benchmark's answer words near them (which a confirmation needs) are folded in and compared with every
 benchmark passage in that space.  What lies outside the space adds at most the product of both parts' norms, so pairs
 that could reach the threshold, and only those, get their exact inner product too.  The cosine counts the words of the
@@ -28,10 +28,8 @@ from telerisk.session import materialise
 HOP, BINS, EXTRA, ITERATIONS = 16, 1 << 18, 16, 2
 #: dimensions of the latent space, as a share of the benchmark passages
 RANK_SHARE = 0.7
-#: energy of the benchmark passages in the fit, as a multiple of the sample's
+#: energy of the benchmark passages in the fit, as a multiple of the documents'
 BOOST = 25.0
-#: documents whose passages help to shape the latent space, at most, and the bytes of the longest one taken
-SAMPLE_DOCS, SAMPLE_BYTES = 1000, 65536
 #: benchmark texts and their passages searched for in one pass, about; more go in further passes
 ITEMS, PASSAGES = 400, 1000
 COSINE, COMMON = 0.5, 0.6
@@ -40,6 +38,8 @@ ANSWER_WORDS, ANSWER = 5, 0.4
 #: passages compared at once, and what float sums may lack
 STEP, SLACK = 256, 1e-3
 _COLUMNS = 512
+#: sums that a task holds, columns of a part of them, and pairs of words taken at once
+_CELLS, _ROWS, _PAIRS = 1 << 25, 16, 1 << 18
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,62 +137,119 @@ def gram(columns: list[np.ndarray], weights: list[np.ndarray], by: np.ndarray) -
     return out
 
 
-def passages(block: Block, index_column: np.ndarray, idf: np.ndarray) -> tuple[list, list]:
-    """Columns and weights of each passage of a block, benchmark words only."""
+def pair_sums(block: Block, column: np.ndarray, idf: np.ndarray, sums: np.ndarray, first: int) -> int:
+    """Adds the pairs of words that share a passage to ``sums``, and returns the number of passages.
+
+    ``sums`` holds the columns from ``first`` on against all columns: for each pair of places, the earlier column's row gets
+    1 / norm^2 of every passage with both.  A place and itself count half, so ``sums`` and its transpose add up to the whole.
+    """
     _, _, rows, hashes = word_hashes(block)
     hop, hop_rows = hops(rows)
+    if not len(hop):
+        return 0
     bins = (hashes % np.uint64(BINS)).astype(np.int64)
-    column = index_column[bins]
-    bounds = np.searchsorted(hop, np.arange(len(hop_rows) + 1))
-    cols, weights = [], []
-    for h in range(len(hop_rows)):
-        if h and hop_rows[h - 1] == hop_rows[h] and (h + 1 == len(hop_rows) or hop_rows[h + 1] != hop_rows[h]):
-            continue  # the last hop belongs to the passage before
-        last = h + 1 if h + 1 < len(hop_rows) and hop_rows[h + 1] == hop_rows[h] else h
-        at = np.arange(bounds[h], bounds[last + 1])
-        at = at[column[at] >= 0]
-        cols.append(column[at])
-        w = idf[bins[at]]
-        weights.append(w / max(1e-9, float(np.linalg.norm(idf[bins[bounds[h]:bounds[last + 1]]]))))
-    return cols, weights
-
-
-def latent_basis(docs: DataFrame, id_col: str, text_col: str, column: np.ndarray, idf: np.ndarray, own: tuple[list, list]) -> np.ndarray:
-    """Orthonormal columns x rank basis by randomised subspace iteration."""
+    pair = np.append(hop_rows[1:] == hop_rows[:-1], False)
+    begins = pair | np.append(True, hop_rows[1:] != hop_rows[:-1])  # the last hop belongs to the passage before
+    energy = np.bincount(hop, weights=idf[bins].astype(np.float64) ** 2, minlength=len(hop_rows))
+    energy += np.where(pair, np.append(energy[1:], 0), 0)
+    apart = np.where(begins, 1 / np.maximum(1e-18, energy), 0).astype(np.float32)
+    near = apart + np.append(np.float32(0), np.where(pair, apart, 0)[:-1])
+    col = column[bins]
+    hop, col = hop[col >= 0], col[col >= 0]
+    edge = np.searchsorted(hop, np.arange(len(hop_rows) + 1))
+    own, last = edge[hop + 1], edge[hop + 1 + pair[hop]]
+    near, apart, count = near[hop], apart[hop], last - np.arange(len(hop))
+    flat, n = sums.reshape(-1), sums.shape[1]
+    reach = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(hop):
+        hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] + _PAIRS, side="right")) - 1)
+        one = np.repeat(np.arange(lo, hi), count[lo:hi])
+        two = np.arange(reach[hi] - reach[lo]) - (reach[one] - reach[lo]) + one
+        value = np.where(two < own[one], near[one], apart[one])
+        value[one == two] /= 2
+        i, j = col[one], col[two]
+        key = (np.minimum(i, j) - first) * n + np.maximum(i, j)
+        if sums.shape[0] < n:
+            inside = (key >= 0) & (key < len(flat))
+            key, value = key[inside], value[inside]
+        np.add.at(flat, key, value)
+        lo = hi
+    return int(begins.sum())
+
+
+def moments(docs: DataFrame, text_col: str, column: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """Sum of the outer products of all passages (benchmark words only): ``part`` is its first column, ``sums`` _ROWS rows.
+
+    Each pair of columns is held once; this table and its transpose add up to the whole.  Rows with part -1 count the passages.
+    A task adds up at most _CELLS sums at once (further columns take further passes), and there are no more than a few tasks
+    for each core, so what is shuffled does not grow with the documents.
+    """
+    spark = docs.sparkSession
+    n = int(column.max()) + 1
+    weight = idf[np.flatnonzero(column >= 0)].astype(np.float32)
+    shared = spark.sparkContext.broadcast((column, idf, weight))
+    texts = docs.select(F.col(text_col).alias("text")).coalesce(2 * spark.sparkContext.defaultParallelism)
+    stripe = max(_ROWS, _CELLS // n // _ROWS * _ROWS)
+    kind = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+
+    def sweep(lo: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            column, idf, weight = shared.value
+            sums, count = np.zeros((min(stripe, n - lo), n), np.float32), 0
+            for batch in batches:
+                for block in blocks(batch.column(0)):
+                    count += pair_sums(block, column, idf, sums, lo)
+            if count:
+                for a in range(0, len(sums), _ROWS):
+                    part = sums[a:a + _ROWS] * weight[lo + a:lo + a + _ROWS, None] * weight
+                    yield pa.record_batch([pa.array([lo + a], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=kind)
+                if lo == 0:
+                    yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([np.float32([count]).tobytes()], pa.binary())], schema=kind)
+
+        return texts.mapInArrow(run, "part int, sums binary")
+
+    out = sweep(0)
+    for lo in range(stripe, n, stripe):
+        out = out.union(sweep(lo))
+    return out.groupBy("part").applyInArrow(_add, "part int, sums binary")
+
+
+def _add(key: tuple, group: pa.Table) -> pa.Table:
+    """The sum of a group's float arrays."""
+    total = None
+    for x in group.column("sums"):
+        part = np.frombuffer(x.as_buffer(), np.float32)
+        total = part.astype(np.float64) if total is None else np.add(total, part, out=total)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def latent_basis(docs: DataFrame, text_col: str, column: np.ndarray, idf: np.ndarray, own: tuple[list, list]) -> np.ndarray:
+    """Orthonormal columns x rank basis by randomised subspace iteration over the passages of all documents."""
     spark = docs.sparkSession
     n = int(column.max()) + 1
     keep = min(n, max(16, int(RANK_SHARE * len(own[0]))))
     rank = min(keep + EXTRA, n)
-    ids = docs.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(
-        F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "_id").select("text")  # SAMPLE_DOCS ids
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                cols, weights = passages(block, column, idf)
-                yield pa.record_batch([pa.array(cols, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["cols", "weights"])
-
-    table = materialise(sample.mapInArrow(cut, "cols array<int>, weights array<float>"), "passages")
-    count = table.count()
+    table = materialise(moments(docs, text_col, column, idf), "moments")
+    count = sum(float(np.frombuffer(r.sums, np.float32)[0]) for r in table.where("part = -1").collect())
+    table = table.where("part >= 0")
     boost = np.float32(np.sqrt(BOOST * max(1.0, count / max(1, len(own[0])))))
 
     def product(by: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(by.astype(np.float32))  # columns x rank, bounded by PASSAGES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(shared.value)
+            by = shared.value
+            total = np.zeros_like(by)
             for batch in batches:
-                cols, weights = (batch.column(k) for k in (0, 1))
-                total += gram([np.array(c.values, np.int64) for c in cols], [np.array(w.values, np.float32) for w in weights], shared.value)
+                for lo, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    half = np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, len(by))
+                    total[lo:lo + len(half)] += half @ by
+                    total += half.T @ by[lo:lo + len(half)]
             at = range(0, len(total), _COLUMNS)
             yield pa.record_batch([pa.array(list(range(len(at))), pa.int32()), pa.array([total[a:a + _COLUMNS].tobytes() for a in at])], ["part", "sums"])
 
-        def add(key: tuple, group: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x.as_py(), np.float32) for x in group.column("sums")], axis=0, dtype=np.float32)
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()])})
-
-        parts = table.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
+        parts = table.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
         total = gram(own[0], [w * boost for w in own[1]], by.astype(np.float32))
         for part in parts:
             total[part.part * _COLUMNS:(part.part + 1) * _COLUMNS] += np.frombuffer(part.sums, np.float32).reshape(-1, by.shape[1])
@@ -228,7 +285,7 @@ def build(docs: DataFrame, items: list[tuple], idf: np.ndarray, id_col: str, tex
                 weights.append(idf[part] / np.linalg.norm(idf[part]))
                 query_item.append(i)
                 passage_words.append(w[a:a + 2 * HOP])
-    basis = latent_basis(docs, id_col, text_col, column, idf, (cols, weights))
+    basis = latent_basis(docs, text_col, column, idf, (cols, weights))
     query = np.stack([(w[:, None] * basis[c]).sum(axis=0) for c, w in zip(cols, weights)])
     answers, passage_answers = ([w[np.argsort(-idf[(w % np.uint64(BINS)).astype(np.int64)], kind="stable")][:ANSWER_WORDS] for w in each]
                                 for each in (words, passage_words))
