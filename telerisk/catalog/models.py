@@ -295,7 +295,7 @@ _sum = " + ".join(f"CAST(CAST({f} AS FLOAT) AS DOUBLE)" for f in ("log_count", "
     FROM nodes GROUP BY gpsno""", ["total"], ["features"], NODE_CTES))
 def d3_sequences(spark, sf):
     """Nested [day][code][feature] arrays per entity, summarised by shape and total."""
-    seq = tensors.node_sequences(D.event_node_features(V.day_table(spark, sf)))
+    seq = tensors.node_sequences(D.event_node_features(V.day_table(spark, sf), packed=True))
     flat = F.flatten(F.flatten("events"))
     return seq.select("gpsno", F.size("events").alias("days"), F.size(F.col("events")[0]).alias("codes"), F.size(F.col("events")[0][0]).alias("features"),
                       F.aggregate(flat, F.lit(0.0), lambda a, b: a + b).alias("total"))

@@ -41,11 +41,20 @@ def one_hot(category: Column, categories: Sequence[str]) -> list[Column]:
 
 
 def node_sequences(nodes: DataFrame) -> DataFrame:
-    """Per entity: days x codes x features nested arrays (a calendar of fixed length)."""
+    """Per entity: days x codes x features nested arrays (a calendar of fixed length).
+
+    ``nodes`` has a row for each (entity, day, code), or is ``packed`` to one for each entity-day, which is shuffled once.
+    """
     fields = ["log_count", "log_episodes", "log_rate_100km", "log_rate_hour",
               "occurred", "km_observed", "hours_observed", "night_share"]
-    vector = F.array(*[F.col(c).cast("float") for c in fields])
-    day = nodes.groupBy("gpsno", "day_index").agg(F.sort_array(F.collect_list(F.struct("event_code", vector.alias("v")))).alias("_c"))
+    vector = lambda x: F.array(*[(F.col(c) if x is None else x[c]).cast("float") for c in fields])
+    if "nodes" in nodes.columns:
+        item = F.transform("nodes", lambda x: F.struct(x["event_code"].alias("event_code"), vector(x).alias("v")))
+        # dealt by entity alone, so both groupings below need no further shuffle; an entity-day that repeats comes together
+        day = (nodes.select("gpsno", "day_index", item.alias("_c")).repartition("gpsno").groupBy("gpsno", "day_index")
+               .agg(F.sort_array(F.flatten(F.collect_list("_c"))).alias("_c")))
+    else:
+        day = nodes.groupBy("gpsno", "day_index").agg(F.sort_array(F.collect_list(F.struct("event_code", vector(None).alias("v")))).alias("_c"))
     day = day.select("gpsno", "day_index", F.transform("_c", lambda s: s["v"]).alias("codes"))
     return (day.groupBy("gpsno").agg(F.sort_array(F.collect_list(F.struct("day_index", "codes"))).alias("_d"))
             .select("gpsno", F.transform("_d", lambda s: s["codes"]).alias("events")))
