@@ -15,6 +15,9 @@ from telerisk.operators.labels import count_after_anchor
 from telerisk.operators.splits import rule_rows
 from telerisk.session import large
 
+#: rows that one task groups by their key
+KEYS_OF_TASK = 1 << 20
+
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -32,6 +35,21 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def dealt_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of all rows, in parts of about KEYS_OF_TASK rows, equal keys together."""
+    rows = df.select(*keys)
+    return rows.repartition(max(1, -(-rows.count() // KEYS_OF_TASK)), *keys)
+
+
+def has_duplicates(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Does a key occur twice?  (Null is a key like any other.)
+
+    Rows are dealt by key before they are grouped: otherwise the task that reads a file of entities would hold every
+    (entity, day) that its rows explode to.
+    """
+    return not duplicate_keys(dealt_by_key(df, keys), keys).isEmpty()
+
+
 def unique_key(df: DataFrame, keys: Sequence[str], rule: str = "duplicate_key") -> DataFrame:
     return duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
