@@ -29,9 +29,9 @@ from telerisk.operators.ranges import numbered
 from telerisk.session import materialise, shared_folder
 
 #: bytes of text looked at in one step, hashes held by a task before they are handed on, hashes of one reducer, and strings held
-SLICE, HELD, SHARD, STRINGS = 1 << 20, 1 << 21, 1 << 21, 1 << 18
+SLICE, HELD, SHARD, STRINGS = 1 << 20, 1 << 19, 1 << 20, 1 << 17
 #: phrases of one trie, tries of one pass over the texts, and bits of a filter (log2)
-PHRASES, TRIES, FILTER = 1 << 17, 8, 25
+PHRASES, TRIES, FILTER = 1 << 17, 3, 25
 #: tags of texts are below this; cells of owners (log2); counts in one vector, and vectors summed by one task
 ANYONE, CELLS, VECTOR, VECTORS = 254, 24, 1 << 12, 256
 

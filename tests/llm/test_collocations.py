@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,3 +116,19 @@ def test_trie_counts_every_sequence(seed, n, alphabet):
                 want[tuple(text[i:i + k].tolist())] += 1
     got = trie.count(text, linked)
     assert got.tolist() == [want[tuple(x for x in row if x)] for row in pick.tolist()]
+
+
+def test_what_a_task_holds_is_bounded():
+    """op12's memory: the hashes that a task holds, with the copies of their merge, and the tries of a pass stay small."""
+    rng = np.random.default_rng(5)
+    words = np.unique((rng.zipf(1.3, (C.PHRASES, 3)) % 50000 + 1).astype(np.uint64), axis=0)
+    trie = T.build(words, np.arange(len(words)))
+    size = sum(x.nbytes for x in (trie.symbols, trie.codes, trie.base, trie.check, trie.accept)) * C.PHRASES / len(words)
+    assert C.TRIES * size < 40e6
+    keys = rng.integers(0, 1 << 63, C.HELD).astype(np.uint64)
+    tracemalloc.start()
+    try:
+        C.added([(keys, np.ones(len(keys), np.int64), np.zeros(len(keys), np.uint8))])
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
