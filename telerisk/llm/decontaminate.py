@@ -115,12 +115,22 @@ class Index:
         whole = np.array([np.sum(np.bincount(np.unique(c, return_inverse=True)[1], weights=w) ** 2) for c, w in zip(*self.query_words)])
         return np.sqrt(np.maximum(whole - np.sum(self.query.astype(np.float64) ** 2, axis=1), 0)).astype(np.float32)
 
+    @cached_property
+    def answer_words(self) -> np.ndarray:
+        """Sorted hashes of all words that an answer check asks for; each has a column."""
+        return np.array(sorted({w for a in (*self.answers, *self.passage_answers) for w in a}), np.uint64)
+
     @cached_property
     def norm(self) -> np.ndarray:
         """Norm of each benchmark passage."""
         return np.array([np.linalg.norm(self.weight[c]) for c in self.query_words[0]], np.float32)
 
 
+def members(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which ``values`` are in ``known`` (sorted, not empty), without sorting them."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def gram(columns: list[np.ndarray], weights: list[np.ndarray], by: np.ndarray) -> np.ndarray:
     """A' (A by) for sparse rows A."""
     out = np.zeros_like(by)
@@ -320,7 +330,9 @@ def search(block: Block, index: Index, cosine: float, least: float) -> list[list
     pair = np.append(hop_rows[1:] == hop_rows[:-1], False)
     lone = ~pair & np.append(True, hop_rows[1:] != hop_rows[:-1])
     # a word is asked for by how many answers; few passages have enough of them near
-    asked = np.concatenate([[0], np.cumsum(np.isin(hashes, np.array(sorted({w for a in (*index.answers, *index.passage_answers) for w in a}), np.uint64)))])
+    answer = np.zeros(len(hashes), bool)
+    answer[known] = members(hashes[known], index.answer_words)
+    asked = np.concatenate([[0], np.cumsum(answer)])
     need, passage_need = (np.array([int(np.ceil(ANSWER * len(a))) for a in each]) for each in (index.answers, index.passage_answers))
     length = np.array([len(w) for w in index.item_words])
     edge = np.searchsorted(rows, np.arange(block.rows + 1))
@@ -341,7 +353,10 @@ def search(block: Block, index: Index, cosine: float, least: float) -> list[list
         owner, column = cell // columns, cell % columns
         latent = np.zeros((len(at), index.basis.shape[1]), np.float32)
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        latent[owner[first]] = np.add.reduceat(index.basis[column] * times[:, None].astype(np.float32), first, axis=0)
+        parts = index.basis[column]
+        again = np.flatnonzero(times > 1)
+        parts[again] *= times[again, None].astype(np.float32)
+        latent[owner[first]] = np.add.reduceat(parts, first, axis=0)
         inner = latent @ index.query.T
         rest = np.bincount(owner, weights=(times * index.weight[column]) ** 2, minlength=len(at)) - np.sum(latent.astype(np.float64) ** 2, axis=1)
         wanted = cosine * cosine * index.norm

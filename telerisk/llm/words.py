@@ -85,10 +85,13 @@ class Block:
 
     def cores(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the words without punctuation around them; words of nothing else stay as they are."""
-        solid = np.flatnonzero(~PUNCTUATION[self.data])
+        bare = ~PUNCTUATION[self.data]
+        solid = np.flatnonzero(bare)
         if not len(solid) or not len(starts):
             return starts, ends
-        left, right = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+        before = np.zeros(len(bare) + 1, np.int64)  # counted once, so that no word is looked up by bisection
+        np.cumsum(bare, out=before[1:])
+        left, right = before[starts], before[ends] - 1
         bare = left <= right
         return (np.where(bare, solid[np.minimum(left, len(solid) - 1)], starts),
                 np.where(bare, solid[np.maximum(right, 0)] + 1, ends))

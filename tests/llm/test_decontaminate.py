@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from telerisk.llm import decontaminate as D
-from telerisk.llm.words import blocks
+from telerisk.llm.words import PUNCTUATION, blocks
 
 
 def test_common_subsequence():
@@ -223,3 +223,21 @@ def test_latent_space_is_fitted_to_all_documents(spark, monkeypatch):
                 got[r.part:r.part + len(rows)] += rows
         assert count == passages
         np.testing.assert_allclose(got + got.T, want, rtol=1e-3, atol=1e-3 * want.max())
+
+
+def test_answer_words_are_looked_up_without_sorting_the_text(monkeypatch):
+    """op2's CPU: members of a sorted list, and words without punctuation, are the same as by their definitions."""
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 60, 20).astype(np.uint64))
+    for values in (rng.integers(0, 80, 500).astype(np.uint64), np.zeros(0, np.uint64)):
+        assert (D.members(values, known) == np.isin(values, known)).all()
+    texts = ["".join(rng.choice(list("aB9 .,-é\n"), 40)) for _ in range(60)] + ["", None, "...", "a", "(a)"]
+    for block in blocks(pa.array(texts, pa.large_string())):
+        starts, ends, _ = block.words()
+        with monkeypatch.context() as m:
+            m.setattr(np, "searchsorted", None)  # no word is looked up by bisection
+            first, last = block.cores(starts, ends)
+        for s, e, a, b in zip(starts, ends, first, last):
+            word = block.data[s:e].tobytes()
+            bare = word.strip(bytes(np.flatnonzero(PUNCTUATION).tolist()))
+            assert block.data[a:b].tobytes() == (bare or word)
