@@ -365,8 +365,9 @@ def search(block: Block, index: Index, cosine: float, least: float) -> list[list
         begin = np.searchsorted(owner, np.arange(len(at) + 1))
         cells = np.diff(begin)[one]
         which = np.repeat(np.arange(len(one)), cells)
-        place = np.repeat(begin[one], cells) + np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-        exact = np.bincount(which, weights=index.exact[column[place], query[which]] * times[place], minlength=len(one))
+        place = np.repeat(begin[one] - np.cumsum(cells) + cells, cells) + np.arange(len(which))
+        spot = (column * len(index.query))[place] + np.repeat(query, cells)
+        exact = np.bincount(which, weights=index.exact.reshape(-1).take(spot) * times[place], minlength=len(one))
         product = np.maximum(exact, inner[one, query])
         good = (product >= wanted[query] * (1 - SLACK)) & (product > 0)
         hit, query = one[good], query[good]
