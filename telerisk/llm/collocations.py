@@ -2,38 +2,40 @@
 
 Words are counted first.  Level by level, positions whose shorter phrases may all be frequent add to the count of
 their phrase's hash; hashes that reach the least count form a filter of fixed size, which lets through every frequent
-phrase and few others.  The phrases that pass it are the candidates.  They are dealt to blocks of a bounded number of
-phrases, each block becomes a double-array trie that is broadcast, NumPy walks all positions of the texts through it
-at once, and the counts of the accepting states are summed over all tasks.  Hashes and filters only choose
-candidates: every count that is returned comes from a trie or from the words' own strings.
+phrase and few others.  The phrases that pass it are the candidates.  They are dealt to blocks by their hashes, and one
+pass over the texts deals the word keys of all occurrences to the same blocks, equal ones of a task as one entry with a
+count.  Each block becomes a double-array trie in the task that counts it, and NumPy walks the block's entries through
+it at once.  So texts are read the same number of times however many phrases there are.  Hashes and filters only choose
+candidates and blocks: every count that is returned comes from a trie or from the words' own strings.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telerisk.llm.trie import Trie, build
 from telerisk.llm.words import LOWER, Roller, column_bytes, mix
 from telerisk.operators.ranges import numbered
-from telerisk.session import materialise, shared_folder
+from telerisk.session import materialise
 
 #: bytes of text looked at in one step, hashes held by a task before they are handed on, hashes of one reducer, and strings held
 SLICE, HELD, SHARD, STRINGS = 1 << 20, 1 << 19, 1 << 20, 1 << 17
-#: phrases of one trie, tries of one pass over the texts, and bits of a filter (log2)
+#: phrases of one trie at most, tries counted by one task, and bits of a filter (log2)
 PHRASES, TRIES, FILTER = 1 << 17, 3, 25
-#: tags of texts are below this; cells of owners (log2); counts in one vector, and vectors summed by one task
-ANYONE, CELLS, VECTOR, VECTORS = 254, 24, 1 << 12, 256
+#: tags of texts are below this; cells of owners (log2); entries of one walk, and lists of entries merged before it
+ANYONE, CELLS, VECTOR, VECTORS = 254, 24, 1 << 16, 256
 
 BLANK, BREAK = np.zeros(256, bool), np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
@@ -262,26 +264,26 @@ def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
     return (keys[first], np.add.reduceat(n, first), np.minimum.reduceat(tags, first)) if len(first) else (keys, n, tags)
 
 
-def candidates(texts: DataFrame, words: DataFrame, seed: int, total: int, least: int, longest: int) -> DataFrame:
-    """``lang``, ``phrase`` and ``size`` of phrases of 2 to ``longest`` words, among them all that occur ``least`` times."""
-    context, filters = texts.sparkSession.sparkContext, [Filter.of(words.where(F.col("n") >= least).select("key"))]
-    shared = context.broadcast(filters)
-
-    def levels(words: Words, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and keys of the phrases of 1, 2, ... words that the filters let through, level by level, then the next ones."""
-        at, key = np.arange(len(words.key)), words.key
-        for known in filters:
-            passed = known(key)
-            at, key = at[passed], key[passed]
-            yield at, key
-            # the phrase of one word more: it and the one that starts a word later share all but their ends
-            linked = words.linked[at]
-            here, after = np.flatnonzero(linked), np.searchsorted(at, at[linked] + 1)
-            there = (after < len(at)) & (at[np.minimum(after, len(at) - 1)] == at[here] + 1) if len(at) else np.zeros(0, bool)
-            here, after = here[there], after[there]
-            at, key = at[here], pair_keys(key[here], key[after])
+def levels(words: Words, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and keys of the phrases of 1, 2, ... words that the filters let through, level by level, then the next ones."""
+    at, key = np.arange(len(words.key)), words.key
+    for known in filters:
+        passed = known(key)
+        at, key = at[passed], key[passed]
         yield at, key
+        # the phrase of one word more: it and the one that starts a word later share all but their ends
+        linked = words.linked[at]
+        here, after = np.flatnonzero(linked), np.searchsorted(at, at[linked] + 1)
+        there = (after < len(at)) & (at[np.minimum(after, len(at) - 1)] == at[here] + 1) if len(at) else np.zeros(0, bool)
+        here, after = here[there], after[there]
+        at, key = at[here], pair_keys(key[here], key[after])
+    yield at, key
 
+
+def candidates(texts: DataFrame, words: DataFrame, seed: int, total: int, least: int, longest: int) -> tuple[DataFrame, Broadcast]:
+    """``lang``, ``phrase``, ``size`` and ``key`` of phrases of 2 to ``longest`` words, among them all that occur ``least`` times; and the filters of all sizes."""
+    context, filters = texts.sparkSession.sparkContext, [Filter.of(words.where(F.col("n") >= least).select("key"))]
+    shared = context.broadcast(filters)
     owners = []
     for _ in range(2, longest + 1):
         keys = materialise(frequent_keys(texts, lambda w, shared=shared: list(levels(w, shared.value))[-1], seed, total, least), "keys")
@@ -293,8 +295,8 @@ def candidates(texts: DataFrame, words: DataFrame, seed: int, total: int, least:
         roller, held = Roller(seed), [Strings(size) for size in range(2, longest + 1)]
 
         def taken(strings, data, langs):
-            lang, phrase, n, _ = strings.take(data, langs)
-            return pa.record_batch([lang, phrase, pa.array(np.full(len(n), strings.size, np.int32))], ["lang", "phrase", "size"])
+            lang, phrase, n, key = strings.take(data, langs)
+            return pa.record_batch([lang, phrase, pa.array(np.full(len(n), strings.size, np.int32)), pa.array(key.view(np.int64))], ["lang", "phrase", "size", "key"])
 
         for batch in batches:
             for data, langs, words in scan(batch, roller):
@@ -307,66 +309,90 @@ def candidates(texts: DataFrame, words: DataFrame, seed: int, total: int, least:
                 if strings.parts:
                     yield taken(strings, data, langs)
 
-    return texts.mapInArrow(run, "lang string, phrase string, size int").distinct()
+    return texts.mapInArrow(run, "lang string, phrase string, size int, key long").distinct(), shared
 
 
-def tries(numbered: DataFrame, seed: int, longest: int) -> DataFrame:
-    """``block`` and ``trie`` (its bytes) of candidates with ``block``, ``number``, ``lang`` and ``phrase``."""
-    def run(group: pa.Table) -> pa.Table:
-        roller, langs = Roller(seed), group.column("lang").combine_chunks().dictionary_encode()
-        codes = np.array([language_key(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
-        words = Words(*(lambda d, o: (d, o, int(o[0]), int(o[-1])))(*column_bytes(group.column("phrase").combine_chunks())), codes, roller)
-        place = np.arange(len(words.row)) - np.searchsorted(words.row, words.row)
-        keys = np.zeros((len(group), longest), np.uint64)
-        keys[words.row, place] = words.key
-        trie = build(keys, group.column("number").to_numpy())
-        return pa.table({"block": group.column("block").slice(0, 1), "trie": pa.array([pickle.dumps(trie, protocol=5)], pa.binary())})
+def entries(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Several lists of (key, count, word keys) as one, counts added; entries of one key are only merged if their words are the same."""
+    keys, n, words = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, n, words = keys[order], n[order], words[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (words[1:] != words[:-1]).any(axis=1)
+    first = np.flatnonzero(new)
+    return (keys[first], np.add.reduceat(n, first), words[first]) if len(first) else (keys, n, words)
 
-    return numbered.groupBy("block").applyInArrow(run, "block long, trie binary")
 
-
-def count_phrases(texts: DataFrame, built: DataFrame, blocks: Sequence[int], seed: int, least: int) -> DataFrame:
-    """``block``, ``number`` and ``a`` (occurrences, ``least`` or more) of the phrases of a few tries, in one pass over the texts."""
-    context, shared = texts.sparkSession.sparkContext, {}
-    for block in blocks:  # one after the other, so that the driver holds one trie at a time
-        found = built.where(F.col("block") == block).select("trie").toArrow().column("trie")
-        if len(found) != 1:
-            raise RuntimeError(f"block {block} of the candidates has {len(found)} tries")
-        shared[block] = context.broadcast(pickle.loads(found[0].as_py()))
+def occurrences(texts: DataFrame, shared: Broadcast, seed: int, blocks: int, longest: int) -> DataFrame:
+    """``team``, ``block``, and lists of ``words`` (their keys, 0 fills short phrases) and ``n`` of all phrases that the filters let through."""
+    def packed(keys: np.ndarray, n: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+        block = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)  # as ``block_of``
+        which, first = np.unique(block, return_index=True)
+        cuts = [*first.tolist(), len(keys)]
+        return pa.record_batch([pa.array((which // np.uint64(TRIES)).astype(np.int64)), pa.array(which.astype(np.int64)),
+                                *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in (words, n))],
+                               ["team", "block", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, loaded = Roller(seed), {block: trie.value for block, trie in shared.items()}
-        total = {block: np.zeros(trie.sequences, np.int64) for block, trie in loaded.items()}
+        roller, held, size = Roller(seed), [], 0
         for batch in batches:
             for _, _, words in scan(batch, roller):
-                for block, trie in loaded.items():
-                    total[block] += trie.count(words.key, words.linked)
-        for block, n in total.items():
-            parts = [(p, n[p * VECTOR:(p + 1) * VECTOR]) for p in range(-(-len(n) // VECTOR))]
-            parts = [(p, x.tobytes()) for p, x in parts if x.any()]
-            yield pa.record_batch([pa.array(np.full(len(parts), x)) for x in (block, TaskContext.get().partitionId() // VECTORS)]
-                                  + [pa.array([p for p, _ in parts], pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["block", "team", "part", "n"])
-
-    def summed(group: pa.Table) -> np.ndarray:
-        out = np.frombuffer(group.column("n")[0].as_py(), np.int64).copy()
-        for x in group.column("n")[1:]:
-            out += np.frombuffer(x.as_py(), np.int64)
-        return out
-
-    def first(group: pa.Table) -> pa.Table:
-        one = group.slice(0, 1)
-        return pa.table({"block": one.column("block"), "part": one.column("part"), "n": pa.array([summed(group).tobytes()], pa.binary())})
-
-    def last(group: pa.Table) -> pa.Table:
-        n = summed(group)
-        at = np.flatnonzero(n >= least)
-        return pa.table({"block": pa.array(np.full(len(at), group.column("block")[0].as_py())),
-                         "number": pa.array(at + VECTOR * group.column("part")[0].as_py()), "a": pa.array(n[at])})
-
-    # the vectors of VECTORS tasks are added first, so that no task gets those of all
-    shards = texts.mapInArrow(run, "block long, team long, part long, n binary")
-    teams = shards.groupBy("block", "part", "team").applyInArrow(first, "block long, part long, n binary")
-    return teams.groupBy("block", "part").applyInArrow(last, "block long, number long, a long")
+                for k, (at, keys) in enumerate(itertools.islice(levels(words, shared.value), 1, longest), 2):
+                    spelled = np.zeros((len(at), longest), np.uint64)
+                    for j in range(k):
+                        spelled[:, j] = words.key[at + j]
+                    held.append(entries([(keys, np.ones(len(keys), np.int64), spelled)]))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    held = [entries(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield packed(*held.pop())
+                        size = 0
+        if size:
+            yield packed(*entries(held))
+
+    return texts.mapInArrow(run, "team long, block long, words binary, n binary")
+
+
+def block_of(blocks: int) -> Column:
+    """Block of the column ``key``: equal parts of the range of its upper half."""
+    return F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(blocks), 32)
+
+
+def trie_of(group: pa.Table, roller: Roller, longest: int) -> Trie:
+    """Trie of candidates with ``number``, ``lang`` and ``phrase``."""
+    langs = group.column("lang").combine_chunks().dictionary_encode()
+    codes = np.array([language_key(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+    words = Words(*(lambda d, o: (d, o, int(o[0]), int(o[-1])))(*column_bytes(group.column("phrase").combine_chunks())), codes, roller)
+    place = np.arange(len(words.row)) - np.searchsorted(words.row, words.row)
+    keys = np.zeros((len(group), longest), np.uint64)
+    keys[words.row, place] = words.key
+    return build(keys, group.column("number").to_numpy())
+
+
+def count_phrases(placed: DataFrame, found: DataFrame, seed: int, least: int, longest: int) -> DataFrame:
+    """``block``, ``number`` and ``a`` (occurrences, ``least`` or more) of the candidates ``placed``, from the entries ``found`` of their blocks."""
+    def lists(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for w, n in zip(group.column("words"), group.column("n")):
+            words = np.frombuffer(w.as_py(), np.uint64).reshape(-1, longest)
+            yield functools.reduce(pair_keys, words.T), np.frombuffer(n.as_py(), np.int64), words
+
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        roller, out = Roller(seed), []
+        for block in np.unique(ours.column("block").to_numpy()).tolist():
+            trie = trie_of(ours.filter(pc.equal(ours.column("block"), block)), roller, longest)
+            total = np.zeros(trie.sequences, np.int64)
+            parts = lists(theirs.filter(pc.equal(theirs.column("block"), block)))
+            while some := list(itertools.islice(parts, VECTORS)):
+                _, n, words = entries(some)
+                for i in range(0, len(n), VECTOR):
+                    total += trie.weigh(words[i:i + VECTOR], n[i:i + VECTOR])
+            at = np.flatnonzero(total >= least)
+            out.append(pa.table({"block": pa.array(np.full(len(at), block, np.int64)), "number": pa.array(at.astype(np.int64)), "a": pa.array(total[at])}))
+        return pa.concat_tables(out) if out else pa.table({x: pa.array([], pa.int64()) for x in ("block", "number", "a")})
+
+    return placed.groupBy("team").cogroup(found.groupBy("team")).applyInArrow(run, "block long, number long, a long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -376,18 +402,14 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, lang_co
     texts = texts_of(docs, lang_col, text_col)
     words, seed = words_of(texts, least)
     total = words.agg(F.sum("n")).first()[0] or 0
-    found = materialise(candidates(texts, words, seed, total, least, longest), "candidates")
-    blocks = -(-found.count() // PHRASES)
-    found = found.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(max(blocks, 1))))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1  # a block is bounded
-    placed = materialise(found.select("block", place.cast("long").alias("number"), "lang", "phrase", "size"), "numbered")
-    filled = sorted(r.block for r in placed.select("block").distinct().collect())  # one for each trie
-    built = materialise(tries(placed, seed, longest), "tries")
-    counted = shared_folder(spark, "phrases")
-    spark.createDataFrame([], "block long, number long, a long").write.parquet(f"{counted}/pass=-1")
-    for i in range(0, len(filled), TRIES):
-        count_phrases(texts, built, filled[i:i + TRIES], seed, least).write.parquet(f"{counted}/pass={i // TRIES}")
-    counts = spark.read.schema("block long, number long, a long, pass int").parquet(counted)
+    found, shared = candidates(texts, words, seed, total, least, longest)
+    # a block has at most about SHARD entries, however many tasks hand them on, and so no more than SHARD / least phrases
+    blocks = max(1, -(-total * (longest - 1) // min(SHARD, PHRASES * least)))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("lang", "phrase")) - 1
+    placed = found.withColumn("block", block_of(blocks)).select(
+        F.expr(f"block div {TRIES}").alias("team"), "block", place.cast("long").alias("number"), "lang", "phrase", "size")
+    placed = materialise(placed, "numbered")
+    counts = materialise(count_phrases(placed, occurrences(texts, shared, seed, blocks, longest), seed, least, longest), "phrases")
     return materialise(placed.join(counts, ["block", "number"]).select("lang", "phrase", "size", "a"), "frequent"), words
 
 

@@ -60,6 +60,26 @@ class Trie:
             at, state = at[alive], state[alive]
         return total
 
+    def weigh(self, rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Sum of ``n`` over the ``rows`` (keys; 0 fills short ones at the end) that are each sequence as a whole."""
+        total = np.zeros(self.sequences, np.int64)
+        if not len(self.symbols) or not len(rows):
+            return total
+        state = np.zeros(len(rows), np.int32)
+        for keys in rows.T:
+            at = np.flatnonzero((keys != 0) & (state >= 0))
+            code = self.code(keys[at])
+            state[at[code < 0]] = -1
+            at, digits = at[code >= 0], spelled(code[code >= 0], self.width)
+            for j in range(self.width):
+                child = self.base[state[at]] + digits[:, j]
+                found = self.check[child] == state[at]
+                state[at] = np.where(found, child, -1)
+                at, digits = at[found], digits[found]
+        reached = np.where(state >= 0, self.accept[state], -1)
+        np.add.at(total, reached[reached >= 0], n[reached >= 0])
+        return total
+
 
 def spelled(codes: np.ndarray, width: int) -> np.ndarray:
     """Bytes of each code, the highest first, each plus one."""

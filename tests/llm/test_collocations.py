@@ -132,3 +132,45 @@ def test_what_a_task_holds_is_bounded():
         assert tracemalloc.get_traced_memory()[1] < 60e6
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("seed,n,alphabet", [(1, 1, 1), (2, 300, 6), (3, 5000, 400), (5, 20000, 70000)])
+def test_trie_weighs_whole_sequences(seed, n, alphabet):
+    rng = np.random.default_rng(seed)
+    keys = rng.integers(1, 1 << 63, alphabet, dtype=np.uint64) * np.uint64(2)
+    drawn = lambda m: np.where((np.arange(3) < 2) | (rng.random((m, 1)) < 0.5), keys[(alphabet * rng.random((m, 3)) ** 3).astype(int)], np.uint64(0))
+    pick, others = np.unique(drawn(n), axis=0), drawn(500)
+    trie = T.build(pick, np.arange(len(pick)))
+    rows = np.concatenate([pick, others, pick[::2], [[1, 2, 3]]]).astype(np.uint64)
+    weight = rng.integers(1, 1 << 40, len(rows))
+    want = Counter()
+    for row, w in zip(rows.tolist(), weight.tolist()):
+        want[tuple(row)] += w
+    assert trie.weigh(rows, weight).tolist() == [want[tuple(row)] for row in pick.tolist()]
+    assert trie.weigh(rows[:0], weight[:0]).sum() == 0
+
+
+def test_words_of_equal_hash_are_kept_apart():
+    key, words = np.array([7, 7, 3, 7], np.uint64), np.array([[1, 2, 0], [1, 5, 0], [4, 4, 0], [1, 2, 0]], np.uint64)
+    got = Counter()
+    for n, w in zip(*C.entries([(key[:2], np.array([2, 3]), words[:2]), (key[2:], np.array([1, 9]), words[2:])])[1:]):
+        got[tuple(w.tolist())] += int(n)
+    assert got == {(1, 2, 0): 11, (1, 5, 0): 3, (4, 4, 0): 1}
+
+
+def test_texts_are_read_the_same_number_of_times_however_many_phrases(spark, monkeypatch):
+    """op12's time: with small blocks there are many tries, and still one pass for words, one a level, one for strings and one for counts."""
+    docs = [("en", " ".join(f"{w}{i} x{w}{i}" for i in range(60)) + ".") for w in "abcdefgh" for _ in range(10)]
+    for name, value in (("SHARD", 100), ("PHRASES", 10), ("TRIES", 2)):
+        monkeypatch.setattr(C, name, value)
+    reads = spark.sparkContext.accumulator(0)
+    scan = C.scan
+
+    def counted(batch, roller):
+        reads.add(batch.num_rows)
+        return scan(batch, roller)
+
+    monkeypatch.setattr(C, "scan", counted)
+    df = spark.createDataFrame(docs, "lang string, text string").coalesce(1)
+    assert sorted(tuple(r) for r in C.collocations(df).collect()) == sorted(brute(docs))
+    assert reads.value == 5 * len(docs)
