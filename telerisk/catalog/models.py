@@ -133,9 +133,9 @@ def m5(spark, sf):
     return model.sensitivity(occluded(spark, sf), scoring.code_name(F.col("event_code")), states).drop("event_name")
 
 
-def nodes(spark, sf):
-    """Every cell of the tensor: quiet ones too, whose mask flag is part of the result."""
-    return D.event_node_features(V.day_table(spark, sf))
+def node_days(spark, sf):
+    """The days of every cell of the tensor: quiet ones too, whose mask flag is part of the result."""
+    return V.day_table(spark, sf)
 
 
 _u = lambda h, p: f"((CAST('0x' || substr({h}, {p}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
@@ -180,12 +180,12 @@ def masked_sql(hits: str) -> str:
 def m6(spark, sf):
     """Event bundles hidden over spans and codes: exposure flags and night share stay."""
     entities = V.profile(spark, sf)
-    return masks.mask_events(nodes(spark, sf), masks.event_spans(entities, 7, V.LAST_DAY), masks.masked_codes(entities, 7))
+    return masks.mask_events(node_days(spark, sf), masks.event_spans(entities, 7, V.LAST_DAY), masks.masked_codes(entities, 7))
 
 
 @query("m6_masked_states", Q.shape(masked_sql("state_hits"), NODE_DOUBLES, [*NODE_INTS, "masked"], f"{NODE_CTES}, {STATE_MASKS}, {STATE_HITS}"))
 def m6_states(spark, sf):
-    return masks.mask_states(nodes(spark, sf), masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY))
+    return masks.mask_states(node_days(spark, sf), masks.state_blocks(V.profile(spark, sf), 7, V.LAST_DAY))
 
 
 CHANNELS = codes.DAY_NUMERIC
@@ -236,7 +236,7 @@ def _light(name: str, sql: str, share: float) -> str:
 
 
 def light(spark, sf):
-    return masks.light_view(nodes(spark, sf), context_values(spark, sf, CHANNELS), V.profile(spark, sf), SEED, V.LAST_DAY, CHANNELS)
+    return masks.light_view(node_days(spark, sf), context_values(spark, sf, CHANNELS), V.profile(spark, sf), SEED, V.LAST_DAY, CHANNELS)
 
 
 @query("m6_light_events", Q.shape(masked_sql("event_hits"), NODE_DOUBLES, [*NODE_INTS, "masked"], f"{NODE_CTES}, {_light('events', EVENT_MASKS, 0.04)}"))

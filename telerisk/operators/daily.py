@@ -121,17 +121,19 @@ def unpivot_codes(daily: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, k
     return long.where((F.col("n") > 0) | (F.col("episodes") > 0)) if only_active else long
 
 
-def event_node_features(table: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, packed: bool = False) -> DataFrame:
+def event_node_features(table: DataFrame, wanted: Sequence[int] = codes.EVENT_CODES, packed: bool = False,
+                        keep: Sequence[str] = ()) -> DataFrame:
     """Eight features of every (entity, day, code): logs of counts and rates, occurrence, exposure.
 
-    ``packed``: one row per entity-day with its codes as the array ``nodes`` of (event_code, features).
+    ``packed``: one row per entity-day with its codes as the array ``nodes`` of (event_code, features).  ``keep``: further
+    columns of the table that come along.
     """
     km, hours, night = F.col("distance_km"), F.col("drive_hours"), F.col("night_distance_km")
     km_ok, hour_ok = is_finite(km) & (km >= 0), is_finite(hours) & (hours >= 0)
     items = ", ".join(f"named_struct('event_code', {c}, 'n', event_{c}_count, 'episodes', event_{c}_episodes, "
                       f"'rate', event_{c}_rate100_smooth)" for c in wanted)
     share = F.when(km_ok & (km > 0), F.greatest(F.least(F.greatest(night, F.lit(0.0)) / km, F.lit(1.0)), F.lit(0.0)))
-    day = table.select("gpsno", "day_index",
+    day = table.select("gpsno", "day_index", *keep,
                        F.coalesce(km_ok, F.lit(False)).cast("int").alias("km_observed"),
                        F.coalesce(hour_ok, F.lit(False)).cast("int").alias("hours_observed"),
                        F.when(hour_ok, hours).otherwise(0.0).alias("_hours"),
@@ -144,5 +146,5 @@ def event_node_features(table: DataFrame, wanted: Sequence[int] = codes.EVENT_CO
                 (x["n"] > 0).cast("int").alias("occurred"), *[F.col(c).alias(c) for c in ("km_observed", "hours_observed", "night_share")]]
 
     if packed:
-        return day.select("gpsno", "day_index", F.transform("_nodes", lambda x: F.struct(*features(x))).alias("nodes"))
-    return day.withColumn("_x", F.explode("_nodes")).select("gpsno", "day_index", *features(F.col("_x")))
+        return day.select("gpsno", "day_index", *keep, F.transform("_nodes", lambda x: F.struct(*features(x))).alias("nodes"))
+    return day.withColumn("_x", F.explode("_nodes")).select("gpsno", "day_index", *keep, *features(F.col("_x")))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from telerisk import codes
 from telerisk.functions.columns import seeded_hex
+from telerisk.operators.daily import event_node_features
 from telerisk.session import large
 
 MASKED_FIELDS = ("log_count", "log_episodes", "log_rate_100km", "log_rate_hour", "occurred")
@@ -82,8 +83,38 @@ def _covered(df: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
             .dropDuplicates([*keys, "day_index"]).withColumn("_hit", F.lit(True)))
 
 
+def _masked_days(days: DataFrame, by_day: Column, n_of: Column) -> DataFrame:
+    """Nodes of the day table ``days`` with the masked fields at zero, and the flag ``masked``.
+
+    ``by_day`` hides all codes of a day; ``n_of`` maps its hidden codes to how often they are hidden.  A code that is hidden n
+    times gives n rows, as a join on it would.
+    """
+    marked = days.withColumn("_day", F.coalesce(by_day, F.lit(False))).withColumn("_codes", n_of)
+    most = F.coalesce(F.array_max(F.map_values("_codes")), F.lit(1))
+    nodes = event_node_features(marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), most))), keep=("_day", "_codes", "_copy"))
+    n = F.coalesce(F.col("_codes")[F.col("event_code")], F.lit(0))
+    hidden = F.col("_day") | (n > 0)
+    kept = [F.when(hidden, F.lit(0).cast(nodes.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+            if c in MASKED_FIELDS else F.col(c) for c in nodes.columns if not c.startswith("_")]
+    return nodes.where(F.greatest(n, F.lit(1)) >= F.col("_copy")).select(*kept, hidden.cast("int").alias("masked"))
+
+
+def _code_map(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key the map ``_codes`` from each hidden code to its number of hits."""
+    counted = hits.groupBy(*keys, "event_code").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    return counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("event_code", "_n"))).alias("_codes"))
+
+
 def mask_events(nodes: DataFrame, spans: DataFrame, hidden: DataFrame) -> DataFrame:
-    """Zero the derived count, rate and occurrence fields; exposure flags stay."""
+    """Zero the derived count, rate and occurrence fields; exposure flags stay.
+
+    ``nodes`` has one row per node, or is the day table of which they are made (``daily.day_table``): then days and codes come
+    to a day as one row of their entity, and the nodes, many times as many rows, are made after the join.
+    """
+    if "event_code" not in nodes.columns:
+        days = _covered(nodes, spans, ["gpsno"]).groupBy("gpsno").agg(F.collect_set("day_index").alias("_days"))  # of one calendar
+        entities = days.join(large(_code_map(hidden, ["gpsno"])), "gpsno", "full").withColumnRenamed("_codes", "_hidden")
+        return _masked_days(nodes.join(large(entities), "gpsno", "left"), F.array_contains("_days", F.col("day_index")), F.col("_hidden"))
     by_day = _covered(nodes, spans, ["gpsno"]).withColumnRenamed("_hit", "_day")
     by_code = hidden.withColumn("_code", F.lit(True))
     joined = nodes.join(large(by_day), ["gpsno", "day_index"], "left").join(large(by_code), ["gpsno", "event_code"], "left")
@@ -111,7 +142,11 @@ def mask_states(nodes: DataFrame, blocks: DataFrame, states: Mapping[str, Sequen
 
 
 def hide_nodes(nodes: DataFrame, hits: DataFrame) -> DataFrame:
-    """Event nodes with the derived fields under a hit at zero, and the flag ``masked``."""
+    """Event nodes, or those of a day table (as in ``mask_events``), with the derived fields under a hit at zero, and the flag ``masked``."""
+    if "event_code" not in nodes.columns:
+        by_day = _code_map(hits.where(F.col("event_code").isNotNull() & F.col("day_index").isNotNull()), ["gpsno", "day_index"])
+        entities = by_day.groupBy("gpsno").agg(F.map_from_entries(F.collect_list(F.struct("day_index", "_codes"))).alias("_hidden"))
+        return _masked_days(nodes.join(large(entities), "gpsno", "left"), F.lit(False), F.col("_hidden")[F.col("day_index")])
     events = hits.where(F.col("event_code").isNotNull()).select("gpsno", "day_index", "event_code", F.lit(True).alias("_hit"))
     joined = nodes.join(large(events), ["gpsno", "day_index", "event_code"], "left")
     masked = F.coalesce("_hit", F.lit(False))
