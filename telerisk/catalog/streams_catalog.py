@@ -69,9 +69,9 @@ def st2(spark, sf):
     gyro_norm_p95 FROM imu_windows""", ["accel_norm_max", "accel_norm_p95", "gyro_norm_p95"], ctes=Q.IMU_CTES))
 def st3(spark, sf):
     """All samples in two runs; windows that are open at the end of the first are finished in the second."""
-    samples = materialise(I.motion_samples(V.imu(spark, sf)), "st3-samples")
+    samples = I.motion_samples(V.imu(spark, sf))
     for folder, stream in runs(spark, sf, samples, "st3", F.col("ts"), ("2024-01-16",)):
-        job = jobs.window_job(stream, folder, I.imu_windows)
+        job = jobs.window_job(stream, folder, lambda closed: I.imu_windows(closed, stage=materialise))
         job.run(stream)
     job.flush()
     return job.delivered().select("gpsno", "imei", "window_id", "sample_count", "valid_accel_samples", "valid_gyro_samples", "accel_norm_max",

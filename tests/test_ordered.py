@@ -100,3 +100,27 @@ def test_parts_follow_the_data(spark):
     assert sum(sizes) == 2 * n + 3 and max(sizes) <= 1100 and len(sizes) > 100
     got = {r["g"]: r for r in rows(ordered.metric_quantiles(cells, ["g"], "v", {"p50": 0.5}))}
     assert got["narrow"]["p50"] == pytest.approx(9.82, abs=1e-5) and got["month"]["n_values"] == n + 1
+
+
+@pytest.mark.parametrize("hot", [10 ** 9, 100, 0])  # no key is hot, one is, all are
+def test_staged_summary_equals_cells(spark, skewed, monkeypatch, hot):
+    from telerisk.session import materialise
+    monkeypatch.setattr(ordered, "HOT_CELLS", hot)
+    args = (["g"], ["v"], {"top": F.max("v"), "filled": F.count("v")}, {"p50": ("v", 0.5), "p9": ("v", 0.9)})
+    nobody = skewed.unionByName(skewed.limit(3).withColumn("g", F.lit(None).cast("string")), allowMissingColumns=True)
+    want = {r["g"]: r for r in rows(ordered.summarise_cells(nobody, *args))}
+    for reread in (False, True):
+        out = ordered.summarise(nobody, *args, stage=materialise, reread=reread)
+        got = {r["g"]: r for r in rows(out)}
+        assert got.keys() == want.keys() and out.columns == ordered.summarise_cells(nobody, *args).columns
+        for g, r in got.items():
+            assert (r["n"], r["filled"], repr(r["top"])) == (want[g]["n"], want[g]["filled"], repr(want[g]["top"]))
+            assert (r["p50"], r["p9"]) == pytest.approx((want[g]["p50"], want[g]["p9"]), nan_ok=True) if want[g]["p50"] is not None else r["p50"] is None
+
+
+def test_ordinary_keys_are_dealt_once_as_rows(spark, skewed):
+    """Disk: rows are not exploded into an entry for each quantile column before they are shuffled."""
+    from telerisk.session import materialise
+    out = ordered.summarise(skewed, ["g"], ["v"], {"top": F.max("v")}, {"p50": ("v", 0.5)}, materialise, reread=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate explode" not in plan and "Join" not in plan
