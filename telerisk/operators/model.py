@@ -6,21 +6,91 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telerisk.functions.columns import clip, horizon_probability, is_finite, seeded_hex, signed_log
 from telerisk.operators.scaling import feature_frame, fit_std_scaler
+from telerisk.session import materialise
 
 KEYS = ["gpsno", "anchor_day"]
 
 
+def _sum(terms: Sequence[Column]) -> Column:
+    """Sum in pairs, so that the expression stays shallow."""
+    terms = list(terms)
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
+    return terms[0]
+
+
+def _curvature(rows: DataFrame, names: Sequence[str], at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the weighted log loss at intercept and coefficients ``at``: one pass, (features + 1)^2 numbers.
+
+    ``rows`` holds the features and the weights ``w0`` and ``w1`` of both outcomes.  A row becomes one vector; the Gram
+    matrix of all vectors holds the three.
+    """
+    eta = F.col("_eta")
+    p, total = 1 / (1 + F.exp(-eta)), F.col("w0") + F.col("w1")
+    loss = F.col("w0") * F.greatest(eta, F.lit(0.0)) + F.col("w1") * F.greatest(-eta, F.lit(0.0)) + total * F.log1p(F.exp(-F.abs(eta)))
+    terms = [F.lit(float(at[0])), *[F.lit(float(b)) * F.col(n) for n, b in zip(names, at[1:]) if b]]
+    scored = rows.withColumn("_eta", _sum(terms))
+    scored = scored.select(*names, (total * p - F.col("w1")).alias("_off"), F.sqrt(loss).alias("_loss"),
+                           F.sqrt(F.greatest(total * p * (1 - p), F.lit(1e-30))).alias("_root"))
+    root = F.col("_root")
+    vector = array_to_vector(F.array(root, *[root * F.col(n) for n in names], F.col("_off") / root, F.col("_loss"))).alias("v")
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(scored.select(vector), "v"), 0, len(names) + 3).computeGramianMatrix().toArray()
+    k = len(names) + 1
+    return float(gram[-1, -1]), gram[:k, k], gram[:k, :k]
+
+
+def _penalised_minimum(hessian: np.ndarray, linear: np.ndarray, l1: float, l2: float, start: np.ndarray) -> np.ndarray:
+    """The u with the least u'Hu / 2 - u'linear + l1 |u| + l2 u'u / 2; the first entry has no penalty.
+
+    Coordinate descent finds which entries are zero; an active-set search over their signs ends at the exact minimum.
+    """
+    u, k = start.copy(), len(start)
+    first, ridge = np.full(k, l1), np.full(k, l2)
+    first[0] = ridge[0] = 0.0
+    whole = hessian + np.diag(ridge)
+    usable = np.diag(whole) > 0
+    u[~usable] = 0.0
+    for _ in range(20):
+        left = linear - whole @ u
+        for j in np.flatnonzero(usable).tolist() * 20:
+            z = left[j] + whole[j, j] * u[j]
+            new = np.sign(z) * max(abs(z) - first[j], 0.0) / whole[j, j]
+            if new != u[j]:
+                left -= whole[:, j] * (new - u[j])
+                u[j] = new
+        sign = np.sign(u)
+        for _ in range(4 * k):
+            active = np.flatnonzero(usable & ((sign != 0) | (np.arange(k) == 0)))
+            best = np.zeros(k)
+            best[active] = np.linalg.lstsq(whole[np.ix_(active, active)], linear[active] - first[active] * sign[active], rcond=None)[0]
+            crossed = active[(first[active] > 0) & (best[active] * sign[active] < 0)]
+            if len(crossed):  # go as far as the first entry that reaches zero, and leave it there
+                share = u[crossed] / (u[crossed] - best[crossed])
+                u = u + share.min() * (best - u)
+                u[crossed[share.argmin()]] = sign[crossed[share.argmin()]] = 0.0
+                continue
+            u, slope = best, linear - whole @ best
+            over = np.where(usable & (sign == 0) & (np.arange(k) > 0), np.abs(slope) - first, -1.0)
+            if over.max(initial=-1.0) <= 1e-9 * max(l1, 1e-300):
+                return u
+            sign[over.argmax()] = np.sign(slope[over.argmax()])
+    return u
+
+
 @dataclass(frozen=True)
 class HazardModel:
     """Elastic-net daily hazard: signed log, 1%..99% clip, median fill, missing flags, standardise."""
@@ -28,8 +98,12 @@ class HazardModel:
     columns: list[str]
     bounds: dict[str, tuple[float, float, float]]
     flagged: list[str]
-    scaler: PipelineModel
-    classifier: object
+    centre: list[float]
+    factor: list[float]
+    coefficients: list[float]
+    intercept: float
+    strength: float
+    mixed: float
 
     @staticmethod
     def _base(df: DataFrame, columns: Sequence[str], bounds: Mapping[str, tuple], flagged: Sequence[str],
@@ -45,10 +119,12 @@ class HazardModel:
 
     @classmethod
     def fit(cls, landmarks: DataFrame, compressed: DataFrame, columns: Sequence[str], c: float = 1.0,
-            elastic: float = 0.2, max_iter: int = 5000) -> "HazardModel":
+            elastic: float = 0.2, max_iter: int = 100) -> "HazardModel":
         """``landmarks`` unique on (gpsno, anchor_day); ``compressed`` holds y and weight per landmark.
 
-        Only fitted parameters (one row per feature) come to the driver.
+        Newton steps with the penalty: each takes one pass over the standardised rows, which are written once, and ends
+        when every slope is within a thousandth of the penalty's own.  Only fitted parameters and the Hessian (one row
+        per feature) come to the driver.
         """
         columns = list(columns)
         params = fit_std_scaler(landmarks, columns).collect()  # one row per feature
@@ -58,35 +134,68 @@ class HazardModel:
         flagged = [c for c in columns if seen[c] < rows]
         base = cls._base(landmarks, columns, bounds, flagged, KEYS)
         names = [n for n in base.columns if n not in KEYS]
-        stages = [VectorAssembler(inputCols=names, outputCol="_raw"),
-                  StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
-        scaler = Pipeline(stages=stages).fit(base)
+        moments = base.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("mean", F.avg), ("std", F.stddev_samp))]).first()
+        centre = [float(moments[f"mean_{n}"] or 0.0) for n in names]
+        factor = [1.0 / moments[f"std_{n}"] if (moments[f"std_{n}"] or 0) > 0 else 0.0 for n in names]
+        of = lambda y: F.sum(F.when(F.col("y") == y, F.col("weight")).otherwise(0.0)).cast("double").alias(f"w{y}")
+        weights = compressed.groupBy(*KEYS).agg(of(0), of(1))
+        train = materialise(base.join(weights, KEYS).select("w0", "w1", *[((F.col(n) - m) * f).alias(n) for n, m, f in zip(names, centre, factor)]), "fit-rows")
         weight = compressed.agg(F.sum("weight")).first()[0]
-        train = scaler.transform(base).select(*KEYS, "features").join(compressed, KEYS)
-        lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", elasticNetParam=elastic,
-                                regParam=1.0 / (c * weight), maxIter=max_iter, tol=1e-10, standardization=False)
-        return cls(columns, bounds, flagged, scaler, lr.fit(train))
+        w0, w1 = train.agg(F.sum("w0"), F.sum("w1")).first()
+        strength = 1.0 / (c * weight)
+        l1, l2 = strength * elastic, strength * (1 - elastic)
+        at = np.zeros(len(names) + 1)
+        if min(w0, w1) > 0:
+            at[0] = np.log(w1 / w0)
+            at = cls._descend(train, names, at, w0 + w1, l1, l2, max_iter)
+        else:  # one outcome only
+            at[0] = np.inf if w1 > 0 else -np.inf
+        return cls(columns, bounds, flagged, centre, factor, at[1:].tolist(), float(at[0]), strength, elastic)
+
+    @staticmethod
+    def _descend(train: DataFrame, names: Sequence[str], at: np.ndarray, weight: float, l1: float, l2: float, max_iter: int) -> np.ndarray:
+        def state(u):
+            loss, slope, hessian = (x / weight for x in _curvature(train, names, u))
+            return loss + l1 * np.abs(u[1:]).sum() + l2 / 2 * (u[1:] ** 2).sum(), slope, hessian
+
+        value, slope, hessian = state(at)
+        for _ in range(max_iter):
+            full = slope + np.concatenate([[0.0], l2 * at[1:]])
+            rest = np.where(at == 0, np.maximum(np.abs(full) - l1, 0.0), np.abs(full + l1 * np.sign(at)))
+            rest[0] = abs(slope[0])
+            if rest.max() <= 1e-3 * (l1 + l2):
+                break
+            goal = _penalised_minimum(hessian, hessian @ at - slope, l1, l2, at)
+            for share in (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001):
+                new = at + share * (goal - at) if share < 1 else goal
+                found = state(new)
+                if found[0] <= value + 1e-13 * abs(value):
+                    break
+            else:
+                break
+            at, (value, slope, hessian) = new, found
+        return at
+
+    def _scaled(self) -> list[Column]:
+        return [(F.col(n) - F.lit(m)) * F.lit(f) for n, m, f in zip(self.names(), self.centre, self.factor)]
+
+    def _probability(self) -> Column:
+        logit = _sum([F.lit(self.intercept), *[F.lit(b) * x for b, x in zip(self.coefficients, self._scaled()) if b]])
+        return 1 / (1 + F.exp(-logit))
 
     def daily_hazard(self, landmarks: DataFrame, out: str = "daily_hazard") -> DataFrame:
         base = self._base(landmarks, self.columns, self.bounds, self.flagged, landmarks.columns)
-        scored = self.classifier.transform(self.scaler.transform(base))
-        p = vector_to_array("probability")[1]
-        return scored.select(*landmarks.columns, F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12)).alias(out))
+        return base.select(*landmarks.columns, F.greatest(F.least(self._probability(), F.lit(1 - 1e-12)), F.lit(1e-12)).alias(out))
 
     def names(self) -> list[str]:
         return [f"x_{c}" for c in self.columns] + [f"m_{c}" for c in self.flagged]
 
     def parameters(self, spark) -> DataFrame:
         """One row per feature with all that its term of the logit takes, as ``feature_term`` reads it."""
-        scaler, weights = self.scaler.stages[-1], self.classifier.coefficients
-        rows = {n: (float(m), 1.0 / float(s) if s > 0 else 0.0, float(w)) for n, m, s, w in zip(self.names(), scaler.mean, scaler.std, weights)}
+        rows = {n: (m, f, w) for n, m, f, w in zip(self.names(), self.centre, self.factor, self.coefficients)}
         out = [(c, *map(float, self.bounds[c]), *rows[f"x_{c}"], *rows.get(f"m_{c}", (0.0, 0.0, 0.0))) for c in self.columns]
         return spark.createDataFrame(out, ", ".join(f"{n} {'string' if n == 'feature' else 'double'}" for n in PARAMETERS))
 
-    @property
-    def intercept(self) -> float:
-        return float(self.classifier.intercept)
-
     def optimality(self, landmarks: DataFrame, compressed: DataFrame) -> DataFrame:
         """How far the fit is from the optimum of its own objective: ``feature``, ``coefficient``, ``residual``, ``allowed``.
 
@@ -95,15 +204,14 @@ class HazardModel:
         ``allowed`` is a hundredth of the penalty's own slope.
         """
         base = self._base(landmarks, self.columns, self.bounds, self.flagged, KEYS)
-        rows = self.classifier.transform(self.scaler.transform(base).select(*KEYS, "features").join(compressed, KEYS))
-        off = F.col("weight") * (vector_to_array("probability")[1] - F.col("y"))
-        x = vector_to_array("features")
-        names = self.names()
+        names, x = self.names(), self._scaled()
+        rows = base.withColumn("_p", self._probability()).join(compressed, KEYS).withColumn("_off", F.col("weight") * (F.col("_p") - F.col("y")))
+        off = F.col("_off")
         sums = rows.agg(F.sum("weight").alias("w"), F.sum(off).alias("g"), *[F.sum(off * x[i]).alias(f"g{i}") for i in range(len(names))]).first()
-        strength, mixed = self.classifier.getRegParam(), self.classifier.getElasticNetParam()
+        strength, mixed = self.strength, self.mixed
         out, allowed = [("(intercept)", self.intercept, abs(sums["g"]) / sums["w"])], 0.01 * strength
         for i, name in enumerate(names):
-            beta = float(self.classifier.coefficients[i])
+            beta = self.coefficients[i]
             slope = sums[f"g{i}"] / sums["w"] + strength * (1 - mixed) * beta
             rest = abs(slope + strength * mixed * (1 if beta > 0 else -1)) if beta else max(0.0, abs(slope) - strength * mixed)
             out.append((name, beta, float(rest)))

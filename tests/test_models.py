@@ -95,3 +95,29 @@ def test_boosted_pair_stops_by_validation(spark):
     share = df.agg(F.avg(F.col("held").cast("int"))).first()[0]
     a, b = model.boosted_pair(df, ["event_a", "b"], ["b"], iterations=30, step=0.1, validation="held")
     assert 0.1 < share < 0.3 and a.stages[-1].getNumTrees <= 30 and b.stages[-1].getNumTrees < 30
+
+
+def test_a_fit_takes_few_passes(spark, fitted, monkeypatch):
+    """Time: a pass over the rows for each Newton step, not one for each of thousands of gradient steps."""
+    _, land, features, compressed, _ = fitted
+    passes, once = [], model._curvature
+    monkeypatch.setattr(model, "_curvature", lambda *args: passes.append(1) or once(*args))
+    fit = model.HazardModel.fit(land, compressed, features, c=0.1)
+    assert 2 < len(passes) < 40 and fit.optimality(land, compressed).where("residual > allowed").count() == 0
+
+
+def test_a_single_outcome_gives_the_edge_of_the_range(fitted):
+    _, land, features, compressed, _ = fitted
+    fit = model.HazardModel.fit(land, compressed.where("y = 0"), features[:3], c=0.1)
+    assert {r.daily_hazard for r in fit.daily_hazard(land).collect()} == {1e-12}
+
+
+def test_penalised_minimum_meets_its_conditions():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for l1 in (1e-6, 1e-2, 0.5):
+        x = rng.normal(size=(60, 12)) @ rng.normal(size=(12, 12))
+        h, c = x.T @ x / 60, rng.normal(size=12)
+        u = model._penalised_minimum(h, c, l1, 0.1 * l1, np.zeros(12))
+        slope = h @ u - c + 0.1 * l1 * np.r_[0, u[1:]]
+        assert abs(slope[0]) < 1e-8 and all(abs(s + l1 * np.sign(b)) < 1e-8 if b else abs(s) <= l1 + 1e-8 for s, b in zip(slope[1:], u[1:]))
